@@ -170,7 +170,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = rooted.join(smallest, "root").select("fp", "component_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # stored, so that both sides of the last join are plain exchanges and a fingerprint with very many rows can be split
+    ids = checkpointed(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
