@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, packing, pii, quality, secrets, simhash
+from . import chat, decontam, exact_dedup, language, ngrams, packing, pii, quality, secrets, simhash
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = ngrams.score(table(spark, sf_dir, "documents"))
+    return scores.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -50,9 +64,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_chat": op3_chat,
+        "op4_lm_score": op4_lm_score,
         "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
         "op7_packing": op7_packing,
+        "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_pii": op10_pii,
     }
@@ -64,4 +81,23 @@ def oracle_sql() -> dict[str, str]:
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+        "op3_chat": r"""
+            WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+            c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(31) || text || chr(30), '' ORDER BY turn) AS s,
+                  string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn) AS r
+                  FROM t GROUP BY conv_id)
+            SELECT min(conv_id) AS conv_id, CAST(0 AS BIGINT) AS part, n AS n_turns, count(*) AS copies, r AS text FROM c
+            WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.n > c.n AND starts_with(b.s, c.s)) GROUP BY n, s, r""",
+        "op4_lm_score": r"""
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+            t AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM i),
+            u AS (SELECT w, count(*) AS c FROM t GROUP BY w), n AS (SELECT count(*) AS n FROM t),
+            b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= 2),
+            s AS (SELECT t.doc_id, count(*) AS n_words, sum(CASE WHEN t.p IS NOT NULL AND b.c IS NULL THEN 1 ELSE 0 END) AS n_backoff,
+                  fsum(CASE WHEN b.c IS NOT NULL THEN ln(b.c) - ln(f.c) ELSE ln(u.c) - ln(n.n) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4) END END) AS x
+                  FROM t JOIN u ON u.w = t.w CROSS JOIN n LEFT JOIN b ON b.p = t.p AND b.w = t.w LEFT JOIN u f ON f.w = t.p GROUP BY t.doc_id)
+            SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, CAST(coalesce(s.n_backoff, 0) AS BIGINT) AS n_backoff,
+                   round(coalesce(s.x, 0.0), 3) AS log_score, round(s.x / s.n_words, 6) AS mean_log_score
+            FROM d LEFT JOIN s USING (doc_id)""",
     }
