@@ -6,19 +6,22 @@ no shuffle: a document is tokenised and cut where it is read.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that the cache of one task may hold, the longest of them, and texts that are tokenised at a time.
-CACHE_CHUNKS, CHUNK_CHARS, TEXTS = 400_000, 256, 500
-#: A chunk that starts or ends with white space, or a text with special tokens' marks, is left to the tokenizer as a whole.
-SPACE = re.compile(r"\s\Z|\A\s")
+#: Chunks that a Python worker may hold, the longest of them, texts handled at a time, and chunks tokenised as one text.
+CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED = 500_000, 256, 500, 4000
+#: A fixed value: how byte-level BPE of this public kind cuts texts.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = " It's 1,234 words; we'll tokenize them_all... été Ärger 日本語 😀 ### &&& |a|b|\nnext LINE\tTAB x=y+z (1999) ~~ \u00ad"
 
 
 class Encoder:
@@ -26,37 +29,76 @@ class Encoder:
 
     The tokenizer cuts texts before a space that a word follows, whatever stands around; so texts are cut there first
     and each distinct chunk is tokenised once. Texts with other runs of white space are given to the tokenizer whole.
+    Chunks go through a faster implementation of the same vocabulary where the file is of that kind, which is tested.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.fast = self._fast(path)
+
+    def _fast(self, path: str):
+        """(encoding, bytes of each id), or None if it would not give the tokenizer's ids."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        # byte-level vocabularies write each byte as a printable character: itself, or those from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        added = {t["content"] for t in said.get("added_tokens", [])}
+        try:
+            ranks = {bytes(of[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in added}
+            fast = tiktoken.Encoding("chunks", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+            if fast.encode_ordinary(PROBE) != self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+                return None
+        except (KeyError, TypeError, ValueError):
+            return None
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        sizes[list(ranks.values())] = [len(t) for t in ranks]
+        return fast, sizes
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks. Those that begin with a space are cut off there, so many are one text whose ids are shared out."""
+        heads = [c for c in chunks if c[0] != " " or not self.fast]
+        found = dict(zip(heads, self._encode(heads), strict=True))
+        rest = [c for c in chunks if c[0] == " "] if self.fast else []
+        for at in range(0, len(rest), JOINED):
+            part = rest[at : at + JOINED]
+            fast, sizes = self.fast
+            ids = np.array(fast.encode_ordinary("".join(part)), "<u4")
+            ends = np.cumsum([len(c.encode()) for c in part])
+            bounds = [0, *(4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()]
+            data = ids.tobytes()
+            found.update(zip(part, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        return found
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each with the end id."""
         cut: list[list[str] | None] = []
         whole: list[str] = []
         need: set[str] = set()
         for text in texts:
-            chunks = text.split(" ")
-            plain = "<|" not in text and "" not in chunks
+            first, *rest = text.split(" ")
+            plain = first != "" and "" not in rest and "<|" not in text
             if plain:
-                chunks[1:] = [" " + c for c in chunks[1:]]
-                words = set(chunks)
-                new = words - self.known.keys()
-                plain = not any(len(c) > CHUNK_CHARS or SPACE.search(c[1:] if c[0] == " " else c) for c in new)
-                need |= new if plain else set()
+                chunks = [first, *map(" ".__add__, rest)]
+                new = {c for c in chunks if c not in self.known}
+                # a chunk that starts or ends with white space would be cut otherwise next to others
+                plain = not any(len(c) > CHUNK_CHARS or c[-1].isspace() or c[c[0] == " "].isspace() for c in new)
+                if plain:
+                    need |= new
             cut.append(chunks if plain else None)
             if not plain:
                 whole.append(text)
-        todo = list(need)
-        found = dict(zip(todo, self._encode(todo), strict=True))
+        found = self._chunks(list(need))
         if len(self.known) + len(found) > CACHE_CHUNKS:
             self.known = {c: self.known[c] for chunks in cut if chunks for c in chunks if c in self.known}
         self.known |= found
@@ -64,6 +106,12 @@ class Encoder:
         return [(b"".join(map(self.known.__getitem__, c)) if c is not None else next(rest)) + self.end for c in cut]
 
 
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which keeps what it has learned for its next tasks."""
+    return Encoder(path, end_id)
+
+
 def pieces(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of n ids: as many of the longest as fit, then the binary digits of the rest from the highest."""
     out, at = [], 0
@@ -89,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.iloc[at : at + TEXTS]
