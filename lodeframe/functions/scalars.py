@@ -154,15 +154,27 @@ def urls(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda u: u.rlike(r"(?i)^https?://[^/?#]"))))
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """Compact JSON with sorted keys and explicit nulls. Control characters are escaped in lower-case digits."""
-    text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+def json_text(fields: dict[str, Column]) -> Column:
+    """Compact JSON with sorted keys and explicit nulls, as Spark writes it."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def canonical(text: Column) -> Column:
+    """JSON text whose control characters are escaped in lower-case digits."""
     upper = [f"{x:04X}" for x in range(32) if f"{x:x}" != f"{x:X}"]
-    return F.when(text.contains("\\u00"), reduce(lambda t, x: F.replace(t, F.lit(f"\\u{x}"), F.lit(f"\\u{x.lower()}")), upper, text)).otherwise(text)
+    return reduce(lambda t, x: F.replace(t, F.lit(f"\\u{x}"), F.lit(f"\\u{x.lower()}")), upper, text)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    return canonical(json_text(fields))
+
+
+def sha256_of(prefix: str, version: str, text: Column) -> Column:
+    return F.concat(F.lit(f"{prefix}_sha256:{version}:"), F.sha2(canonical(text), 256))
 
 
 def canonical_sha256(prefix: str, version: str, fields: dict[str, Column]) -> Column:
-    return F.concat(F.lit(f"{prefix}_sha256:{version}:"), F.sha2(canonical_json(fields), 256))
+    return sha256_of(prefix, version, json_text(fields))
 
 
 def unique_casefold(values: Column) -> Column:

@@ -46,26 +46,27 @@ def _doc(rows: DataFrame, **fields: Column) -> DataFrame:
     )
 
 
-def structured_text(c: Column) -> Column:
-    """The colon language (::KEY:value:KEY:value::) as labelled lines."""
-    text = F.regexp_replace(F.coalesce(plain_text(c), F.lit("")), r":{1,2}([A-Z][A-Z ]{2,}):", "\n$1: ")
+def structured_text(plain: Column) -> Column:
+    """The colon language (::KEY:value:KEY:value::) of a plain text as labelled lines."""
+    text = F.regexp_replace(plain, r":{1,2}([A-Z][A-Z ]{2,}):", "\n$1: ")
     lines = F.transform(F.split(F.regexp_replace(text, "::", "\n"), "\n"), lambda line: F.trim(F.regexp_replace(line, r"^[ :]+|[ :]+$", "")))
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def cwe_documents(rows: DataFrame, in_top: Column | None = None) -> DataFrame:
     """K1: rows of the CWE table (its columns, path) with a description."""
-    raw = F.coalesce(plain_text(F.col("Name")), F.lit(""))
+    rows = rows.withColumns({f: F.coalesce(plain_text(F.col(f"`{f}`")), F.lit("")) for f in ("Name", *dict(CWE_FIELDS))})
+    raw = F.col("Name")
     shown = F.coalesce(F.nullif(F.regexp_extract(raw, r"\('([^']+)'\)", 1), F.lit("")), raw)
     number = F.col("`CWE-ID`").try_cast("bigint").cast("string")
-    value = lambda f: structured_text(F.col(f"`{f}`")) if f in MINI else F.coalesce(plain_text(F.col(f"`{f}`")), F.lit(""))
+    value = lambda f: structured_text(F.col(f"`{f}`")) if f in MINI else F.col(f"`{f}`")
     parts = F.array(*[F.when(value(f) != "", F.concat(F.lit(label + "\n"), value(f))) for f, label in CWE_FIELDS])
     terms = F.regexp_extract_all(F.coalesce(F.col("`Alternate Terms`"), F.lit("")), F.lit("(?is)::TERM:(.*?):DESCRIPTION:"), F.lit(1))
     more = F.when(in_top, F.array(F.lit("cwe-view-1435"), F.lit("cwe-top-25"))).otherwise(_none()) if in_top is not None else _none()
     tags = F.concat(F.array(F.lit("cwe")), F.regexp_extract_all(F.lower(shown), F.lit("[a-z0-9]+"), F.lit(0)), more)
     return _doc(
-        rows.where(plain_text(F.col("Description")).isNotNull()), doc_id=F.concat(F.lit("cwe-"), number), doc_type=F.lit("cwe"), title=F.concat(F.lit("CWE-"), number, F.lit(": "), shown),
-        aliases=X.unique_casefold(F.concat(F.array(shown), terms, F.array(raw))), summary=plain_text(F.col("Description")), content=F.array_join(F.array_compact(parts), "\n\n"),
+        rows.where(F.col("Description") != ""), doc_id=F.concat(F.lit("cwe-"), number), doc_type=F.lit("cwe"), title=F.concat(F.lit("CWE-"), number, F.lit(": "), shown),
+        aliases=X.unique_casefold(F.concat(F.array(shown), terms, F.array(raw))), summary=F.col("Description"), content=F.array_join(F.array_compact(parts), "\n\n"),
         cwe=F.array(F.concat(F.lit("CWE-"), number)), tags=X.unique_casefold(tags), source=F.lit("MITRE CWE"),
     )
 

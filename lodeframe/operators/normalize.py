@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeframe import schemas as S
 from lodeframe.functions import scalars as X
+from lodeframe.storage import checkpointed
 
 VERSION = "1.0.0"
 
@@ -190,7 +191,7 @@ def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def unescape(c: Column) -> Column:
     """HTML entities decoded; there are some two thousand names, so this is an Arrow batch, and only for texts with &."""
-    decode = F.pandas_udf(_unescape, "string")
+    decode = F.pandas_udf(_unescape, "string").asNondeterministic()  # so that it is not moved into lambdas
     return F.when(c.contains("&"), decode(F.when(c.contains("&"), c))).otherwise(c)
 
 
@@ -227,10 +228,10 @@ def fingerprint() -> Column:
     own = {"native_fingerprint": F.col("native_fp")}
     hashed, printed = {"primary_location_line_hash": F.col("line_hash")}, {"primary_location_start_column_fingerprint": F.col("column_fp")}
     both = lines | {"end_line": F.col("end_line")}
-    fp = lambda fields: X.canonical_sha256("fp", "v1", fields)
+    fp = X.json_text  # the text by case, then one hash
     has = lambda c: F.col(c).isNotNull()
     zap = common | {"plugin_id": F.col("rule_id"), "alert_ref": F.col("rule_reference"), "method": F.col("method"), "endpoint": F.col("endpoint"), "parameter": F.col("parameter")}
-    return (
+    text = (
         F.when(F.col("tool") == "zap", fp(zap))
         .when((F.col("tool") == "semgrep") & has("native_fp"), fp(code | own))
         .when(F.col("tool") == "semgrep", fp(code | lines | column))
@@ -239,6 +240,7 @@ def fingerprint() -> Column:
         .when(has("column_fp"), fp(code | both | printed))
         .otherwise(fp(code | both | column))
     )
+    return X.sha256_of("fp", "v1", text)
 
 
 def group_key() -> Column:
@@ -362,6 +364,7 @@ def normalize_all(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     origin = X.http_origin(F.col("meta.target.base_url"))
     rows = rows.withColumn("fit", F.col("fit") & ((F.col("tool") != "zap") | origin.isNotNull()))
     rows = rows.withColumn("in_scope", (F.col("tool") != "zap") | F.coalesce(X.http_origin(F.col("uri")) == origin, F.lit(False)))
+    rows = checkpointed(rows)  # documents are parsed once; what follows reads flat rows
     failed = rows.where("not fit").select("report_path").distinct()
     kept = rows.join(failed, "report_path", "left_anti")
     findings = assemble_findings(kept.where("in_scope"))

@@ -128,7 +128,7 @@ def search_keyword(queries: DataFrame, docs: DataFrame, top_k: int = 10, doc_typ
     tier = F.when(F.array_contains(lower("identifiers"), q), 0).when(F.lower("title") == q, 1).when(F.array_contains(lower("aliases"), q), 2).otherwise(3)
     owner = F.when(F.col("normalized").rlike("^CWE-[0-9]") & (F.col("doc_type") == "cwe"), 0).when(F.col("normalized").rlike("^A[0-9]{2}:[0-9]{4}$") & (F.col("doc_type") == "owasp_category"), 0).otherwise(1)
     rows = scored.join(queries.select("query_id", "normalized"), "query_id").join(names, "doc_id").withColumns({"tier": tier, "owner": owner})
-    w = Window.partitionBy("query_id").orderBy("tier", "owner", "score", "doc_id")
+    w = Window.partitionBy("query_id").orderBy("tier", "owner", F.round("score", 9), "doc_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "tier", "score")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Raw findings from orders: integer arithmetic only.
 RAW_FINDINGS = """
@@ -55,4 +56,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shaped(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the table that it names after FROM, without views that stay behind."""
     name = sql.rsplit("FROM ", 1)[1].split()[0]
-    return spark.sql(sql.rsplit("FROM ", 1)[0] + "FROM {t}", t=load(spark, sf_dir, name))
+    rows = spark.sql(sql.rsplit("FROM ", 1)[0] + "FROM {t}", t=load(spark, sf_dir, name))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds of the wall-clock time since 1970, whatever the session's zone is."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

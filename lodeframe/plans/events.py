@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.operators import evaluate as E
 from lodeframe.operators import logs as L
-from lodeframe.plans.adapters import AUDIT, load, shaped
+from lodeframe.plans.adapters import AUDIT, epoch_seconds, load, shaped
 from lodeframe.sources import files as S
 from lodeframe.storage import checkpoint_folder
 from lodeframe.streaming import jobs as J
@@ -112,7 +112,7 @@ def cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     i = F.col("doc_id")
     c = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), i.alias("case_id"), F.when(F.col("quality") == 1, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("truth"), (F.col("doc_id") % 7 / 4).alias("seconds"))
     level = F.when(i % 5 == 0, "low").when(i % 5 == 1, "high").otherwise("confirmed")
-    e = c.select("mode", "case_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("row_idx"), level.alias("l"), F.lit("CWE-89").alias("cwe"), F.when(i % 6 == 0, "x sk_live_ y").otherwise("plain").alias("text")) if False else load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), i.alias("case_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("row_idx"), level.alias("confidence"), F.lit("CWE-89").alias("cwe"), F.when(i % 6 == 0, "x sk_live_ y").otherwise("plain").alias("text")).where("case_id % 10 <> 9 or row_idx = 2")
+    e = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), i.alias("case_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("row_idx"), level.alias("confidence"), F.lit("CWE-89").alias("cwe"), F.when(i % 6 == 0, "x sk_live_ y").otherwise("plain").alias("text")).where("case_id % 10 <> 9 or row_idx = 2")
     return c, e
 
 
@@ -155,8 +155,8 @@ def _events_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_AUDIT} SELECT endpoint, epoch(date_trunc('minute', ts))::BIGINT AS minute, count(*) AS requests, count(*) FILTER (status_code = 429) AS count_429, count(*) > 20 AS over_limit FROM a GROUP BY 1, 2""")
 def t2_stream_rate(spark, d):
-    out = _drained(J.stream_rate(_events_stream(spark, d), late="3650 days"), spark, "append") if False else _drained(J.stream_rate(_events_stream(spark, d), late="1 hour"), spark)
-    return out.where("endpoint <> 'end'").select("endpoint", F.unix_seconds("minute").alias("minute"), "requests", "count_429", "over_limit")
+    out = _drained(J.stream_rate(_events_stream(spark, d), late="1 hour"), spark)
+    return out.where("endpoint <> 'end'").select("endpoint", epoch_seconds(F.col("minute")).alias("minute"), "requests", "count_429", "over_limit")
 
 
 @query("SELECT count(DISTINCT user_id) AS n FROM events")
@@ -165,7 +165,7 @@ def t3_stream_dedup(spark, d):
     return _drained(J.stream_dedup(rows, "3650 days"), spark).where("event_id >= 0").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_AUDIT} SELECT user_id AS action_id, epoch(ts)::BIGINT AS at, CASE WHEN event_id % 3 = 0 THEN 'TIMED_OUT' ELSE 'APPROVED' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a) WHERE k = 1""")
+@query(f"""{_AUDIT} SELECT user_id AS action_id, epoch_us(ts) // 1000000 AS at, CASE WHEN event_id % 3 = 0 THEN 'TIMED_OUT' ELSE 'APPROVED' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a) WHERE k = 1""")
 def t4_stream_approvals(spark, d):
     from pyspark.sql import Window
 
@@ -178,8 +178,8 @@ def t4_stream_approvals(spark, d):
         rows.write.parquet(f"{at}/{name}/a")
         tail.write.parquet(f"{at}/{name}/b")
     read = lambda name, rows: spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/{name}")
-    out = _drained(J.stream_approvals(read("r", r), read("x", x), late="3650 days" if False else "1 minute"), spark)
-    return out.where("action_id >= 0").select("action_id", F.unix_seconds("ts").alias("at"), "outcome")
+    out = _drained(J.stream_approvals(read("r", r), read("x", x), late="1 minute"), spark)
+    return out.where("action_id >= 0").select("action_id", epoch_seconds(F.col("ts")).alias("at"), "outcome")
 
 
 @query(f"{_AUDIT} SELECT method, count(*) AS n, CAST(sum(m) AS BIGINT) AS masked FROM (SELECT upper(method) AS method, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS m FROM a) GROUP BY 1")

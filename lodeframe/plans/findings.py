@@ -11,6 +11,7 @@ from lodeframe.operators import evaluate as E
 from lodeframe.operators import groups as A
 from lodeframe.operators import normalize as N
 from lodeframe.plans.adapters import RAW_FINDINGS, SMALL_FINDINGS, load, shaped
+from lodeframe.storage import checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -316,7 +317,8 @@ def c7_c8_c10_c12_groups(spark, d):
 @query(f"""{_KEYED}, g AS (SELECT group_key, CASE WHEN bool_or(scan_type = 'SAST') AND bool_or(scan_type = 'DAST') THEN 'sast_dast_suspected' WHEN count(DISTINCT tool) > 1 AND bool_or(scan_type = 'SAST') THEN 'multi_sast' WHEN bool_or(scan_type = 'DAST') THEN 'dast_only' ELSE 'sast_only' END AS correlation_type,
   count(DISTINCT fingerprint) AS members FROM f GROUP BY group_key) SELECT correlation_type, count(*) AS n_groups, CAST(sum(members) AS BIGINT) AS n_members FROM g GROUP BY 1""")
 def c9_correlation_type(spark, d):
-    rows = keyed(spark, d).select("row_idx", "tool", "scan_type", N.fingerprint().alias("fingerprint"), N.group_key().alias("group_key"))
+    # findings are stored between normalisation and grouping, as a user would store them
+    rows = checkpointed(keyed(spark, d).select("row_idx", "tool", "scan_type", N.fingerprint().alias("fingerprint"), N.group_key().alias("group_key")))
     first = C.dedup_in_group(C.initial_clusters(rows).withColumn("founder", F.col("cluster_idx")))
     kinds = C.correlation_type(first).join(first.groupBy("founder").agg(F.count("*").alias("m")), "founder")
     return kinds.groupBy("correlation_type").agg(F.count("*").alias("n_groups"), F.sum("m").alias("n_members"))

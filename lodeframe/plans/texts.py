@@ -115,15 +115,15 @@ p AS (SELECT DISTINCT query_id, unnest(ps) AS phrase FROM ph),
 tf AS (SELECT phrase, doc_id, sum(CASE col WHEN 'title' THEN 6 WHEN 'aliases' THEN 5 WHEN 'identifiers' THEN 5 WHEN 'tags' THEN 3 WHEN 'summary' THEN 2 ELSE 1 END * n) AS f FROM (
   SELECT phrase, doc_id, col, CASE WHEN contains(phrase, ' ') THEN len(list_filter(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1] = phrase)) ELSE len(list_filter(ts, lambda t: t = phrase)) END AS n FROM (SELECT DISTINCT phrase FROM p), k) WHERE n > 0 GROUP BY 1, 2),
 idf AS (SELECT phrase, greatest(ln((docs - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf, st GROUP BY phrase, docs),
-s AS (SELECT query_id, doc_id, round(sum(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tokens / mean))), 6) AS score FROM p JOIN tf USING (phrase) JOIN idf USING (phrase) JOIN l USING (doc_id), st GROUP BY 1, 2)"""
+s AS (SELECT query_id, doc_id, round(sum(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tokens / mean))), 9) AS score FROM p JOIN tf USING (phrase) JOIN idf USING (phrase) JOIN l USING (doc_id), st GROUP BY 1, 2)"""
 
 
-@query(f"{_CORPUS}, {_QUERIES} SELECT query_id, count(*) AS matches, round(min(score), 4) AS best FROM s GROUP BY query_id")
+@query(f"{_CORPUS}, {_QUERIES} SELECT query_id, count(*) AS matches, round(min(score), 4) + 0 AS best FROM s GROUP BY query_id")
 def r1_r2_r4_bm25(spark, d):
     q = queries_of(spark, d).withColumn("normalized", R.normalize_query(F.col("query")))
     postings, lengths = R.build_index(corpus(spark, d))
     scored = R.bm25(R.parse_query(q, "normalized"), postings, lengths)
-    return scored.groupBy("query_id").agg(F.count("*").alias("matches"), F.round(F.min(F.round("score", 6)), 4).alias("best"))
+    return scored.groupBy("query_id").agg(F.count("*").alias("matches"), (F.round(F.min("score"), 4) + F.lit(0.0)).alias("best"))
 
 
 @query(f"""{_CORPUS}, {_QUERIES} SELECT query_id, rank, doc_id, tier FROM (SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, ow, score, doc_id) AS rank FROM (
