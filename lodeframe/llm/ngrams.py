@@ -24,7 +24,7 @@ from . import rice
 from ._shared import checkpointed
 
 #: Words of a block, n-grams that an owner should have, and the least number of owners.
-BLOCK_WORDS, OWNER_NGRAMS, OWNERS = 2_000_000, 1_000_000, 16
+BLOCK_WORDS, OWNER_NGRAMS, OWNERS = 1_200_000, 1_000_000, 16
 #: Pairs seen fewer times are backed off from, by this factor.
 LEAST, BACKOFF = 2, 0.4
 #: Words whose hashes a task keeps.
@@ -58,7 +58,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row() -> pd.DataFrame:
         vocabulary, place = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_inverse=True)
-        return pd.DataFrame({"block": [(part << 32) | number], "ids": [ids], "sizes": [np.array(sizes, "<i8").tobytes()], "vocabulary": [vocabulary.tobytes()], "words": [_pack(place.astype("<u4"))], "n": [words]})
+        return pd.DataFrame({"block": [(part << 32) | number], "ids": [ids], "sizes": [np.array(sizes, "<i8").tobytes()], "vocabulary": [rice.encode(vocabulary, 64)], "words": [_pack(place.astype("<u4"))], "n": [words]})
 
     for batch in batches:
         for d, t in zip(batch["doc_id"], batch["text"], strict=True):
@@ -77,7 +77,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _ngrams(sizes: bytes, vocabulary: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words' hashes, hashes of each with the word before it, whether there is one in its document, documents' sizes."""
     size = np.frombuffer(sizes, "<i8")
-    w = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(zlib.decompress(words), "<u4")]
+    w = rice.decode(vocabulary)[np.frombuffer(zlib.decompress(words), "<u4")]
     inner = np.ones(len(w), bool)
     inner[(np.cumsum(size) - size)[size > 0]] = False
     return w, _pair(np.roll(w, 1), w), inner, size

@@ -18,7 +18,9 @@ def encode(values: np.ndarray, width: int) -> bytes:
     ends = np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1)
     unary = np.zeros(int(ends[-1]), np.uint8)
     unary[ends - 1] = 1
-    low = ((gaps[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    low = np.empty((n, k), np.uint8)
+    for bit in range(k):
+        low[:, bit] = (gaps >> np.uint64(bit)) & np.uint64(1)
     return n.to_bytes(4, "little") + bytes([k]) + np.packbits(unary).tobytes() + np.packbits(low.ravel()).tobytes()
 
 
