@@ -29,6 +29,13 @@ from ._shared import checkpointed, components, small
 SEED = 42
 #: Distinct fingerprints that one list may have before it is keyed again.
 LIST_ROWS = 2048
+#: The same for pairs that are verified, and how often lists are keyed again; those that are still longer are one row each,
+#: compared in blocks (only very many fingerprints within a few bits of each other can get there).
+PAIR_ROWS, DEEPEST = 8192, 4
+#: Pairs for each member beyond which a list is dense.
+DENSE = 4
+#: Words of a shingle, similarity and differing bits of links that are verified.
+VERIFY_WORDS, VERIFY_SIMILARITY, VERIFY_BITS = 5, 0.8, 6
 #: Shingles that are held as bits at a time.
 CHUNK = 1 << 16
 ALL = (1 << 64) - 1
@@ -89,38 +96,67 @@ def _finer(mask: int, bits: int) -> list[int]:
     return [mask | sum(1 << int(i) for i in part) for part in parts]
 
 
-def _linked(values: np.ndarray, bits: int, shared: int) -> np.ndarray:
-    """For sorted distinct values: the place of the smallest one of those that hang together with each."""
+def _near(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct values: places i < j of the pairs that differ in at most `bits` bits, and in how many. Shared bytes are
+    tallied first; pairs below the minimum are out."""
     n = len(values)
-    root = np.arange(n)
-    pairs = []
     step = max(1, (1 << 21) // n)
+    found = []
     for at in range(0, n, step):
         diff = values[at : at + step, None] ^ values[None, :]
         tally = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2)
-        i, j = np.nonzero((tally >= shared) & (np.bitwise_count(diff) <= bits))
+        i, j = np.nonzero((tally >= 8 - bits) & (np.bitwise_count(diff) <= bits))
         keep = i + at < j
-        pairs.append((i[keep] + at, j[keep]))
-    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        found.append((i[keep] + at, j[keep], np.bitwise_count(diff[i[keep], j[keep]])))
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, d
+
+
+def _linked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what hangs together: each member and the smallest place of its own."""
+    root = np.arange(len(values))
+    i, j, _ = _near(values, bits)
     while True:
         before = root.copy()
         np.minimum.at(root, j, root[i])
         np.minimum.at(root, i, root[j])
         root = root[root]
         if (root == before).all():
-            return root
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return moved, root[moved]
+
 
+def _candidates(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to be verified: all of them, or in a dense list those of each member with its nearest one before it."""
+    n, total = len(values), 0
+    every, nearest = [], []
+    step = max(1, (1 << 21) // n)
+    for at in range(0, n, step):
+        diff = values[at : at + step, None] ^ values[None, :]
+        ham = np.bitwise_count(diff)
+        near = ((diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2) >= 8 - bits) & (ham <= bits)
+        near &= np.arange(n)[None, :] < np.arange(at, at + len(diff))[:, None]
+        total += int(near.sum())
+        if total <= DENSE * n:
+            j, i = np.nonzero(near)
+            every.append((i, j + at))
+        j = np.flatnonzero(near.any(1))
+        nearest.append((np.where(near[j], ham[j], 99).argmin(1), j + at))
+    i, j = (np.concatenate(x) for x in zip(*(every if total <= DENSE * n else nearest), strict=True))
+    return i, j
+
+
+def _lists(bits: int, pairs: bool):
+    choose = _candidates if pairs else _linked
 
-def _lists(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             u, v = [], []
             for fps in batch["fps"]:
                 values = np.unique(np.asarray(fps, np.int64).view(np.uint64))
-                root = _linked(values, bits, 8 - bits)
-                moved = root != np.arange(len(values))
-                u.append(values[moved].view(np.int64))
-                v.append(values[root[moved]].view(np.int64))
+                i, j = choose(values, bits)
+                u.append(values[i].view(np.int64))
+                v.append(values[j].view(np.int64))
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return run
@@ -131,10 +167,11 @@ def _shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.when(diff.bitwiseAND(F.lit(_signed(_byte(i)))) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
 
 
-def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
-    """(u, v): for distinct fingerprints (fp), pairs that lie in one group; each group of linked ones is connected by them."""
+def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS, pairs: bool = False) -> DataFrame:
+    """(u, v): for distinct fingerprints (fp), pairs that lie in one group; each group of linked ones is connected by them.
+    With pairs, what is to be verified: pairs that differ in at most `bits` bits (see _candidates for dense lists)."""
     spark: SparkSession = classes.sparkSession
-    masks = _first_masks(bits)
+    masks, level = _first_masks(bits), 0
     keyed = classes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     found = None
     while True:
@@ -142,13 +179,14 @@ def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS) -> Data
         sizes = checkpointed(keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
         near = (_shared_bytes(F.col("u"), F.col("v")) >= 8 - bits) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
         two = sizes.where((F.col("n") == 2) & near).select("u", "v")
-        few = np.bitwise_count(np.array([~m & ALL for m in masks], np.uint64)).max() <= 13
+        few = np.bitwise_count(np.array([~m & ALL for m in masks], np.uint64)).max() <= 13 or level == DEEPEST
         some = F.col("n") > 2 if few else F.col("n").between(3, list_rows)
         lists = keyed.join(sizes.where(some).select("mask", "key"), ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        here = two.unionAll(lists.select("fps").mapInPandas(_lists(bits), "u long, v long"))
+        here = two.unionAll(lists.select("fps").mapInPandas(_lists(bits, pairs), "u long, v long"))
         found = here if found is None else found.unionAll(here)
         if few or not sizes.where(F.col("n") > list_rows).take(1):
             return found
+        level += 1
         # what is left are long lists: their rows are keyed by finer masks, a table of fixed size
         finer = {m: _finer(m, bits) for m in masks}
         masks = sorted({x for f in finer.values() for x in f})
@@ -157,16 +195,48 @@ def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS) -> Data
         keyed = checkpointed(keyed.join(long, ["mask", "key"]).select("fp", F.explode("finer").alias("mask")).distinct())
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, shingle: int = VERIFY_WORDS, similarity: float = VERIFY_SIMILARITY) -> DataFrame:
+    """The pairs (u, v) whose first documents' sets of `shingle`-word shingles have a Jaccard similarity of at least that.
+
+    Only texts of documents in a pair are read again; a text shorter than a shingle is one shingle.
+    """
+    pairs = checkpointed(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    ends = checkpointed(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "fp").join(classes, "fp"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for fp, t in zip(batch["fp"], batch["text"], strict=True):
+                t = t if isinstance(t, str) else ""
+                if _signed(fingerprint(t, words)) == fp:  # an id may come again with another text
+                    w = t.encode().lower().split()
+                    grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
+                    rows.append((fp, np.array(sorted({xxhash.xxh64_intdigest(g) for g in grams}), np.uint64).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "grams"])
+
+    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
+    sets = texts.join(small(ends, ends.count()), "first").select("fp", "text").mapInPandas(run, "fp long, grams array<long>")
+    sets = checkpointed(sets.groupBy("fp").agg(F.min("grams").alias("grams")))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, list_rows: int = LIST_ROWS, verify_bits: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
-    Texts link if their fingerprints differ in `bits` bits at most (3 or fewer keep the index selective). Null text
-    counts as empty: no words, fingerprint zero, which links like any other. Repeated rows are returned as often as they
-    come. A null doc_id is never a component_id unless all of a component are null. An empty table gives no rows.
+    Texts link if their fingerprints differ in `bits` bits at most (3 or fewer keep the index selective). With verify_bits,
+    texts with up to that many differing bits link too if their five-word shingles have a similarity of 0.8 or more. Null
+    text counts as empty: no words, fingerprint zero, which links like any other. Repeated rows are returned as often as
+    they come. A null doc_id is never a component_id unless all of a component are null. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, words))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = checkpointed(components(links(classes.select("fp"), bits, list_rows)))
+    edges = links(classes.select("fp"), bits, list_rows)
+    if verify_bits is not None:
+        wider = links(classes.select("fp"), verify_bits, max(list_rows, PAIR_ROWS), pairs=True).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > bits)
+        edges = edges.unionAll(verified(docs, classes, wider, id_col, text_col, words))
+    roots = checkpointed(components(edges))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = rooted.join(smallest, "root").select("fp", "component_id")
@@ -175,10 +245,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, verify_bits: int | None = VERIFY_BITS) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group that hangs together the smallest doc_id.
 
     Rows without words share the fingerprint zero and so are one group. Null ids stay only where a whole group has none.
     """
-    gone = checkpointed(near_groups(docs, id_col, text_col, words, bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")))
+    gone = checkpointed(near_groups(docs, id_col, text_col, words, bits, verify_bits=verify_bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")))
     return docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

@@ -115,3 +115,37 @@ def test_empty_table_clashing_columns_and_drop(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
     assert sorted(r.doc_id for r in simhash.drop_near(docs).collect()) == [1, 3, 5]
     assert simhash.drop_near(docs).columns == docs.columns
+
+
+def test_verified_links(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    rows = []
+    for g in range(30):
+        words = [rng.choice(vocab) for _ in range(150)]
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 4):
+            copy = words[:]
+            for _ in range(rng.randrange(1, 9)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            rows.append((10 * g + k, " ".join(copy)))
+    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(146)} for d, t in rows}
+    fps = {d: brute(t) for d, t in rows}
+    root = {d: d for d in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b:
+                d, common = (fps[a] ^ fps[b]).bit_count(), len(shingles[a] & shingles[b])
+                if d <= 3 or (d <= 6 and common >= 0.8 * (len(shingles[a]) + len(shingles[b]) - common)):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, verify_bits=6).collect()}
+    assert got == {d: find(d) for d in fps} and len(set(got.values())) < len(got)
+    assert {r.doc_id for r in simhash.drop_near(docs).collect()} == set(got.values())
