@@ -8,8 +8,11 @@ the words' posteriors, by forward-backward over the whole text; documents are la
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -202,18 +205,22 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = DOCS_PER_LABEL) -> Field | None:
     """Trains on at most per_label documents of each label, those with the smallest hashes of their ids and texts."""
-    rows = docs.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("by"))
-    rows = rows.where(F.length("text") > 0).select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "by")
-    labels = sorted(r[0] for r in rows.select("label").distinct().collect())  # the classes
-    sample = []
-    for label in labels:
-        sample += [(label, r.text) for r in rows.where(F.col("label") == label).orderBy("by", "text").limit(per_label).collect()]
+    known = docs.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("by"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # the classes; no text is read
+    # hashes are even, so this share of them holds about twice as many rows as are taken, whatever the table's size
+    share = {label: min(1.0, 2 * per_label / n) for label, n in counts.items()}
+    near = [(F.col("label") == label) & (F.col("by") <= int(-(2**63) + x * (2**64 - 1)) if x < 1 else F.lit(True)) for label, x in share.items()]
+    if not near:
+        return None
+    rows = known.where(reduce(or_, near)).where(F.length("text") > 0).select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "by").collect()
+    sample: list[tuple[str, str]] = []
+    for label in sorted(counts):
+        own = sorted((r.by, r.text) for r in rows if r.label == label)
+        sample += [(label, text) for _, text in own[:per_label]]
     return train(sorted(sample, key=lambda r: (hash_of(r[1]), r)))
 
 
 def hash_of(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode())
 
 
