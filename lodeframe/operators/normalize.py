@@ -117,14 +117,15 @@ def zap_alerts(reports: DataFrame) -> DataFrame:
 
 def flatten_zap(reports: DataFrame) -> DataFrame:
     """One row per instance; plugin and URI are required; other information falls back to the alert's."""
-    r = zap_alerts(reports).select("*", F.posexplode("alert.instances").alias("i", "n"))
+    alerts = zap_alerts(reports).withColumns({"description": plain_text(F.col("alert.desc")), "solution": plain_text(F.col("alert.solution"))})
+    r = alerts.select("*", F.posexplode("alert.instances").alias("i", "n"))
     a, n = F.col("alert"), F.col("n")
     site = F.when(F.col("listed"), F.concat(F.lit("/site/"), "s")).otherwise(F.lit("/site"))
     plugin = X.text_or_null(a["pluginid"])
     return _rows(r, {
         "pointer": F.concat(site, F.lit("/alerts/"), "a", F.lit("/instances/"), "i"), "position": (F.col("s") * 10**6 + F.col("a")) * 10**6 + F.col("i"), "rule_id": plugin,
         "rule_reference": X.text_or_null(a["alertRef"]), "rule_name": F.coalesce(X.text_or_null(a["name"]), X.text_or_null(a["alert"])), "fit": plugin.isNotNull() & X.text_or_null(n["uri"]).isNotNull(),
-        "native_severity": a["riskcode"], "native_confidence": a["confidence"], "title": X.text_or_null(a["name"]), "description": plain_text(a["desc"]), "solution": plain_text(a["solution"]),
+        "native_severity": a["riskcode"], "native_confidence": a["confidence"], "title": X.text_or_null(a["name"]), "description": F.col("description"), "solution": F.col("solution"),
         "cwe_raw": F.array(a["cweid"]), "wasc_raw": F.array(a["wascid"]), "reference_text": F.array(a["reference"]), "kind": F.lit("http"), "uri": X.text_or_null(n["uri"]),
         "method": F.upper(X.text_or_null(n["method"])), "parameter": X.text_or_null(n["param"]), "matched": X.text_or_null(n["evidence"]),
         "note": F.coalesce(X.text_or_null(n["otherinfo"]), X.text_or_null(a["otherinfo"])), "attack": X.text_or_null(n["attack"]),
@@ -364,7 +365,9 @@ def normalize_all(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     origin = X.http_origin(F.col("meta.target.base_url"))
     rows = rows.withColumn("fit", F.col("fit") & ((F.col("tool") != "zap") | origin.isNotNull()))
     rows = rows.withColumn("in_scope", (F.col("tool") != "zap") | F.coalesce(X.http_origin(F.col("uri")) == origin, F.lit(False)))
-    rows = checkpointed(rows)  # documents are parsed once; what follows reads flat rows
+    # documents are parsed once; a report is one row until then, so its results are dealt out before the rest is done
+    width = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(rows.repartition(width, "report_path", "pointer"))
     failed = rows.where("not fit").select("report_path").distinct()
     kept = rows.join(failed, "report_path", "left_anti")
     findings = assemble_findings(kept.where("in_scope"))

@@ -150,8 +150,14 @@ def n19_quality(spark, d):
     return rows.groupBy("tool", N.evidence_quality().alias("quality")).agg(F.count("*").alias("n"))
 
 
+def at_rest(reports: DataFrame) -> DataFrame:
+    """Derived reports, stored and spread as files are."""
+    width = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(reports.repartition(width, "report_path"))
+
+
 def zap_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Raw documents: one report per 500 orders, lines as instances; every other report has one site, not a list."""
+    """Raw documents, stored as reports are: one report per 500 orders, lines as instances; every other report has one site, not a list."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.floor(F.col("l_orderkey") / 500).alias("rep"))
     uri = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("http://other/x"), "l_suppkey")).otherwise(F.concat(F.lit("http://t:3000/p/"), F.col("l_orderkey") % 50))
     inst = F.struct(uri.alias("uri"), F.lit("get").alias("method"), F.concat(F.lit("q"), F.col("l_linenumber")).alias("param"))
@@ -161,7 +167,7 @@ def zap_reports(spark: SparkSession, d: str) -> DataFrame:
     site = F.struct("alerts")
     doc = F.when(F.col("rep") % 2 == 0, F.to_json(F.struct(F.array(site).alias("site")))).otherwise(F.to_json(F.struct(site.alias("site"))))
     meta = F.from_json(F.lit('{"run_id": "r", "scanned_at": "2026-08-05T00:00:00Z", "target": {"name": "shop", "base_url": "http://t:3000"}}'), N.S.SCAN_META)
-    return docs.select(F.concat(F.lit("zap/"), "rep").alias("report_path"), F.lit("zap").alias("tool"), doc.alias("doc"), meta.alias("meta"))
+    return at_rest(docs.select(F.concat(F.lit("zap/"), "rep").alias("report_path"), F.lit("zap").alias("tool"), doc.alias("doc"), meta.alias("meta")))
 
 
 @query("""SELECT 'zap/' || CAST(l_orderkey // 500 AS STRING) AS report_path, '1000' || CAST(l_orderkey % 7 AS STRING) AS rule_id, count(*) AS n, count(DISTINCT l_linenumber) AS parameters FROM lineitem GROUP BY 1, 2""")
@@ -201,7 +207,7 @@ def semgrep_reports(spark: SparkSession, d: str) -> DataFrame:
     )
     docs = o.groupBy("rep").agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list(doc), ","), F.lit("]}")).alias("doc"))
     meta = F.from_json(F.lit('{"run_id": "r", "scanned_at": "2026-08-05T00:00:00Z", "target": {"name": "shop"}}'), N.S.SCAN_META)
-    return docs.select(F.concat(F.lit("semgrep/"), "rep").alias("report_path"), F.lit("semgrep").alias("tool"), "doc", meta.alias("meta"))
+    return at_rest(docs.select(F.concat(F.lit("semgrep/"), "rep").alias("report_path"), F.lit("semgrep").alias("tool"), "doc", meta.alias("meta")))
 
 
 @query("""SELECT 'rule-' || CAST(o_orderkey % 11 AS STRING) AS rule_id, 'CWE-' || CAST(o_orderkey % 30 + 1 AS STRING) AS cwe, 'Abc' AS title, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS flows, sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS steps FROM orders GROUP BY 1, 2""")
@@ -220,7 +226,7 @@ def sarif_reports(spark: SparkSession, d: str) -> DataFrame:
     rules = ", ".join(f'{{"id": "r{i}", "shortDescription": {{"text": "Rule {i}"}}, "properties": {{"security-severity": "{i * 2}.0", "precision": "high", "tags": ["external/cwe/cwe-0{i + 1}"]}}}}' for i in range(5))
     head = '{"version": "2.1.0", "runs": [{"tool": {"driver": {"rules": [' + rules + ']}}, "artifacts": [{"location": {"uri": "lib/a.ts"}}, {"location": {"uri": "lib/b.ts"}}], "invocations": [{"toolExecutionNotifications": [{"descriptor": {"id": "js/extraction-error"}, "locations": []}, {"descriptor": {"id": "js/parse-error"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "z.ts"}}}]}]}], "results": ['
     docs = o.groupBy("rep").agg(F.concat(F.lit(head), F.array_join(F.collect_list(res), ","), F.lit("]}]}")).alias("doc"))
-    return docs.select(F.concat(F.lit("codeql/"), "rep").alias("report_path"), F.lit("codeql").alias("tool"), "doc")
+    return at_rest(docs.select(F.concat(F.lit("codeql/"), "rep").alias("report_path"), F.lit("codeql").alias("tool"), "doc"))
 
 
 @query("""SELECT 'r' || CAST(o_orderkey % 6 AS STRING) AS rule_id, CASE WHEN o_orderkey % 6 < 5 THEN 'Rule ' || CAST(o_orderkey % 6 AS STRING) END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'src/' || CAST(o_orderkey % 20 AS STRING) || '.ts' ELSE 'lib/b.ts' END AS path, count(*) AS n, count(*) FILTER (o_orderkey % 6 = 5) AS missing FROM orders GROUP BY 1, 2, 3""")
