@@ -92,14 +92,15 @@ def unquote(c: Column) -> Column:
 
 
 def code_path(c: Column) -> Column:
-    """A relative path with forward slashes; null if nothing is left or it climbs up."""
+    """A relative path with forward slashes; null if nothing is left or it climbs up.
+
+    Each step takes the one before it as seldom as it can, since expressions that repeat others grow fast.
+    """
     value = F.replace(strip(c), F.lit("\\"), F.lit("/"))
     value = F.when(value.startswith("file:"), unquote(F.regexp_extract(value, r"^file:(?://[^/?#]*)?([^?#]*)", 1))).otherwise(value)
-    value = F.regexp_replace(value, "/+", "/")
-    marked = r"(?:^|/)target-app/[^/]+/(.*)$"
-    value = F.when(value.rlike(marked), F.regexp_extract(value, marked, 1)).otherwise(value)
-    parts = F.filter(F.split(value, "/"), lambda p: (p != "") & (p != "."))
-    return F.when((F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))
+    value = F.regexp_replace(F.regexp_replace(value, "/+", "/"), r"(?s)^(?:.*?/)?target-app/[^/]+/", "")
+    path = F.array_join(F.filter(F.split(value, "/"), lambda p: (p != "") & (p != ".")), "/")
+    return F.nullif(F.regexp_replace(path, r"(?s)^(?:.*/)?\.\.(?:/.*)?$", ""), F.lit(""))
 
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
