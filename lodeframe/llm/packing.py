@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a Python worker may hold, the longest of them, texts handled at a time, and chunks tokenised as one text.
-CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED = 500_000, 256, 500, 4000
+CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED = 200_000, 256, 500, 4000
 #: A fixed value: how byte-level BPE of this public kind cuts texts.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBE = " It's 1,234 words; we'll tokenize them_all... été Ärger 日本語 😀 ### &&& |a|b|\nnext LINE\tTAB x=y+z (1999) ~~ \u00ad"

@@ -36,6 +36,8 @@ PAIR_ROWS, DEEPEST = 8192, 4
 DENSE = 4
 #: Words of a shingle, similarity and differing bits of links that are verified.
 VERIFY_WORDS, VERIFY_SIMILARITY, VERIFY_BITS = 5, 0.8, 6
+#: Pairs that are compared at a time.
+BLOCK_PAIRS = 1 << 18
 #: Shingles that are held as bits at a time.
 CHUNK = 1 << 16
 ALL = (1 << 64) - 1
@@ -100,7 +102,7 @@ def _near(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """For distinct values: places i < j of the pairs that differ in at most `bits` bits, and in how many. Shared bytes are
     tallied first; pairs below the minimum are out."""
     n = len(values)
-    step = max(1, (1 << 21) // n)
+    step = max(1, BLOCK_PAIRS // n)
     found = []
     for at in range(0, n, step):
         diff = values[at : at + step, None] ^ values[None, :]
@@ -130,7 +132,7 @@ def _candidates(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs to be verified: all of them, or in a dense list those of each member with its nearest one before it."""
     n, total = len(values), 0
     every, nearest = [], []
-    step = max(1, (1 << 21) // n)
+    step = max(1, BLOCK_PAIRS // n)
     for at in range(0, n, step):
         diff = values[at : at + step, None] ^ values[None, :]
         ham = np.bitwise_count(diff)
@@ -245,7 +247,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, verify_bits: int | None = VERIFY_BITS) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, verify_bits: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group that hangs together the smallest doc_id.
 
     Rows without words share the fingerprint zero and so are one group. Null ids stay only where a whole group has none.

@@ -148,4 +148,4 @@ def test_verified_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, verify_bits=6).collect()}
     assert got == {d: find(d) for d in fps} and len(set(got.values())) < len(got)
-    assert {r.doc_id for r in simhash.drop_near(docs).collect()} == set(got.values())
+    assert {r.doc_id for r in simhash.drop_near(docs, verify_bits=6).collect()} == set(got.values())
