@@ -19,12 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The bounded sample: documents per label (by a hash of their ids), and characters and words of each.
-DOCS_PER_LABEL, SAMPLE_CHARS, SAMPLE_WORDS = 400, 1200, 60
+#: The bounded sample: whole documents per label, by a hash of their ids. Their words are cut into stretches of HALF.
+DOCS_PER_LABEL, HALF = 80, 30
 #: Hashed features, words of the lexicon per label, words that a task keeps scores of, words labelled at a time.
 BUCKETS, LEXICON, CACHE_WORDS, GROUP_WORDS = 1 << 15, 400, 400_000, 400_000
-#: Steps of Adam, their size, and the weight of the squared parameters.
-STEPS, RATE, DECAY = 120, 0.1, 1e-5
+#: Steps of Adam, their size, the weight of the squared parameters, and sequences a step (the next ones in a fixed order).
+STEPS, RATE, DECAY, SEQUENCES = 120, 0.1, 1e-5, 1600
 UNKNOWN = "und"
 
 
@@ -155,37 +155,37 @@ class Field:
                 out[j] = (self.labels[best], float(row[best] / row.sum()))
 
 
-def train(sample: list[tuple[str, str]], steps: int = STEPS) -> Field | None:
-    """The field of (label, text) rows; None without any that has letters. Rows should come in a fixed order."""
-    rows = [(label, [c for w in text.lower().split() if (c := tidy(w))][:SAMPLE_WORDS]) for label, text in sample]
+def train(sample: list[tuple[str, str]], steps: int = STEPS, sequences: int = SEQUENCES) -> Field | None:
+    """The field of (label, text) rows; None without any that has letters. Rows should come in a fixed order.
+
+    Every word of every row is learned from: a text is cut into stretches, each stretch is followed by one of another
+    place, of any language, and the steps go through all of these sequences in turn.
+    """
+    rows = [(label, [c for w in text.lower().split() if (c := tidy(w))]) for label, text in sample]
     rows = [(label, ws) for label, ws in rows if ws]
     labels = sorted({label for label, _ in rows})
     if not labels:
         return None
     counts = {label: Counter(w for x, ws in rows if x == label for w in ws) for label in labels}
     lexicon = {w: i for i, w in enumerate(dict.fromkeys(w for label in labels for w, n in counts[label].most_common(LEXICON) if n > 1))}
-    # half of one document, then half of another, of any language
-    sequences, truth = [], []
-    for k, (label, ws) in enumerate(rows):
-        other, us = rows[(k * 7 + 3) % len(rows)]
-        head, tail = ws[: SAMPLE_WORDS // 2], us[-(SAMPLE_WORDS // 2) :]
-        sequences.append(head + tail)
-        truth.append([labels.index(label)] * len(head) + [labels.index(other)] * len(tail))
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in rows for w in ws))}
     ids, starts = features(list(vocabulary), lexicon)
     owner = np.searchsorted(starts, np.arange(len(ids)), side="right") - 1
-    at = np.array([vocabulary[w] for s in sequences for w in s])
-    y = np.concatenate(truth)
-    sizes = np.array([len(s) for s in sequences])
-    last = np.cumsum(sizes) - 1
-    inner = np.ones(len(y), bool)
-    inner[last] = False
+    halves = [(labels.index(label), np.array([vocabulary[w] for w in ws[i : i + HALF]])) for label, ws in rows for i in range(0, len(ws), HALF)]
+    order = np.random.default_rng(0).permutation(len(halves)).tolist()
+    pairs_of = [(halves[i], halves[j]) for i, j in zip(order, order[1:] + order[:1], strict=True)]
     n, dims = len(labels), BUCKETS + len(lexicon) + 1
-    seen = np.zeros((n, n))
-    np.add.at(seen, (y[inner], y[np.flatnonzero(inner) + 1]), 1)
     params = [np.zeros((dims, n)), np.zeros((n, n))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
+        some = [pairs_of[k % len(pairs_of)] for k in range((step - 1) * sequences, (step - 1) * sequences + min(sequences, len(pairs_of)))]
+        at = np.concatenate([x for pair in some for _, x in pair])
+        y = np.repeat([label for pair in some for label, _ in pair], [len(x) for pair in some for _, x in pair])
+        sizes = np.array([len(a) + len(b) for (_, a), (_, b) in some])
+        inner = np.ones(len(y), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        seen = np.zeros((n, n))
+        np.add.at(seen, (y[inner], y[np.flatnonzero(inner) + 1]), 1)
         words = np.add.reduceat(params[0][ids], starts, axis=0)
         p, pairs = posteriors(words[at], params[1], sizes)
         p[np.arange(len(y)), y] -= 1
@@ -204,7 +204,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = DOCS_PER_LABEL) -> Field | None:
-    """Trains on at most per_label documents of each label, those with the smallest hashes of their ids and texts."""
+    """Trains on the whole texts of at most per_label documents of each label, those with the smallest hashes of their ids."""
     known = docs.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("by"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # the classes; no text is read
     # hashes are even, so this share of them holds about twice as many rows as are taken, whatever the table's size
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     near = [(F.col("label") == label) & (F.col("by") <= int(-(2**63) + x * (2**64 - 1)) if x < 1 else F.lit(True)) for label, x in share.items()]
     if not near:
         return None
-    rows = known.where(reduce(or_, near)).where(F.length("text") > 0).select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "by").collect()
+    rows = known.where(reduce(or_, near)).where(F.length("text") > 0).select("label", "text", "by").collect()
     sample: list[tuple[str, str]] = []
     for label in sorted(counts):
         own = sorted((r.by, r.text) for r in rows if r.label == label)
@@ -228,7 +228,8 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     """One row per row of docs: doc_id, held_out, lang_pred, score (share of the words' probability that it has).
 
     und, with score 0, for null texts and texts without a letter, and for all if nothing could be learned. Equal shares
-    go to the first label in order. Repeated rows are labelled each; no other column is read.
+    go to the first label in order. Texts of any length are labelled whole, in memory that grows with the longest. Repeated
+    rows are labelled each; no other column is read, whatever its name. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)  # bounded by BUCKETS, LEXICON and the labels
 
@@ -248,4 +249,8 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """predict() with what fit() learns from docs' own labels: see there for nulls, ties and repeated rows.
+
+    Null labels teach nothing; without any label all rows are und. Held-out rows are labelled, never learned from.
+    """
     return predict(docs, fit(docs, id_col, text_col, label_col), id_col, text_col)

@@ -71,3 +71,32 @@ def test_nulls_no_letters_and_nothing_to_learn(spark):
     field = L.train([("aa", "x x"), ("bb", "schung keit")], steps=20)
     got = [(r.doc_id, r.lang_pred, r.score) for r in L.predict(docs, field).collect()]
     assert got[:3] == [(1, "und", 0.0), (2, "und", 0.0), (None, "und", 0.0)] and got[3][1] == "aa"
+
+
+def test_whole_texts_are_learned_from():
+    """What only stands at the end of long documents is learned too."""
+    rng = random.Random(6)
+    head = " ".join(words(rng, "cc", 400))
+    rows = [(x, f"{head} {' '.join(words(rng, x, 200))}") for _ in range(6) for x in ("aa", "bb")]
+    field = L.train(rows, steps=60)
+    assert [field.predict([" ".join(words(rng, x, 40))])[0][0] for x in ("aa", "bb")] == ["aa", "bb"]
+
+
+def test_query_equals_a_plain_computation(spark):
+    """identify() as a whole against the same field walked text by text, with the split and the sample chosen in plain code."""
+    rows = corpus(90, 8) + [(500, None, "aa"), (501, "12 !", "bb"), (502, "", None), (503, "ba no ti " * 4000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    field = L.fit(docs)
+    taught = [(x, t) for d, t, x in rows if x and t and zlib.crc32(str(d).encode()) % 3 != 1]
+    plain = L.train(sorted(taught, key=lambda r: (L.hash_of(r[1]), r)))
+    assert plain.labels == field.labels and np.allclose(plain.weights, field.weights) and np.allclose(plain.transition, field.transition)
+    for r in L.identify(docs).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id)
+        tokens = (text or "").lower().split()
+        scores = np.array([plain.emissions([L.tidy(w)])[0] if L.tidy(w) else np.zeros(len(plain.labels)) for w in tokens])
+        if not any(map(L.tidy, tokens)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mass, _ = L.posteriors(scores, plain.transition, np.array([len(tokens)]))
+        share = mass[[bool(L.tidy(w)) for w in tokens]].sum(0)
+        assert r.lang_pred == plain.labels[share.argmax()] and abs(r.score - share.max() / share.sum()) < 1e-6
