@@ -3,8 +3,9 @@
 Turn k of a conversation gets a rolling hash of its turns 1..k (128 bits: two running exclusive-ors of hashes of number,
 role and text). A conversation whose last hash is a proper prefix hash of another is a snapshot and goes by an anti-join;
 of equal conversations the smallest conv_id stays. Hashes are grouped, with map-side combining, before they are joined, so
-a first turn that everyone sends is one row. Windows run over stretches of STRETCH turn numbers, whose totals are added
-up in a second step, so no conversation has to fit in one task; texts move only for conversations that stay.
+a first turn that everyone sends is one row. All of this is done on narrow rows, with two hashes in place of each text.
+Windows run over stretches of STRETCH turn numbers, whose totals are added up in a second step, so no conversation has to
+fit in one task. Texts are read a second time, and only turns of conversations that stay are moved, once.
 """
 
 from __future__ import annotations
@@ -12,22 +13,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import checkpointed, small
 
 #: Turn numbers in a stretch, and turns in one rendered part.
 STRETCH, PART = 1024, 1024
 
 
+def hashed(conversations: DataFrame, *more: str) -> DataFrame:
+    """(conv_id, turn, role, h, g, ...): two hashes for the text, and the columns in more. Null roles and texts are empty."""
+    text = F.coalesce("text", F.lit(""))
+    return conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g"), *more)
+
+
 def _order() -> list[Column]:
-    return [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    return [F.col("turn").asc_nulls_last(), F.col("role"), F.col("h")]
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with a number from 1 in each conversation, and its count of turns.
+    """turns (conv_id, turn, role, h, ...) with a number from 1 in each conversation (at), and its count of turns (n).
 
-    Turns are ordered by turn (nulls last), ties by role, then by a hash of the text, so equal rows only are in no order.
+    Turns are ordered by turn (nulls last), ties by role, then by the text's hash, so equal rows only are in no order.
     """
-    rows = turns.withColumn("h", F.xxhash64("text")).withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(2**62)))
+    rows = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(2**62)))
     inside = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "stretch").orderBy(*_order())))
     sizes = rows.groupBy("conv_id", "stretch").agg(F.count("*").alias("m"))
     ahead = Window.partitionBy("conv_id").orderBy("stretch")
@@ -38,9 +45,7 @@ def numbered(turns: DataFrame) -> DataFrame:
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """(conv_id, at, n, a, b): the rolling hashes of numbered turns."""
-    text = F.coalesce("text", F.lit(""))
-    role = F.coalesce("role", F.lit(""))
-    own = rows.select("conv_id", "stretch", "at", "n", F.xxhash64("at", role, text).alias("x"), F.xxhash64(F.lit("second"), text, role, "at").alias("y"))
+    own = rows.select("conv_id", "stretch", "at", "n", F.xxhash64("at", "role", "h").alias("x"), F.xxhash64("g", "role", "at").alias("y"))
     inside = Window.partitionBy("conv_id", "stretch").orderBy("at")
     run = own.select("conv_id", "stretch", "at", "n", F.bit_xor("x").over(inside).alias("x"), F.bit_xor("y").over(inside).alias("y"))
     totals = own.groupBy("conv_id", "stretch").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
@@ -51,7 +56,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """(keep, n, copies): of numbered turns, the conversations that are no proper prefix of another, equal ones once."""
+    """(keep, turns, copies): of numbered turns, the conversations that are no proper prefix of another, equal ones once."""
     hashes = checkpointed(prefixes(rows))
     whole = hashes.where(F.col("at") == F.col("n")).groupBy("n", "a", "b").agg(F.min("conv_id").alias("keep"), F.count("*").alias("copies"))
     proper = hashes.where(F.col("at") < F.col("n")).select(F.col("at").alias("n"), "a", "b").distinct()
@@ -62,15 +67,26 @@ def render(conversations: DataFrame, part: int = PART) -> DataFrame:
     """One row per kept conversation and part of it: conv_id, part, n_turns, copies, text.
 
     A turn is "<|role|>", a line feed, its text, a line feed, "<|end|>", a line feed; "<|" inside texts and roles becomes
-    "< |", so no text can end a turn. A part has at most `part` turns; most conversations have part 0 alone. Null roles
-    and texts count as empty. Rows with a null conv_id are one conversation. copies counts equal conversations. Repeated
-    rows are turns like others. Other columns are not read. An empty table gives no rows.
+    "< |", so no text can end a turn. A part has at most `part` turns; most conversations have part 0 alone, and the parts
+    of one in order hold all of it. Null roles and texts count as empty. Rows with a null conv_id are one conversation.
+    copies counts equal conversations. Repeated rows are turns like others. Texts of any length are moved whole. Other
+    columns are not read, whatever their names. An empty table gives no rows.
     """
-    turns = conversations.select("conv_id", "turn", "role", "text")
-    rows = numbered(turns)
-    keep = maximal(rows)
+    keep = checkpointed(maximal(numbered(hashed(conversations))))
+    few = small(keep, keep.count())
     safe = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("<|"), F.lit("< |"))
-    piece = F.concat(F.lit("<|"), safe("role"), F.lit("|>\n"), safe("text"), F.lit("\n<|end|>\n"))
-    own = rows.join(keep, F.col("conv_id").eqNullSafe(F.col("keep")))
-    grouped = own.groupBy("conv_id", F.floor((F.col("at") - 1) / part).alias("part"), "turns", "copies").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))).alias("pieces"))
-    return grouped.select("conv_id", "part", F.col("turns").alias("n_turns"), "copies", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
+    turns = hashed(conversations, F.concat(F.lit("<|"), safe("role"), F.lit("|>\n"), safe("text"), F.lit("\n<|end|>\n")).alias("piece"))
+    own = turns.join(few, F.col("conv_id").eqNullSafe(F.col("keep"))).drop("g", "keep")
+
+    def joined(rows: DataFrame, *order: str) -> DataFrame:
+        pieces = F.array_sort(F.collect_list(F.struct(*order, "piece")))
+        grouped = rows.groupBy("conv_id", "part", "turns", "copies").agg(pieces.alias("pieces"))
+        return grouped.select("conv_id", "part", F.col("turns").alias("n_turns"), "copies", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
+
+    # what has one part needs no numbers; the number of a turn in a longer one tells its part
+    short = own.where(F.col("turns") <= part).withColumns({"part": F.lit(0).cast("long"), "late": F.col("turn").isNull()})
+    out = joined(short, "late", "turn", "role", "h")
+    if keep.where(F.col("turns") > part).take(1):
+        long = numbered(own.where(F.col("turns") > part)).withColumn("part", F.floor((F.col("at") - 1) / part))
+        out = out.unionAll(joined(long, "at"))
+    return out

@@ -75,6 +75,29 @@ def queries() -> dict[str, Query]:
     }
 
 
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op2_exact_dedup": r"""
+            WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+            SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+            FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+        "op3_chat": r"""
+            WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM conversations),
+            c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(31) || text || chr(30), '' ORDER BY at) AS s FROM t GROUP BY conv_id),
+            k AS (SELECT min(conv_id) AS conv_id, n, count(*) AS copies FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.n > c.n AND starts_with(b.s, c.s)) GROUP BY n, s)
+            SELECT conv_id, CAST((at - 1) // 1024 AS BIGINT) AS part, n AS n_turns, copies,
+                   string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY at) AS text
+            FROM t JOIN k USING (conv_id) GROUP BY ALL""",
+        "op4_lm_score": op4_lm_score,
+        "op5_quality": op5_quality,
+        "op6_secrets": op6_secrets,
+        "op7_packing": op7_packing,
+        "op8_language": op8_language,
+        "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": r"""

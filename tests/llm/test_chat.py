@@ -59,3 +59,17 @@ def test_ties_nulls_repeats_and_clashing_columns(spark):
     got = {r.conv_id: (r.n_turns, r.copies) for r in chat.render(turns).collect()}
     assert got == {1: (2, 2), None: (2, 1), 3: (2, 1)}
     assert chat.render(turns.limit(0)).count() == 0
+
+
+def test_long_texts_and_a_shuffled_join(spark, monkeypatch):
+    """Texts of a megabyte, and conversations that are too many to broadcast."""
+    monkeypatch.setattr(chat, "small", lambda df, rows: df)
+    rows = [(c, k, "user", f"{c % 2} {k} " + "long " * 200_000) for c in range(3) for k in range(2)] + [(9, 0, "user", "0 0 " + "long " * 200_000)]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted((r.conv_id, r.part, r.n_turns, r.copies, r.text) for r in got.collect()) == brute(rows)
+
+
+def test_texts_move_once(spark):
+    rows = [(c, k, "user", f"text {c} {k}") for c in range(5) for k in range(3)]
+    plan = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
