@@ -5,6 +5,9 @@ checkpointed. Of its n-grams (words and word pairs) each block sends every owner
 distinct ones, Golomb-coded, and their counts. An owner adds up the counts over all blocks - this is its part of the
 n-gram count table - and answers each block with the totals of what that block sent. Blocks join their answers, look up
 each n-gram of each document, and sum. An n-gram is one entry of a block's row however often it comes, so no n-gram is hot.
+
+A document is scored by all others: its own counts are taken off the totals, so that it does not vouch for itself. All
+counts are kept, and a pair is backed off from only where no other document has it.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from ._shared import checkpointed
 
 #: Words of a block, n-grams that an owner should have, and the least number of owners.
 BLOCK_WORDS, OWNER_NGRAMS, OWNERS = 1_200_000, 1_000_000, 16
-#: Pairs seen fewer times are backed off from, by this factor.
-LEAST, BACKOFF = 2, 0.4
+#: The factor of backing off, and what counts for a word that no other document has.
+BACKOFF, UNSEEN = 0.4, 0.5
+#: Words whose own counts are taken at a time.
+COUNTED = 1 << 17
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 500_000
 
@@ -118,7 +123,21 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": rows["owner"], "block": rows["block"], "totals": answers})
 
 
-def _score(total: int, least: int, backoff: float):
+def _own(place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each n-gram comes in its own document; doc is sorted."""
+    out, at = np.empty(len(place), np.int64), 0
+    while at < len(place):
+        end = min(at + COUNTED, len(place))
+        end = end if end == len(place) else max(int(np.searchsorted(doc, doc[end], "left")), at)
+        end = end if end > at else int(np.searchsorted(doc, doc[at], "right"))  # one document that is longer
+        key = (doc[at:end] - doc[at]) * (int(place[at:end].max()) + 1) + place[at:end]
+        _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+        out[at:end] = counts[back]
+        at = end
+    return out
+
+
+def _score(total: int, backoff: float, unseen: float):
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         answers = answers.sort_values("owner")
@@ -126,13 +145,15 @@ def _score(total: int, least: int, backoff: float):
             w, pair, inner, size = _ngrams(r.sizes, r.vocabulary, r.words)
             _, place, _ = _distinct(w, pair, inner)
             # owners are ranges of hashes, so their answers in order stand as the sorted hashes do
-            totals = np.concatenate([np.frombuffer(zlib.decompress(t), "<i8") for t in answers["totals"]]) if len(w) else np.empty(0)
-            one = totals[place[: len(w)]].astype(float)
-            two = np.zeros(len(w))
-            two[inner] = totals[place[len(w) :]]
-            found = inner & (two >= least)
+            totals = np.concatenate([np.frombuffer(zlib.decompress(t), "<i8") for t in answers["totals"]]) if len(w) else np.empty(0, np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            one = totals[place[: len(w)]] - _own(place[: len(w)], doc)
+            two = np.zeros(len(w), np.int64)
+            two[inner] = totals[place[len(w) :]] - _own(place[len(w) :], doc[inner])
+            others = np.maximum(total - size, 1)[doc]
+            found = two > 0
             with np.errstate(divide="ignore"):
-                score = np.where(found, np.log(two) - np.log(np.roll(one, 1)), np.log(one) - math.log(max(total, 1)) + np.where(inner, math.log(backoff), 0.0))
+                score = np.where(found, np.log(two) - np.log(np.roll(one, 1)), np.log(np.maximum(one, unseen)) - np.log(others) + np.where(inner, math.log(backoff), 0.0))
             ends = np.cumsum(size)
             sums = lambda x: np.diff(np.append(0.0, np.cumsum(x))[np.append(0, ends)])  # noqa: B023, E731
             exact = [math.fsum(score[e - n : e]) for e, n in zip(ends, size, strict=True)]
@@ -142,12 +163,14 @@ def _score(total: int, least: int, backoff: float):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, unseen: float = UNSEEN) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_backoff, log_score (natural log, summed over words), mean_log_score.
 
-    A word after another scores c(pair) / c(first) if the pair comes at least `least` times in all documents, else
-    backoff * c(word) / N; a document's first word scores c(word) / N. N counts all words. Texts without words, and null
-    ones, score 0 over 0 words, their mean is null. Repeated rows count and are scored each. No other column is read.
+    Counts are those of all other rows. A word after another scores c(pair) / c(first) if another row has the pair, else
+    backoff * c(word) / N; a row's first word scores c(word) / N. N counts all words of the others; a word that none of
+    them has counts as `unseen`. Texts without words, and null ones, score 0 over 0 words, their mean is null. Rows that
+    repeat, with the same id or another, are rows like others: each is scored, by its copies too. A text of any length is
+    read whole, as one block if it is longer than others. No other column is read. An empty table gives no rows.
     """
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -157,5 +180,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     sent = blocks.drop("ids").mapInPandas(_send(owners), "owner long, block long, keys binary, counts binary")
     answers = sent.groupBy("owner").applyInPandas(_total, "owner long, block long, totals binary")
     schema = f"doc_id {id_type}, n_words long, n_backoff long, log_score double"
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(total, least, backoff), schema)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(total, backoff, unseen), schema)
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -114,11 +114,14 @@ def oracle_sql() -> dict[str, str]:
         "op4_lm_score": r"""
             WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
             i AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
-            t AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM i),
+            p AS (SELECT doc_id, i, len(ws) AS m, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p FROM i),
+            o AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS ow, count(*) OVER (PARTITION BY doc_id, p, w) AS ob FROM p),
+            t AS (SELECT *, lag(ow) OVER (PARTITION BY doc_id ORDER BY i) AS op FROM o),
             u AS (SELECT w, count(*) AS c FROM t GROUP BY w), n AS (SELECT count(*) AS n FROM t),
-            b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= 2),
-            s AS (SELECT t.doc_id, count(*) AS n_words, sum(CASE WHEN t.p IS NOT NULL AND b.c IS NULL THEN 1 ELSE 0 END) AS n_backoff,
-                  fsum(CASE WHEN b.c IS NOT NULL THEN ln(b.c) - ln(f.c) ELSE ln(u.c) - ln(n.n) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4) END END) AS x
+            b AS (SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w),
+            s AS (SELECT t.doc_id, count(*) AS n_words, sum(CASE WHEN t.p IS NOT NULL AND b.c = ob THEN 1 ELSE 0 END) AS n_backoff,
+                  fsum(CASE WHEN b.c > ob THEN ln(b.c - ob) - ln(f.c - op)
+                       ELSE ln(greatest(u.c - ow, 0.5)) - ln(greatest(n.n - m, 1)) + CASE WHEN t.p IS NULL THEN 0 ELSE ln(0.4) END END) AS x
                   FROM t JOIN u ON u.w = t.w CROSS JOIN n LEFT JOIN b ON b.p = t.p AND b.w = t.w LEFT JOIN u f ON f.w = t.p GROUP BY t.doc_id)
             SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, CAST(coalesce(s.n_backoff, 0) AS BIGINT) AS n_backoff,
                    round(coalesce(s.x, 0.0), 3) AS log_score, round(s.x / s.n_words, 6) AS mean_log_score
