@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast (some 20 MB at most); beyond it both sides are shuffled.
@@ -17,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). A folder of this machine only where none is set and all
+    executors are on this machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -35,6 +41,69 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like that which df doesn't have; Spark's names are told without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _bitmaps(members: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bitmap): one bit for the hash of each row of members, in rows of 4 KB."""
+    slot = F.pmod(F.xxhash64(*members.columns), F.lit(bits)) + 1
+    return members.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def divided(df: DataFrame, members: DataFrame, keys: list[Column], rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that may be in members (whose columns keys stand for), and those that are surely not.
+
+    A bitmap of 16 bits a member, 32 MB at most (then more rows may be), goes to all tasks, so the second part is never
+    shuffled. Both parts read df.
+    """
+    bits = 1 << min(28, max(20, math.ceil(math.log2(16 * max(1, rows)))))
+    slot = F.pmod(F.xxhash64(*(k.cast(members.schema[c].dataType) for k, c in zip(keys, members.columns, strict=True))), F.lit(bits)) + 1
+    bucket, bitmap = fresh(df, "bucket"), fresh(df, "bitmap")
+    maps = F.broadcast(checkpointed(_bitmaps(members, bits)).toDF(bucket, bitmap))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    joined = df.join(maps, F.bitmap_bucket_number(slot) == F.col(bucket), "left")
+    return joined.where(held).select(*df.columns), joined.where(~held).select(*df.columns)
+
+
+def without(df: DataFrame, members: DataFrame, keys: list[Column], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df that are not in members, null being equal to null. Of rows (members' count) within the limit members
+    go to all tasks; beyond it only those rows of df are shuffled that a bitmap of members lets through."""
+    names = [fresh(df, f"gone{i}") for i in range(len(keys))]
+    gone = members.toDF(*names)
+    same = reduce(and_, (k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    if rows <= limit:
+        return df.join(F.broadcast(gone), same, "left_anti")
+    maybe, clear = divided(df, members, keys, rows)
+    return clear.unionAll(maybe.join(gone, same, "left_anti"))
+
+
+def among(df: DataFrame, members: DataFrame, keys: list[Column], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of df that are in members; moved as in without()."""
+    names = [fresh(df, f"kept{i}") for i in range(len(keys))]
+    kept = members.toDF(*names)
+    same = reduce(and_, (k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    if rows <= limit:
+        return df.join(F.broadcast(kept), same, "left_semi")
+    return divided(df, members, keys, rows)[0].join(kept, same, "left_semi")
+
+
+def once(df: DataFrame, members: DataFrame, keys: list[Column], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, with one row only for each of members (distinct, checkpointed); all other rows as they are."""
+    rows = members.count()
+    if not rows:
+        return df
+    names = [fresh(df, f"key{i}") for i in range(len(keys))]
+    some = among(df, members, keys, rows, limit).withColumns(dict(zip(names, keys, strict=True)))
+    return without(df, members, keys, rows, limit).unionAll(some.dropDuplicates(names).drop(*names))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected graph given as (u, v) bigint pairs; root is one node of each component.
 

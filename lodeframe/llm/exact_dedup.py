@@ -5,8 +5,9 @@
 2. A sender cuts its fingerprints to log2(rows) + 12 bits, sorts them, and sends each owner (a range of fingerprints)
    one Golomb-coded block of its distinct values, with a bit for those that it holds twice.
 3. An owner decodes its blocks, finds the values that are there more than once and answers each sender with a bitmap.
-4. The senders' marked rows are the suspects. Only their texts move: they are grouped by their bytes, combined before the
-   shuffle, so a group of any size is one row from each task. False suspects end up alone and stay.
+4. The senders' marked rows are the suspects. Only their texts move (beyond what can be broadcast, a bitmap of the suspects
+   keeps all other texts where they are): they are grouped by their bytes, combined before the shuffle, so a group of any
+   size is one row from each task. False suspects end up alone and stay.
 
 A sender's state is a few bytes for each row of one scan partition; an owner's is bounded by OWNER_ROWS on average.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rice
-from ._shared import BROADCAST_ROWS, checkpointed, small
+from ._shared import BROADCAST_ROWS, among, checkpointed, once, small, without
 
 #: Fingerprints that an owner should have, and the least number of owners.
 OWNER_ROWS, OWNERS = 500_000, 16
@@ -93,7 +94,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep_id is the smallest doc_id of the rows with an equal normalised text. Null text counts as empty. A null doc_id
     comes after all others; keep_id is null only if all of a group are. Of rows that repeat a doc_id with its text, all
-    are counted and one is kept. Other columns are not read, whatever their names. An empty table gives no rows.
+    are counted and one is kept. Texts of any length are compared whole. Other columns are not read, whatever their names.
+    An empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType
     keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
@@ -116,8 +118,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     m = suspects.count()
 
     # the suspects' texts, by their bytes
-    ids = small(suspects.select(F.col("doc_id").alias("suspect")).distinct(), m, broadcast_rows)
-    texts = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
+    texts = among(keyed, suspects.select("doc_id").distinct(), [F.col("doc_id")], m, broadcast_rows)
     groups = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     first = suspects.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("first"))
@@ -140,10 +141,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = checkpointed(exact_groups(docs, id_col, text_col, broadcast_rows).where("not kept"))
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~again).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_sha"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (sha == F.col("__gone_sha"))
-    kept = docs.join(small(gone, gone.count(), broadcast_rows), same, "left_anti")
-    if not groups.where(again).take(1):
-        return kept
-    return kept.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    gone = groups.where(~again).select("doc_id", "text_sha256").distinct()
+    keys = [F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)]
+    kept = without(docs, gone, keys, groups.count(), broadcast_rows)
+    return once(kept, checkpointed(groups.where(again).select("doc_id", "text_sha256").distinct()), keys, broadcast_rows)

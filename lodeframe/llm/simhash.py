@@ -1,15 +1,16 @@
 """SimHash near-duplicates: an inverted index over fingerprint bytes, filtered by counts of shared bytes, then verified.
 
-Two 64-bit fingerprints that differ in at most `bits` bits share at least 8 - bits of their 8 bytes. An index by single
-bytes has lists of N / 256 rows, which grow with the square of the input; so lists are keyed by sets of byte positions
-that any pair with enough shared bytes must have in common: of five shared among eight, three lie in one half, so the
-eight triples within the halves (24-bit keys) miss no pair. Only distinct fingerprints are indexed: copies are one row.
-
-Lists of two rows are compared as they are. Longer ones, up to LIST_ROWS, are compared inside one task in NumPy and give
-at most one row a member: shared bytes are tallied for each pair, those with fewer than the minimum fall out, the rest is
-verified by the differing bits, and what hangs together points to one of it. A list of more rows is keyed again by more
-bits: pairs in it must agree on a further part of the remaining bits, until no more than 13 bits are free, so that a list
-has 8,192 distinct fingerprints at most. This is exact: no list is capped, no pair is left out.
+Two 64-bit fingerprints that differ in at most `bits` bits share at least 8 - bits of their 8 bytes. Lists by single bytes
+have N / 256 rows and would grow with the square of the input. So lists are first made selective by what the guaranteed
+count implies: of five bytes shared among eight, three lie in one half, so the eight triples within the halves (24-bit
+keys) miss no pair. Only distinct fingerprints are indexed: copies are one row.
+
+Inside a list, the remaining bytes have postings by position and value. They are walked to tally the shared bytes of each
+pair; pairs that reach the guaranteed minimum, and only those, are verified by their differing bits. A list of two is
+compared in the query itself, one of up to LIST_ROWS in one task, which gives at most one row a member: what hangs
+together points to one of it. A list of more rows is keyed again by more bits: pairs in it must agree on a further part
+of the remaining bits, until no more than 13 bits are free, so that a list has 8,192 distinct fingerprints at most. This
+is exact: no list is capped, no pair is left out.
 """
 
 from __future__ import annotations
@@ -23,20 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, components, small
+from ._shared import checkpointed, components, once, without
 
 #: Of XXH64, as Spark's own xxhash64 has it.
 SEED = 42
 #: Distinct fingerprints that one list may have before it is keyed again.
 LIST_ROWS = 2048
-#: The same for pairs that are verified, and how often lists are keyed again; those that are still longer are one row each,
-#: compared in blocks (only very many fingerprints within a few bits of each other can get there).
-PAIR_ROWS, DEEPEST = 8192, 4
-#: Pairs for each member beyond which a list is dense.
-DENSE = 4
-#: Words of a shingle, similarity and differing bits of links that are verified.
-VERIFY_WORDS, VERIFY_SIMILARITY, VERIFY_BITS = 5, 0.8, 6
-#: Pairs that are compared at a time.
+#: Pairs that are tallied at a time.
 BLOCK_PAIRS = 1 << 18
 #: Shingles that are held as bits at a time.
 CHUNK = 1 << 16
@@ -68,14 +62,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, told, fp) per row: a hash that tells texts of one id, and the fingerprint, as signed 64-bit integers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [_signed(fingerprint(t if isinstance(t, str) else None, words)) for t in batch["text"]]})
+            fps = [_signed(fingerprint(t if isinstance(t, str) else None, words)) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "told": batch["told"], "fp": fps})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("told"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, told long, fp long")
 
 
 def _byte(i: int) -> int:
@@ -98,26 +93,43 @@ def _finer(mask: int, bits: int) -> list[int]:
     return [mask | sum(1 << int(i) for i in part) for part in parts]
 
 
-def _near(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct values: places i < j of the pairs that differ in at most `bits` bits, and in how many. Shared bytes are
-    tallied first; pairs below the minimum are out."""
+def _near(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct values: places i < j of the pairs that differ in at most `bits` bits.
+
+    Postings of each byte position are walked for a block of values at a time to tally the bytes that pairs share; of the
+    pairs with 8 - bits or more the differing bits are counted.
+    """
     n = len(values)
+    cols = values.view(np.uint8).reshape(n, 8)
     step = max(1, BLOCK_PAIRS // n)
-    found = []
+    common = [p for p in range(8) if (cols[:, p] == cols[0, p]).all()]  # as the list's key, in all pairs
+    postings = []
+    for p in range(8):
+        if p not in common:
+            order = np.argsort(cols[:, p], kind="stable")
+            sizes = np.bincount(cols[:, p], minlength=256)
+            postings.append((p, order, np.cumsum(sizes) - sizes, sizes))
+    us, vs = [], []
     for at in range(0, n, step):
-        diff = values[at : at + step, None] ^ values[None, :]
-        tally = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2)
-        i, j = np.nonzero((tally >= 8 - bits) & (np.bitwise_count(diff) <= bits))
-        keep = i + at < j
-        found.append((i[keep] + at, j[keep], np.bitwise_count(diff[i[keep], j[keep]])))
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    return i, j, d
+        m = min(step, n - at)
+        tally = np.full(m * n, len(common), np.uint8)
+        for p, order, starts, sizes in postings:
+            own = cols[at : at + m, p]
+            many = sizes[own]
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - starts[own], many)
+            tally[np.repeat(np.arange(m) * n, many) + order[place]] += 1  # a pair stands once in a position's postings
+        i, j = np.divmod(np.flatnonzero(tally >= 8 - bits), n)
+        i, j = i[i + at < j] + at, j[i + at < j]
+        near = np.bitwise_count(values[i] ^ values[j]) <= bits
+        us.append(i[near])
+        vs.append(j[near])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _linked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect what hangs together: each member and the smallest place of its own."""
     root = np.arange(len(values))
-    i, j, _ = _near(values, bits)
+    i, j = _near(values, bits)
     while True:
         before = root.copy()
         np.minimum.at(root, j, root[i])
@@ -128,35 +140,13 @@ def _linked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             return moved, root[moved]
 
 
-def _candidates(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to be verified: all of them, or in a dense list those of each member with its nearest one before it."""
-    n, total = len(values), 0
-    every, nearest = [], []
-    step = max(1, BLOCK_PAIRS // n)
-    for at in range(0, n, step):
-        diff = values[at : at + step, None] ^ values[None, :]
-        ham = np.bitwise_count(diff)
-        near = ((diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2) >= 8 - bits) & (ham <= bits)
-        near &= np.arange(n)[None, :] < np.arange(at, at + len(diff))[:, None]
-        total += int(near.sum())
-        if total <= DENSE * n:
-            j, i = np.nonzero(near)
-            every.append((i, j + at))
-        j = np.flatnonzero(near.any(1))
-        nearest.append((np.where(near[j], ham[j], 99).argmin(1), j + at))
-    i, j = (np.concatenate(x) for x in zip(*(every if total <= DENSE * n else nearest), strict=True))
-    return i, j
-
-
-def _lists(bits: int, pairs: bool):
-    choose = _candidates if pairs else _linked
-
+def _lists(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             u, v = [], []
             for fps in batch["fps"]:
                 values = np.unique(np.asarray(fps, np.int64).view(np.uint64))
-                i, j = choose(values, bits)
+                i, j = _linked(values, bits)
                 u.append(values[i].view(np.int64))
                 v.append(values[j].view(np.int64))
             yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
@@ -169,11 +159,10 @@ def _shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.when(diff.bitwiseAND(F.lit(_signed(_byte(i)))) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
 
 
-def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS, pairs: bool = False) -> DataFrame:
-    """(u, v): for distinct fingerprints (fp), pairs that lie in one group; each group of linked ones is connected by them.
-    With pairs, what is to be verified: pairs that differ in at most `bits` bits (see _candidates for dense lists)."""
+def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(u, v): for distinct fingerprints (fp), pairs that lie in one group; each group of linked ones is connected by them."""
     spark: SparkSession = classes.sparkSession
-    masks, level = _first_masks(bits), 0
+    masks = _first_masks(bits)
     keyed = classes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     found = None
     while True:
@@ -181,14 +170,13 @@ def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS, pairs:
         sizes = checkpointed(keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
         near = (_shared_bytes(F.col("u"), F.col("v")) >= 8 - bits) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
         two = sizes.where((F.col("n") == 2) & near).select("u", "v")
-        few = np.bitwise_count(np.array([~m & ALL for m in masks], np.uint64)).max() <= 13 or level == DEEPEST
+        few = np.bitwise_count(np.array([~m & ALL for m in masks], np.uint64)).max() <= 13
         some = F.col("n") > 2 if few else F.col("n").between(3, list_rows)
         lists = keyed.join(sizes.where(some).select("mask", "key"), ["mask", "key"]).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
-        here = two.unionAll(lists.select("fps").mapInPandas(_lists(bits, pairs), "u long, v long"))
+        here = two.unionAll(lists.select("fps").mapInPandas(_lists(bits), "u long, v long"))
         found = here if found is None else found.unionAll(here)
         if few or not sizes.where(F.col("n") > list_rows).take(1):
             return found
-        level += 1
         # what is left are long lists: their rows are keyed by finer masks, a table of fixed size
         finer = {m: _finer(m, bits) for m in masks}
         masks = sorted({x for f in finer.values() for x in f})
@@ -197,60 +185,49 @@ def links(classes: DataFrame, bits: int = 3, list_rows: int = LIST_ROWS, pairs:
         keyed = checkpointed(keyed.join(long, ["mask", "key"]).select("fp", F.explode("finer").alias("mask")).distinct())
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, shingle: int = VERIFY_WORDS, similarity: float = VERIFY_SIMILARITY) -> DataFrame:
-    """The pairs (u, v) whose first documents' sets of `shingle`-word shingles have a Jaccard similarity of at least that.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, list_rows: int) -> DataFrame:
+    """(doc_id, told, fp, first) per row of docs; first is the struct (null, doc_id, told) of the least row reachable."""
+    prints = checkpointed(fingerprints(docs, id_col, text_col, words))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "told"))
+    classes = checkpointed(prints.groupBy("fp").agg(least.alias("first")))
+    roots = checkpointed(components(links(classes.select("fp"), bits, list_rows)))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    linked = rooted.join(smallest, "root").select("fp", "least")
+    # stored, so that both sides of the last join are plain exchanges and a fingerprint with very many rows can be split
+    ids = checkpointed(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
+    return prints.join(ids, "fp")
 
-    Only texts of documents in a pair are read again; a text shorter than a shingle is one shingle.
-    """
-    pairs = checkpointed(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ends = checkpointed(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "fp").join(classes, "fp"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for fp, t in zip(batch["fp"], batch["text"], strict=True):
-                t = t if isinstance(t, str) else ""
-                if _signed(fingerprint(t, words)) == fp:  # an id may come again with another text
-                    w = t.encode().lower().split()
-                    grams = {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
-                    rows.append((fp, np.array(sorted({xxhash.xxh64_intdigest(g) for g in grams}), np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "grams"])
-
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
-    sets = texts.join(small(ends, ends.count()), "first").select("fp", "text").mapInPandas(run, "fp long, grams array<long>")
-    sets = checkpointed(sets.groupBy("fp").agg(F.min("grams").alias("grams")))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, list_rows: int = LIST_ROWS, verify_bits: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
-    Texts link if their fingerprints differ in `bits` bits at most (3 or fewer keep the index selective). With verify_bits,
-    texts with up to that many differing bits link too if their five-word shingles have a similarity of 0.8 or more. Null
-    text counts as empty: no words, fingerprint zero, which links like any other. Repeated rows are returned as often as
-    they come. A null doc_id is never a component_id unless all of a component are null. An empty table gives no rows.
+    Texts link if their fingerprints differ in `bits` bits at most (3 or fewer keep the index selective). Null text counts
+    as empty: no words, fingerprint zero, which links like any other. Texts of any length are read whole. Repeated rows
+    are returned as often as they come. A null doc_id is never a component_id unless all of a component are null. Other
+    columns are not read, whatever their names. An empty table gives no rows.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, words))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(classes.select("fp"), bits, list_rows)
-    if verify_bits is not None:
-        wider = links(classes.select("fp"), verify_bits, max(list_rows, PAIR_ROWS), pairs=True).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > bits)
-        edges = edges.unionAll(verified(docs, classes, wider, id_col, text_col, words))
-    roots = checkpointed(components(edges))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = rooted.join(smallest, "root").select("fp", "component_id")
-    # stored, so that both sides of the last join are plain exchanges and a fingerprint with very many rows can be split
-    ids = checkpointed(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _grouped(docs, id_col, text_col, words, bits, list_rows)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of docs one row for each group in grouped (doc_id, told, first, as many rows as docs), with all its columns.
+
+    Rows are told by id and text, so an id that repeats with another text loses nothing; of rows that repeat the first of
+    a group, one stays.
+    """
+    grouped = checkpointed(grouped.select("doc_id", "told", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("told") == F.col("first.told"))).alias("stays")))
+    keys = [F.col(id_col), F.xxhash64(F.col(text_col))]
+    gone = checkpointed(grouped.where("not stays").select("doc_id", "told").distinct())
+    again = checkpointed(grouped.where("stays").groupBy("doc_id", "told").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "told"))
+    return once(without(docs, gone, keys, gone.count()), again, keys)
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, verify_bits: int | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group that hangs together the smallest doc_id.
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, list_rows: int = LIST_ROWS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group that hangs together the one with the smallest id.
 
-    Rows without words share the fingerprint zero and so are one group. Null ids stay only where a whole group has none.
+    Rows without words share the fingerprint zero and so are one group. Null ids stay only where a whole group has none;
+    of several texts with the smallest id one stays. Rows are told as in first_rows(). An empty table gives no rows.
     """
-    gone = checkpointed(near_groups(docs, id_col, text_col, words, bits, verify_bits=verify_bits).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")))
-    return docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return first_rows(docs, _grouped(docs, id_col, text_col, words, bits, list_rows), id_col, text_col)

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodeframe.llm import simhash
+from lodeframe.llm import similar, simhash
 
 
 def brute(text, n=3):
@@ -117,35 +117,31 @@ def test_empty_table_clashing_columns_and_drop(spark):
     assert simhash.drop_near(docs).columns == docs.columns
 
 
-def test_verified_links(spark):
-    rng = random.Random(9)
-    vocab = [f"w{i}" for i in range(500)]
-    rows = []
-    for g in range(30):
-        words = [rng.choice(vocab) for _ in range(150)]
-        rows.append((10 * g, " ".join(words)))
-        for k in range(1, 4):
-            copy = words[:]
-            for _ in range(rng.randrange(1, 9)):
-                copy[rng.randrange(len(copy))] = rng.choice(vocab)
-            rows.append((10 * g + k, " ".join(copy)))
-    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(146)} for d, t in rows}
-    fps = {d: brute(t) for d, t in rows}
-    root = {d: d for d in fps}
+def test_tally_equals_all_pairs(monkeypatch):
+    rng = random.Random(11)
+    for n, flips, block in ((400, 6, 1 << 18), (700, 3, 2000), (2, 2, 1 << 18)):
+        base = [rng.getrandbits(64) for _ in range(3)]
+        fps = {b ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(flips + 1))}) for b in base * n}
+        values = np.array(sorted(fps), np.uint64)
+        monkeypatch.setattr(simhash, "BLOCK_PAIRS", block)
+        i, j = simhash._near(values, 3)
+        want = np.argwhere(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3, 1))
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+
+
+def test_rows_are_told_by_id_and_text(spark):
+    a, b = "one two three four five six", "nine eight seven six five four"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (2, b, "z"), (3, "", "u"), (3, None, "v"), (None, a, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, told string")
+    for drop in (simhash.drop_near, similar.drop_similar):
+        kept = drop(docs)
+        assert kept.columns == docs.columns
+        got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+        assert got == [(1, a), (2, b), (3, "")]
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in fps:
-        for b in fps:
-            if a < b:
-                d, common = (fps[a] ^ fps[b]).bit_count(), len(shingles[a] & shingles[b])
-                if d <= 3 or (d <= 6 and common >= 0.8 * (len(shingles[a]) + len(shingles[b]) - common)):
-                    x, y = sorted((find(a), find(b)))
-                    root[y] = x
+def test_long_texts(spark):
+    rows = [(1, "word " * 300_000), (2, "word " * 300_000), (3, "x" * 2_000_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, verify_bits=6).collect()}
-    assert got == {d: find(d) for d in fps} and len(set(got.values())) < len(got)
-    assert {r.doc_id for r in simhash.drop_near(docs, verify_bits=6).collect()} == set(got.values())
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(docs).collect()}
+    assert got == groups_of(rows)
