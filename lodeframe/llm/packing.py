@@ -14,11 +14,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a Python worker may hold, the longest of them, texts handled at a time, and chunks tokenised as one text.
-CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED = 200_000, 256, 500, 4000
+#: Chunks that a Python worker may hold, the longest of them, texts handled at a time, chunks tokenised as one text, chunks
+#: of each call that are compared with the tokenizer's own ids, and words whose ids are gathered at a time.
+CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED, COMPARED, GATHERED = 400_000, 256, 1000, 4000, 8, 1 << 18
 #: A fixed value: how byte-level BPE of this public kind cuts texts.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBE = " It's 1,234 words; we'll tokenize them_all... été Ärger 日本語 😀 ### &&& |a|b|\nnext LINE\tTAB x=y+z (1999) ~~ \u00ad"
@@ -28,8 +31,9 @@ class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers.
 
     The tokenizer cuts texts before a space that a word follows, whatever stands around; so texts are cut there first
-    and each distinct chunk is tokenised once. Texts with other runs of white space are given to the tokenizer whole.
-    Chunks go through a faster implementation of the same vocabulary where the file is of that kind, which is tested.
+    and each distinct chunk is tokenised once; words are told apart and their ids put together in Arrow and NumPy, not
+    one by one. Texts with other runs of white space are given to the tokenizer whole. Chunks go through a faster
+    implementation of the same vocabulary where the file is of that kind; some of every call are compared.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -38,8 +42,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
         self.fast = self._fast(path)
+        self.forget()
 
     def _fast(self, path: str):
         """(encoding, bytes of each id), or None if it would not give the tokenizer's ids."""
@@ -65,45 +69,74 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks. Those that begin with a space are cut off there, so many are one text whose ids are shared out."""
-        heads = [c for c in chunks if c[0] != " " or not self.fast]
-        found = dict(zip(heads, self._encode(heads), strict=True))
-        rest = [c for c in chunks if c[0] == " "] if self.fast else []
-        for at in range(0, len(rest), JOINED):
-            part = rest[at : at + JOINED]
-            fast, sizes = self.fast
-            ids = np.array(fast.encode_ordinary("".join(part)), "<u4")
-            ends = np.cumsum([len(c.encode()) for c in part])
-            bounds = [0, *(4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()]
-            data = ids.tobytes()
-            found.update(zip(part, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        return found
+    def forget(self) -> None:
+        """words follow a space, their places are in at; heads begin a text. The ids of a place are pool[bounds[place] :
+        bounds[place + 1]]; place 0 has none."""
+        self.words, self.at = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        self.heads: dict[str, int] = {}
+        self.pool, self.bounds = np.empty(0, "<u4"), np.zeros(2, np.int64)
+
+    def learn(self, words: list[str], heads: list[str]) -> None:
+        """Words are joined to texts of many, whose ids are shared out by their bytes."""
+        ids, sizes, place = [self.pool], [], len(self.bounds) - 1
+        if self.fast:
+            fast, length = self.fast
+            some = [" " + w for w in words[:: max(1, len(words) // COMPARED)]]
+            if [np.array(fast.encode_ordinary(c), "<u4").tobytes() for c in some] != self._encode(some):
+                raise ValueError("two implementations of the tokenizer's file give different ids")
+            for at in range(0, len(words), JOINED):
+                part = words[at : at + JOINED]
+                own = np.array(fast.encode_ordinary(" " + " ".join(part)), "<u4")
+                ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy() + 1)
+                ids.append(own)
+                sizes.append(np.diff(np.searchsorted(np.cumsum(length[own]), ends) + 1, prepend=0))
+        for x in self._encode(heads if self.fast else [" " + w for w in words] + heads):
+            ids.append(np.frombuffer(x, "<u4"))
+            sizes.append([len(x) // 4])
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.at = np.append(self.at, np.arange(place, place + len(words)))
+        self.heads.update(zip(heads, range(place + len(words), place + len(words) + len(heads)), strict=True))
+        self.pool = np.concatenate(ids)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each with the end id."""
-        cut: list[list[str] | None] = []
-        whole: list[str] = []
-        need: set[str] = set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            plain = first != "" and "" not in rest and "<|" not in text
-            if plain:
-                chunks = [first, *map(" ".__add__, rest)]
-                new = {c for c in chunks if c not in self.known}
-                # a chunk that starts or ends with white space would be cut otherwise next to others
-                plain = not any(len(c) > CHUNK_CHARS or c[-1].isspace() or c[c[0] == " "].isspace() for c in new)
-                if plain:
-                    need |= new
-            cut.append(chunks if plain else None)
-            if not plain:
-                whole.append(text)
-        found = self._chunks(list(need))
-        if len(self.known) + len(found) > CACHE_CHUNKS:
-            self.known = {c: self.known[c] for chunks in cut if chunks for c in chunks if c in self.known}
-        self.known |= found
-        rest = iter(self._encode(whole))
-        return [(b"".join(map(self.known.__getitem__, c)) if c is not None else next(rest)) + self.end for c in cut]
+        plain = [i for i, t in enumerate(texts) if t and t[0] != " " and t[-1] != " " and "  " not in t and "<|" not in t]
+        out = self._plain([texts[i] for i in plain]) if plain else []
+        found = {i: ids for i, ids in zip(plain, out, strict=True) if ids is not None}
+        whole = [i for i in range(len(texts)) if i not in found]
+        found.update(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+        return [found[i] + self.end for i in range(len(texts))]
+
+    def _plain(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts whose words stand between single spaces; None if cutting there could give others."""
+        if len(self.words) + len(self.heads) > CACHE_CHUNKS:
+            self.forget()
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        told = cut.flatten().dictionary_encode()
+        words, first = told.dictionary, cut.offsets.to_numpy()[:-1]
+        code = told.indices.to_numpy()
+        heads = [t[: t.find(" ")] if " " in t else t for t in texts]
+        # a word that starts or ends with white space would be cut otherwise next to others
+        good = lambda w: len(w) < CHUNK_CHARS and w.strip() == w
+        strings = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in strings(words.filter(pc.is_null(pc.index_in(words, self.words)))) if good(w)]
+        fresh = [w for w in dict.fromkeys(heads) if w not in self.heads and good(w)]
+        if new or fresh:
+            self.learn(new, fresh)
+        place = np.append(self.at, 0)[pc.fill_null(pc.index_in(words, self.words), -1).to_numpy()]
+        at = place[code]
+        at[first] = [self.heads.get(h, 0) for h in heads]
+        size = np.diff(self.bounds)
+        data = []
+        for k in range(0, len(at), GATHERED):
+            part = at[k : k + GATHERED]
+            n = size[part]
+            data.append(self.pool[np.repeat(self.bounds[part] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+        data = b"".join(data)
+        ends = 4 * np.cumsum(np.add.reduceat(size[at], first))
+        spoilt = np.logical_or.reduceat(at == 0, first)
+        return [None if x else data[a:b] for x, a, b in zip(spoilt.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 @cache
