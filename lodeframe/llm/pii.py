@@ -2,12 +2,17 @@
 
 1. Generators of high recall propose spans, which may overlap: four base kinds, whose rules are exact, and looser ones.
    A text is read once: a generator's matches and the pieces between them give positions, format and context.
-2. Each candidate becomes a few small whole numbers (its generator, digits, length, separators, neighbours, cue words).
-   Those are counted over all candidates of all documents with a weak label: whether a checked base span covers it. The
-   numbers' ranges bound the table of counts, whatever the input, so it can be collected.
-3. Boosted regression trees with logistic loss are fitted to that table, and a threshold for each generator is set where
-   the candidates above it are right in PRECISION of the cases. The trees are written as CASE expressions.
-4. Base spans always stay; loose candidates above their threshold are added.
+2. Each candidate becomes a few small whole numbers: its generator, format (digits, length, marks, whether its kind's own
+   check holds) and context (neighbours, the word before). Those are counted over all candidates of all documents with a
+   weak label. Base kinds are labelled by their rules. Looser ones are labelled by words that stand before them, which are
+   no feature, by a country prefix, and by checks that fail (IBAN modulo 97, ranges of SSN and area codes, a mail's last
+   part); without such evidence they teach nothing. The numbers' ranges bound the table, whatever the input, so it can be
+   collected. A few invented examples are counted with it, so that a table without a kind still has a model for it.
+3. Boosted regression trees with logistic loss are fitted to the counts of four fifths of the documents, by a hash of
+   their ids. On the others a threshold for each generator is set where the candidates above it are right in PRECISION
+   of the cases; with fewer than CALIBRATED labels it is even odds. The trees are written as CASE expressions.
+4. Base spans always stay; loose candidates above their threshold are added unless they overlap a base span or an added
+   one before them.
 """
 
 from __future__ import annotations
@@ -50,13 +55,30 @@ LOOSE = (
     Generator("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,12}", r"[\[(]at[\])]"),
 )
 GENERATORS = BASE + LOOSE
-#: Words before a span that speak for personal data, and characters of the text before it that are looked at.
-CUES, CONTEXT = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|card|visa|account|iban|ssn|social|address|\bip\b)[^0-9]*$", 24
+#: Evidence for a loose kind in the text right before it, and against any of them; characters that are looked at.
+CUES = {
+    "tel": r"(?i)(?:tel|phone|call|mobile|cell|fax|t\u00e9l|tel\u00e9fono|anruf)\P{N}{0,12}$",
+    "ssn": r"(?i)(?:ssn|social security|social|taxpayer)\P{N}{0,12}$",
+    "iban": r"(?i)(?:iban|account|bank|konto|compte|cuenta)\P{N}{0,12}$",
+    "mail": r"(?i)(?:mail|contact|kontakt|write to|courriel|correo)\P{N}{0,12}$",
+}
+AGAINST, CONTEXT = r"(?i)(?:part|order|ref|no\.|nr\.|number|version|isbn|sku|model|build|ticket|page|item)[^\p{N}]{0,6}$", 30
+#: A country prefix before a national number.
+PREFIX = r"\+[0-9]{1,3}[\x20.-]?$"
+#: Last parts of addresses that are taken for real ones.
+ENDINGS = r"(?i)(?:com|org|net|edu|gov|info|io|eu|uk|us|de|fr|es|it|nl|at|ch|ca|au)$"
+#: Invented, or numbers that standards print as examples; counted WEIGHT times each, as documents that are learned from.
+EXAMPLES, WEIGHT = (
+    "call (499) 555-0142 today", "Tel: 499-555-0187.", "phone 499.555.0111,", "mobile 312 555 0178", "fax (212) 555-0155", "part 123-456-7890 of", "ref 055 012 3456", "order 100.200.3000", "item 412 555 0101",
+    "SSN: 321-54-9876", "ssn 219-09-9123,", "social security number 457-55-5462.", "ref 000-12-3456", "part 912-33-4455", "order 666-10-1000", "item 123-00-4567 x",
+    "IBAN DE89 3704 0044 0532 0130 00", "iban GB29NWBK60161331926819.", "account FR14 2004 1010 0505 0001 3M02 606,", "konto ES91 2100 0418 4502 0005 1332", "model AB12 CDEF 3456 GHIJ", "sku DE00 1111 2222 3333 4444", "build XY99ABCD1234EFGH",
+    "mail jane.roe [at] example.org", "contact: bob(at)example.com,", "kontakt info [at] example [dot] de", "write to a_b [at] example.net.", "part x [at] thing. them", "see it (at) once. maybe",
+), 4
 #: The candidates' numbers, with how many values each can have; their product bounds what is collected.
-FEATURES = {"generator": len(GENERATORS), "digits": 6, "length": 5, "marks": 4, "before": 3, "after": 3, "cue": 2}
-ROUNDS, DEPTH, RATE, PRECISION = 40, 2, 0.3, 0.95
+FEATURES = {"generator": len(GENERATORS), "digits": 6, "length": 5, "marks": 4, "before": 3, "after": 3, "lead": 4, "valid": 2}
+ROUNDS, DEPTH, RATE, PRECISION, CALIBRATED = 40, 3, 0.3, 0.95, 20
 
-_SPAN = "struct<g:int,start:bigint,end:bigint,ok:boolean,generator:int,digits:int,length:int,marks:int,before:int,after:int,cue:int>"
+_SPAN = "struct<g:int,start:bigint,end:bigint,ok:boolean,y:int,generator:int,digits:int,length:int,marks:int,before:int,after:int,lead:int,valid:int>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,12 +102,34 @@ def _checked(kind: str, value: Column) -> Column:
     return F.lit(False)
 
 
+def _mod97(value: Column) -> Column:
+    """Letters count from 10 on, the first four characters stand last."""
+    plain = F.regexp_replace(value, " ", "")
+    chars = F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), "")
+    code = lambda c: F.ascii(c)
+    return F.aggregate(chars, F.lit(0), lambda s, c: F.when(c == "", s).when(code(c) < 58, (s * 10 + code(c) - 48) % 97).otherwise((s * 100 + code(c) - 55) % 97)) == 1
+
+
+def _plausible(kind: str, value: Column) -> Column:
+    """A check of a loose kind's format that many wrong ones fail."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    if kind == "tel":
+        return digits.rlike("^[2-9][0-9]{2}[2-9]")
+    if kind == "ssn":
+        return ~digits.rlike("^(?:000|666|9)") & ~digits.rlike("^[0-9]{3}00|0000$")
+    if kind == "iban":
+        return _mod97(value)
+    if kind == "mail":
+        return value.rlike(ENDINGS)
+    return F.lit(False)
+
+
 def _level(x: Column, cuts: tuple[int, ...]) -> Column:
     return reduce(add, ((x >= c).cast("int") for c in cuts))
 
 
 def _neighbour(c: Column) -> Column:
-    return F.when(c == "", 0).when(c.rlike(r"[\s,;:()\[\]\"']"), 1).otherwise(2)
+    return F.when(c == "", 0).when(c.rlike(r"[\s,;:()\[\]\"'.]"), 1).otherwise(2)
 
 
 def _spans(g: int, matches: Column, pieces: Column) -> Column:
@@ -94,16 +138,23 @@ def _spans(g: int, matches: Column, pieces: Column) -> Column:
     n = F.size(matches)
     rows = F.arrays_zip(matches.alias("value"), F.slice(pieces, F.lit(1), n).alias("left"), F.slice(pieces, F.lit(2), n).alias("right"))
 
+    def label(valid: Column, left: Column) -> Column:
+        """1, 0, or -1 without evidence."""
+        sure = left.rlike(PREFIX) if kind == "tel" else F.lit(False)
+        return F.when(sure, 1).when(~valid, 0).when(left.rlike(AGAINST), 0).when(left.rlike(CUES[kind]), 1).otherwise(-1)
+
     def span(start: Column, x: Column) -> Column:
-        value, left = x["value"], x["left"]
+        value, left = x["value"], F.right(x["left"], F.lit(CONTEXT))
         length = F.length(value)
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+        ok, valid = _checked(kind, value), _plausible(kind, value)
         fields = {
-            "g": F.lit(g), "start": start, "end": start + length, "ok": _checked(kind, value), "generator": F.lit(g),
+            "g": F.lit(g), "start": start, "end": start + length, "ok": ok, "y": ok.cast("int") if g < len(BASE) else label(valid, left), "generator": F.lit(g),
             "digits": _level(digits, (1, 8, 10, 12, 16)), "length": _level(length, (10, 14, 18, 24)),
             "marks": _level(length - F.length(F.regexp_replace(value, r"[^A-Za-z0-9]", "")), (1, 2, 4)),
             "before": _neighbour(F.right(left, F.lit(1))), "after": _neighbour(F.left(x["right"], F.lit(1))),
-            "cue": F.right(left, F.lit(CONTEXT)).rlike(CUES).cast("int"),
+            "lead": F.when(left.rlike(r"\p{N}\P{L}*$"), 3).when(left.rlike(r"\p{Lu}\p{Ll}*\P{L}*$"), 2).when(left.rlike(r"\p{L}\P{L}*$"), 1).otherwise(0),
+            "valid": valid.cast("int"),
         }
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
@@ -172,20 +223,24 @@ def _grow(rows: list[tuple], gradient: list[float], hessian: list[float], depth:
     return (name, cut, *(_grow([rows[i] for i in s], [gradient[i] for i in s], [hessian[i] for i in s], depth - 1) for s in sides))
 
 
+def counted(found: DataFrame) -> list:
+    """Rows of FEATURES, calibrate (0 or 1), y and n: the labelled candidates of all documents and the examples, counted."""
+    spark = found.sparkSession
+    apart = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    shown = candidates(spark.createDataFrame([(k, t) for k, t in enumerate(EXAMPLES)], "doc_id int, text string"))
+    each = found.select(F.explode("found").alias("x"), apart.cast("int").alias("calibrate"), F.lit(1).alias("weight"))
+    each = each.unionAll(shown.select(F.explode("found").alias("x"), F.lit(0).alias("calibrate"), F.lit(WEIGHT).alias("weight")))
+    named = each.where("x.y >= 0").select(*[F.col(f"x.{f}").alias(f) for f in FEATURES], "calibrate", F.col("x.y").alias("y"), "weight")
+    return named.groupBy(*FEATURES, "calibrate", "y").agg(F.sum("weight").alias("n")).collect()
+
+
 def fit(found: DataFrame) -> Forest:
-    """Boosts over the counted candidates of all rows. Without any the forest is empty and adds nothing."""
-    each = found.select(F.explode("found").alias("x"), "found")
-    covers = F.exists("found", lambda y: y["ok"] & (y["start"] <= F.col("x.start")) & (y["end"] >= F.col("x.end")))
-    loose = F.col("x.g") >= len(BASE)
-    label = F.when(loose, covers).otherwise(F.col("x.ok"))
-    counted = each.select(*[F.col(f"x.{f}").alias(f) for f in FEATURES], label.cast("int").alias("y")).groupBy(*FEATURES, "y").agg(F.count("*").alias("n")).collect()
-    table: dict[tuple, list[float]] = {}
-    for r in counted:
-        table.setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])[r["y"]] += r["n"]
-    rows = sorted(table)
-    if not rows:
-        return Forest((), 0.0, {})
-    no, yes = ([table[r][y] for r in rows] for y in (0, 1))
+    """Boosts over the counted candidates of documents that are learned from, calibrates on the others."""
+    tables: tuple[dict, dict] = ({}, {})
+    for r in counted(found):
+        tables[r["calibrate"]].setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])[r["y"]] += r["n"]
+    rows = sorted(tables[0])
+    no, yes = ([tables[0][r][y] for r in rows] for y in (0, 1))
     bias = math.log((sum(yes) + 1) / (sum(no) + 1))
     odds, trees = [bias] * len(rows), []
 
@@ -203,20 +258,44 @@ def fit(found: DataFrame) -> Forest:
         odds = [o + follow(tree, r) for o, r in zip(odds, rows, strict=True)]
     thresholds = {}
     for g in range(len(BASE), len(GENERATORS)):
-        own = sorted(((o, y, n) for r, o, y, n in zip(rows, odds, yes, no, strict=True) if r[0] == g), reverse=True)
+        own = sorted(((bias + sum(follow(t, r) for t in trees), *tables[1][r]) for r in tables[1] if r[0] == g), reverse=True)
+        if sum(n + y for _, n, y in own) < CALIBRATED:
+            thresholds[g] = 0.0
+            continue
         right = wrong = 0.0
-        for k, (o, y, n) in enumerate(own):
+        for k, (o, n, y) in enumerate(own):
             right, wrong = right + y, wrong + n
             if right >= PRECISION * (right + wrong) and (k + 1 == len(own) or own[k + 1][0] < o):
                 thresholds[g] = o - 1e-9
     return Forest(tuple(trees), bias, thresholds)
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base and none of those before them, by two walks in order of their starts."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    order = F.array_sort(F.concat(base, more), lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double"))).when(a["ok"] != b["ok"], F.when(a["ok"], -1).otherwise(1)).otherwise(F.signum((b["end"] - a["end"]).cast("double"))).cast("int"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("end"), none.alias("out"))
+
+    def forward(s: Column, x: Column) -> Column:
+        stays = x["ok"] | (x["start"] >= s["end"])
+        return F.struct(F.when(stays, F.greatest(s["end"], x["end"])).otherwise(s["end"]).alias("end"), F.when(stays, F.concat(s["out"], F.array(x))).otherwise(s["out"]).cast(f"array<{_SPAN}>").alias("out"))
+
+    def back(s: Column, x: Column) -> Column:
+        stays = ~x["ok"] & (x["end"] <= s["end"])
+        return F.struct(F.when(x["ok"], x["start"]).otherwise(s["end"]).alias("end"), F.when(stays, F.concat(s["out"], F.array(x))).otherwise(s["out"]).cast(f"array<{_SPAN}>").alias("out"))
+
+    first = F.aggregate(order, zero, forward, lambda s: F.reverse(s["out"]))
+    last = F.struct(F.lit(2**62).cast("bigint").alias("end"), none.alias("out"))
+    return F.when(F.size(more) == 0, none).otherwise(F.aggregate(first, last, back, lambda s: F.array_sort(s["out"])))
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_<kind> of each base kind, base_sha256 (of the base spans), spans (all).
 
     A span is kind:start:end in code points, end exclusive; spans are ordered by kind as listed, then by start, and
-    joined with commas. Null text counts as empty: no spans. Repeated rows are read each. Other columns are not read.
+    joined with commas. Added spans overlap neither base spans nor each other. Null text counts as empty: no spans. Texts
+    of any length are read whole. Repeated rows are read each. Other columns are not read, whatever their names. An empty
+    table gives no rows.
     """
     found = checkpointed(candidates(docs, id_col, text_col))
     forest = fit(found)
@@ -227,5 +306,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     by = found.select("doc_id", F.filter("found", lambda x: x["ok"]).alias("base"), F.filter("found", lambda x: ~x["ok"] & chosen(x)).alias("more"))
     of = lambda k: F.size(F.filter("base", lambda x: x["g"] == k))
     counts = [of(k).cast("long").alias(f"n_{g.kind}") for k, g in enumerate(BASE)]
-    return by.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "more")).alias("spans"))
-
+    return by.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", _apart(F.col("base"), F.col("more")))).alias("spans"))
