@@ -12,6 +12,7 @@ check of shingles that follows. Weights are divided by their item's threshold, w
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -76,6 +77,7 @@ class ItemIndex:
         self.docs = [[d for d, _ in p] for p in posting]
         self.weights = [[x for _, x in p] for p in posting]
         self.block_max = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.weights]
+        self.block_last = [[x[min(i + BLOCK, len(x)) - 1] for i in range(0, len(x), BLOCK)] for x in self.docs]
         self.bound = [max(x) for x in self.weights]
         # terms are inessential while no item can get half its threshold from them: a passage needs others too
         self.others, self.essential = np.zeros(len(self.ids)), np.append(np.ones(len(self.terms), bool), False)
@@ -110,13 +112,10 @@ class ItemIndex:
             # the blocks that could hold the item: their maxima bound its score more closely
             total, after = 0.0, None
             for _, at, t in cursors[: pivot + 1]:
-                b = at // BLOCK
-                docs = self.docs[t]
-                while (b + 1) * BLOCK <= len(docs) and docs[(b + 1) * BLOCK - 1] < item:
-                    b += 1
-                if b * BLOCK < len(docs):
+                b = bisect_left(self.block_last[t], item, at // BLOCK)
+                if b < len(self.block_last[t]):
                     total += self.block_max[t][b]
-                    last = docs[min((b + 1) * BLOCK, len(docs)) - 1]
+                    last = self.block_last[t][b]
                     after = last if after is None else min(after, last)
             if total < 1:
                 target = max(item, after if after is not None else item) + 1
@@ -132,11 +131,11 @@ class ItemIndex:
             moved = []
             for k, (d, at, t) in enumerate(cursors):
                 if k <= pivot and d < target:
-                    docs = self.docs[t]
-                    while at < len(docs) and docs[at] < target:
-                        at += 1
-                    if at == len(docs):
+                    # whole blocks are skipped by their last items, then the place is looked for inside one
+                    docs, b = self.docs[t], bisect_left(self.block_last[t], target, at // BLOCK)
+                    if b == len(self.block_last[t]):
                         continue
+                    at = bisect_left(docs, target, max(at, b * BLOCK), min((b + 1) * BLOCK, len(docs)))
                     d = docs[at]
                 moved.append([d, at, t])
             cursors = moved
@@ -198,7 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     A passage holds an item if 0.8 of the five-word shingles of its question, and of its answer if there is one, are in
     it; items of fewer words are one shingle. Null or empty texts hold nothing, items without words are in nothing. An
-    item is listed once a document, ties go to the first passage; repeated rows are listed as often as they come.
+    item is listed once a document, ties go to the first passage; repeated rows are listed as often as they come. Texts of
+    any length are read whole. Other columns are not read. Without documents or items there are no rows.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_id]}, score double, overlap double, word long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -219,7 +219,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", question_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item. Each row is judged for itself, whatever its id."""
+    """The rows of docs, with all their columns, that hold no item. Each row is judged for itself, whatever its id.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; texts of any length are read whole. The
+    columns' names may be any. Without items all rows stay.
+    """
     sc, schema = docs.sparkSession.sparkContext, docs.schema
     for index in indexes(items, item_id, question_col, answer_col):
         sent = sc.broadcast(index)

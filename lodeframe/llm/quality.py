@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import checkpointed, fresh, small
 
 #: Names of the statistics, in the order of `statistics`.
 STATISTICS = ("words", "upper", "marks", "stops", "lines", "distinct", "repeats", "length", "bars")
@@ -27,6 +27,8 @@ SMOOTH = 100.0
 SHRINK, RIDGE = 0.1, 1e-3
 #: A score from here on is label 1.
 THRESHOLD = 0.3
+#: Labelled rows that keep_good() learns from, by a hash of their ids: all, or about that many. scored() takes all.
+LABELLED = 200_000
 
 
 def statistics(text: str | None) -> list[float]:
@@ -53,20 +55,26 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def names_in(docs: DataFrame) -> list[str]:
+    """Columns for the statistics, by names that docs doesn't have."""
+    return [fresh(docs, f"__q{i}") for i in range(len(STATISTICS))]
+
+
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """docs' columns in keep, and the statistics of its text in columns __q0, __q1, ..."""
-    fields = [docs.schema[c] for c in keep]
-    schema = docs.select(*keep).schema
-    for i in range(len(STATISTICS)):
-        schema = schema.add(f"__q{i}", "double")
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
+    """docs' columns in keep, and the statistics of its text in columns of names_in(docs)."""
+    names, quoted = names_in(docs), [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*quoted).schema
+    for name in names:
+        schema = schema.add(name, "double")
+    n = len(keep)
+    source = docs.select(*quoted, F.col(text_col).alias(fresh(docs, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(fields))
+            texts = batch.column(n)
             x = np.array([statistics(t.as_py()) for t in texts], np.float64).reshape(len(texts), len(STATISTICS))
-            columns = [batch.column(i) for i in range(len(fields))] + [pa.array(x[:, i]) for i in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [f"__q{i}" for i in range(len(STATISTICS))])
+            columns = [batch.column(i) for i in range(n)] + [pa.array(x[:, i]) for i in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 
@@ -79,13 +87,13 @@ class Discriminant:
     factors: tuple | None
     offset: float
 
-    def score(self) -> Column:
-        """The probability of label 1 from columns __q0, ..."""
+    def score(self, names: list[str]) -> Column:
+        """The probability of label 1 from the statistics in these columns."""
         if self.means is None:
             return F.lit(self.offset)
 
         def distance(mean: np.ndarray, factor: np.ndarray) -> Column:
-            x = [F.col(f"__q{i}") - float(m) for i, m in enumerate(mean)]
+            x = [F.col(c) - float(m) for c, m in zip(names, mean, strict=True)]
             rows = [reduce(Column.__add__, (x[j] * float(factor[i, j]) for j in range(i + 1))) for i in range(len(x))]
             return reduce(Column.__add__, (r * r for r in rows))
 
@@ -94,18 +102,21 @@ class Discriminant:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(margin, F.lit(500.0)), F.lit(-500.0))))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrink: float = SHRINK) -> Discriminant:
-    """The discriminant from all rows of stats (id, __q0, ...) that have a label; the caller leaves out held-out rows.
+def marks(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """(doc_id, y) of labels (doc_id, label): of several labels of a document their mean, from 0.5 on as 1; null ones don't count."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
+
 
-    Of several labels of a document their mean counts, from 0.5 on as 1; null labels do not. Without rows of both classes
-    (three of each at least) the score is the share of label 1, or 0.5 without any.
+def fit(stats: DataFrame, marked: DataFrame, shrink: float = SHRINK) -> Discriminant:
+    """The discriminant from all rows of stats (doc_id, statistics) that are marked; the caller leaves out held-out rows.
+
+    Without rows of both classes (three of each at least) the score is the share of label 1, or 0.5 without any.
     """
     d = len(STATISTICS)
-    q = [F.col(f"__q{i}") for i in range(d)]
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__y is not null")
-    marks = marks.groupBy("__id").agg((F.avg("__y") >= 0.5).cast("int").alias("__y"))
+    q = [F.col(c) for c in stats.columns[1:]]
     sums = [F.sum(x) for x in q] + [F.sum(q[i] * q[j]) for i in range(d) for j in range(i + 1)]
-    rows = stats.join(marks, F.col(id_col) == F.col("__id")).groupBy("__y").agg(F.count("*"), *sums).collect()  # two rows
+    rows = stats.join(marked, "doc_id").groupBy("y").agg(F.count("*"), *sums).collect()  # two rows
     by = {r[0]: np.array(r[1:], np.float64) for r in rows}
     n = {y: by[y][0] if y in by else 0.0 for y in (0, 1)}
     if min(n.values()) < 3:
@@ -133,17 +144,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Null text counts as empty; empty texts get a score.
 
-    Repeated rows are scored each. No other column of docs is read. An empty table gives no rows.
+    Texts of any length are read whole. Repeated rows are scored each. Null ids are scored, never learned from. No other
+    column of docs is read, whatever its name. An empty table gives no rows.
     """
     stats = checkpointed(with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"]))
-    labels = labels.select(F.col(id_col).alias("doc_id"), "quality")
-    model = fit(stats.where(~held_out()), labels)
-    out = stats.select("doc_id", held_out().alias("held_out"), model.score().cast("double").alias("score"))
+    model = fit(stats.where(~held_out()), marks(labels.select(F.col(id_col).alias("doc_id"), "quality")))
+    out = stats.select("doc_id", held_out().alias("held_out"), model.score(stats.columns[1:]).cast("double").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least threshold."""
-    stats = with_statistics(docs.select(id_col, text_col), text_col, [id_col])
-    model = fit(stats.where(~held_out(id_col)), labels, id_col)
-    return with_statistics(docs, text_col, docs.columns).where(model.score() >= threshold).select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, labelled: int = LABELLED) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold.
+
+    Learns from about `labelled` marked rows at most, so that all others go through Python once. Null and empty texts,
+    repeated rows and null ids are scored like others, texts of any length whole. Names of docs' columns may be any. An
+    empty table gives no rows; without labels all rows score 0.5.
+    """
+    marked = checkpointed(marks(labels.select(F.col(id_col).alias("doc_id"), "quality")).where(~held_out()))
+    n = marked.count()
+    if n > labelled:  # hashes are even, so this share of them holds about that many rows
+        marked = checkpointed(marked.where(F.xxhash64("doc_id") <= int(-(2**63) + labelled / n * (2**64 - 1))))
+        n = marked.count()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    taught = rows.join(small(marked.select("doc_id"), n, 2 * labelled), "doc_id", "left_semi")
+    model = fit(with_statistics(taught, "text", ["doc_id"]), marked)
+    return with_statistics(docs, text_col, docs.columns).where(model.score(names_in(docs)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

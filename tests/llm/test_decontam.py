@@ -86,3 +86,28 @@ def test_filter_empty_tables_and_clashing_columns(spark):
     assert sorted((r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()) == [(1, 1), (4, 1)]
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
     assert D.drop_contaminated(docs, items.limit(0)).count() == 5
+
+
+def test_blocks_are_skipped_without_loss():
+    """Cursors jump over blocks; what is retrieved equals the sums over whole posting lists."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(["common", "often", *(f"r{rng.randrange(400)}" for _ in range(6))]) for _ in range(rng.randrange(5, 30))), None) for i in range(600)]
+    index = D.ItemIndex(items)
+    for _ in range(60):
+        passage = {w for k in rng.sample(range(600), 2) for w in D.words_of(items[k][1])} | {"common", "often"}
+        terms = sorted(index.terms[w] for w in passage if w in index.terms)
+        sums = {}
+        for t in terms:
+            for d, x in zip(index.docs[t], index.weights[t], strict=True):
+                sums[d] = sums.get(d, 0.0) + x
+        got = dict(index.retrieve(terms))
+        assert {d for d, x in sums.items() if x > 1 + 1e-9} <= set(got) <= {d for d, x in sums.items() if x > 1 - 1e-9}
+
+
+def test_very_long_texts(spark):
+    filler = " ".join(f"f{i % 977}" for i in range(150_000))
+    item = "which river runs past the old stone bridge near the market square in spring"
+    docs = [(1, f"{filler} {item} {filler}"), (2, filler), (3, None)]
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id int, text string")
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(frame, items).collect()] == [(1, 7)]
+    assert sorted(r.doc_id for r in D.drop_contaminated(frame, items).collect()) == [2, 3]

@@ -65,3 +65,19 @@ def test_filter_keeps_columns_and_rows(spark):
     good = {d for d, t, *_ in docs if "!!" not in t}
     ids = {r.doc_id for r in kept.collect()}
     assert len(ids & good) > 0.98 * len(good) and len(ids - good) < 5
+
+
+def test_filter_with_clashing_names_and_few_taught_rows(spark):
+    docs, labels = corpus(500, 5)
+    rows = [(d, t, "a", "b", "c", 1.0) for d, t, *_ in docs] + [(None, None, "a", "b", "c", 1.0), (docs[0][0], docs[0][1], "a", "b", "c", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __text string, __id string, __y string, __q0 double")
+    marked = spark.createDataFrame(labels, "doc_id long, quality int")
+    every, some = (quality.keep_good(frame, marked, labelled=n) for n in (200_000, 150))
+    assert every.columns == frame.columns == some.columns
+    good = {d for d, t, *_ in docs if "!!" not in t}
+    for kept in (every, some):
+        ids = [r.doc_id for r in kept.collect()]
+        assert len(set(ids) & good) > 0.97 * len(good) and len(set(ids) - good) < 8
+    want = {r.doc_id for r in quality.scored(frame, marked).where("score >= 0.3").collect()}
+    assert {r.doc_id for r in every.collect()} == want
+    assert quality.keep_good(frame, marked.limit(0)).count() == len(rows) and quality.keep_good(frame.limit(0), marked).count() == 0
