@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import guard as G
 from lodeframe.functions import scalars as X
+from lodeframe.storage import numbered
 
 #: Levels as they are looked for in free text, in this order.
 SEVERITY_LEVELS = ("critical", "high", "medium", "low", "info")
@@ -31,10 +32,9 @@ def kb_context(hits: DataFrame, top_k: int = 5) -> DataFrame:
 def analysis_payload(members: DataFrame, context: DataFrame, max_members: int = 500) -> DataFrame:
     """A2: (group_id, part, payload): masked JSON of up to max_members findings a part, with the group's snippets.
 
-    A group of any size is parts; positions come from ranks within (group, stretch of input).
+    A group of any size is parts: members are numbered in sorted ranges, not in one task for a group.
     """
-    w = Window.partitionBy("group_id").orderBy("cluster_idx", "row_idx")
-    rows = members.withColumn("part", F.floor((F.row_number().over(w) - 1) / max_members))
+    rows = numbered(members, ["group_id"], "cluster_idx", "row_idx").withColumn("part", F.floor((F.col("at") - 1) / max_members))
     fields = [c for c in ("finding_id", "fingerprint", "tool", "scan_type", "title", "cwe_ids", "kind", "path", "endpoint", "parameter") if c in members.columns]
     parts = rows.groupBy("group_id", "part").agg(F.array_sort(F.collect_list(F.struct("cluster_idx", "row_idx", F.struct(*fields).alias("finding")))).alias("xs"))
     docs = context.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("docs"))
@@ -59,8 +59,7 @@ def parse_answer(raw: Column, entry: str) -> Column:
 def repair_entries(entries: DataFrame, members: DataFrame) -> DataFrame:
     """A3: entries (group_id, idx, finding_id, fingerprint, tool, scan_type, analysis_id, severity, confidence,
     correlation_type, cwe) held to the contract by the member with their finding_id, else fingerprint, else place."""
-    w = Window.partitionBy("group_id").orderBy("cluster_idx", "row_idx")
-    m = members.withColumn("place", F.row_number().over(w) - 1)
+    m = numbered(members, ["group_id"], "cluster_idx", "row_idx").withColumn("place", F.col("at") - 1)
     by = lambda key, name: m.groupBy("group_id", key).agg(F.min_by(F.struct("finding_id", "fingerprint", "tool", "scan_type", "severity"), "place").alias(name))
     rows = entries.join(by("finding_id", "m1"), ["group_id", "finding_id"], "left").join(by("fingerprint", "m2"), ["group_id", "fingerprint"], "left").join(by("place", "m3").withColumnRenamed("place", "idx"), ["group_id", "idx"], "left")
     hit = F.coalesce("m1", "m2", "m3")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast; beyond it both sides are shuffled.
@@ -12,10 +12,13 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where none is set, as in tests."""
+    """spark.checkpoint.dir. A folder of this machine only where none is set and all executors are on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -27,3 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def numbered(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """rows with `at`, counted from 1 within each `by`, in an order that tells all rows apart.
+
+    Rows are sorted into ranges and counted there, then the sizes of a group's earlier ranges are added: a group of any
+    size is spread over tasks. The sizes are one row for each range and group.
+    """
+    parts = checkpointed(rows.repartitionByRange(*by, *order).withColumn("range_of_rows", F.spark_partition_id()))
+    sizes = parts.groupBy(*by, "range_of_rows").agg(F.count("*").alias("m"))
+    ahead = Window.partitionBy(*by).orderBy("range_of_rows").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "range_of_rows", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "range_of_rows").orderBy(*order))
+    return parts.withColumn("inside", inside).join(before, [*by, "range_of_rows"]).withColumn("at", F.col("inside") + F.col("before")).drop("inside", "before", "range_of_rows")
