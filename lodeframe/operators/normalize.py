@@ -361,10 +361,11 @@ def normalize_all(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     ready = reports.where("doc is not null and meta is not null")
     parts = [flatten(ready).select("report_path", "tool", *RAW) for flatten in TOOLS.values()]
-    rows = reduce(DataFrame.unionByName, parts).join(ready.select("report_path", "meta"), "report_path")
-    origin = X.http_origin(F.col("meta.target.base_url"))
-    rows = rows.withColumn("fit", F.col("fit") & ((F.col("tool") != "zap") | origin.isNotNull()))
-    rows = rows.withColumn("in_scope", (F.col("tool") != "zap") | F.coalesce(X.http_origin(F.col("uri")) == origin, F.lit(False)))
+    # a target's origin is read once a report, an instance's once a row
+    targets = checkpointed(ready.select("report_path", "meta", X.http_origin(F.col("meta.target.base_url")).alias("origin")))
+    rows = reduce(DataFrame.unionByName, parts).join(targets, "report_path")
+    rows = rows.withColumn("fit", F.col("fit") & ((F.col("tool") != "zap") | F.col("origin").isNotNull()))
+    rows = rows.withColumn("in_scope", (F.col("tool") != "zap") | F.coalesce(X.http_origin(F.col("uri")) == F.col("origin"), F.lit(False))).drop("origin")
     # documents are parsed once; a report is one row until then, so its results are dealt out before the rest is done
     width = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = checkpointed(rows.repartition(width, "report_path", "pointer"))

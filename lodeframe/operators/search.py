@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators.kb import DOC_TYPES
-from lodeframe.storage import BROADCAST_ROWS, small
+from lodeframe.storage import BROADCAST_ROWS, checkpointed, small
 
 #: Columns with their weights; words that part clauses, and words that are left out of them.
 WEIGHTS = {"title": 6.0, "aliases": 5.0, "identifiers": 5.0, "tags": 3.0, "summary": 2.0, "content": 1.0}
@@ -24,6 +24,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PARTING = r"(?iu)\s+(?:hoặc|or|hay|và|va|and|với|voi|cùng|cung)\s+|,\s*"
 CONNECTIVES = ("và", "va", "and", "với", "voi", "cùng", "cung", "trong", "của", "cua", "the", "in", "for", "with", "to", "of")
 MODES = ("keyword", "dense", "hybrid")
+#: Bytes of query vectors that go out for one pass over the chunks, and queries that are compared with a batch at a time.
+SENT_BYTES, COMPARED = 256 << 20, 1024
 
 
 def _normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -63,37 +65,56 @@ def _tokens(c: Column) -> Column:
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings (doc_id, col, term, pos), lengths (doc_id, tokens)). Write postings partitioned by a hash of the term
-    (write_index) and readers of some terms read their files only."""
+    """(postings (doc_id, col, term, pos), lengths (doc_id, tokens)). Texts are cut into tokens once, which are stored."""
     kinds = dict(docs.dtypes)
     text = lambda c: F.array_join(c, " \x1f ") if kinds[c].startswith("array") else F.col(c)
     cols = F.array(*[F.struct(F.lit(c).alias("col"), _tokens(text(c)).alias("tokens")) for c in WEIGHTS if c in kinds])
-    rows = docs.select("doc_id", F.explode(cols).alias("x"))
+    cut = checkpointed(docs.select("doc_id", cols.alias("cols")))
+    rows = cut.select("doc_id", F.explode("cols").alias("x"))
     postings = rows.select("doc_id", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
-    return postings, docs.select("doc_id", F.aggregate(cols, F.lit(0), lambda n, x: n + F.size(x["tokens"])).alias("tokens"))
+    return postings, cut.select("doc_id", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["tokens"])).alias("tokens"))
 
 
-def write_index(postings: DataFrame, folder: str, buckets: int = 64) -> None:
-    postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, folder: str, buckets: int = 64) -> None:
+    """An index of docs as tables: postings parted by a hash of the term, and lengths. A term's bucket is sorted by
+    terms and may be several files."""
+    postings, lengths = build_index(docs)
+    spread = postings.withColumns({"bucket": _bucket(buckets), "buckets": F.lit(buckets)}).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term")
+    spread.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{folder}/postings")
+    lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What write_index wrote. Searches read the buckets of their terms only."""
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
 
 
 def phrase_hits(phrases: DataFrame, postings: DataFrame) -> DataFrame:
     """(phrase, doc_id, col, tf) for distinct phrases: their terms stand one after the other in one column."""
     each = phrases.select("phrase").distinct().withColumn("terms", _tokens(F.col("phrase")))
     terms = each.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("k", "term"))
+    if "bucket" in postings.columns:
+        buckets = postings.select("buckets").first()
+        terms = terms.withColumn("bucket", _bucket(buckets[0] if buckets else 1))
+        wanted = [r[0] for r in terms.select("bucket").distinct().collect()]  # numbers below the count of buckets
+        postings = postings.where(F.col("bucket").isin(wanted))
     # postings are cut down to the queries' terms before anything is shuffled, if those are few enough to be sent
     terms = small(terms, terms.count(), BROADCAST_ROWS)
-    found = postings.join(terms, "term").select("phrase", "n", "doc_id", "col", (F.col("pos") - F.col("k")).alias("at"))
+    found = postings.join(terms.drop("bucket"), "term").select("phrase", "n", "doc_id", "col", (F.col("pos") - F.col("k")).alias("at"))
     whole = found.groupBy("phrase", "n", "doc_id", "col", "at").agg(F.count("*").alias("m")).where("m = n")
     return whole.groupBy("phrase", "doc_id", "col").agg(F.count("*").alias("tf"))
 
 
-def match_docs(clauses: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, doc_id) with all phrases of a clause."""
-    hits = phrase_hits(clauses, postings).select("phrase", "doc_id").distinct()
+def match_docs(clauses: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id) with all phrases of a clause, from phrase_hits."""
+    found = hits.select("phrase", "doc_id").distinct()
     want = clauses.select("query_id", "clause", "phrase").distinct()
     need = want.groupBy("query_id", "clause").agg(F.count("*").alias("need"))
-    got = want.join(hits, "phrase").groupBy("query_id", "clause", "doc_id").agg(F.count("*").alias("got"))
+    got = want.join(found, "phrase").groupBy("query_id", "clause", "doc_id").agg(F.count("*").alias("got"))
     return got.join(need, ["query_id", "clause"]).where("got = need").select("query_id", "doc_id").distinct()
 
 
@@ -101,7 +122,9 @@ def bm25(clauses: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFra
     """(query_id, doc_id, score) of all matches: Okapi BM25 of weighted frequencies over the query's distinct phrases."""
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("tokens").alias("mean"))  # one row
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
-    hits = phrase_hits(clauses, postings).groupBy("phrase", "doc_id").agg(F.sum(F.col("tf") * F.try_element_at(weight, F.col("col"))).alias("f"))
+    clauses = checkpointed(clauses)
+    found = checkpointed(phrase_hits(clauses, postings))
+    hits = found.groupBy("phrase", "doc_id").agg(F.sum(F.col("tf") * F.try_element_at(weight, F.col("col"))).alias("f"))
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     one = hits.join(df, "phrase").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
@@ -109,17 +132,17 @@ def bm25(clauses: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFra
     scored = one.select("phrase", "doc_id", part.alias("part"))
     want = clauses.select("query_id", "phrase").distinct()
     total = want.join(scored, "phrase").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return total.join(match_docs(clauses, postings), ["query_id", "doc_id"])
+    return total.join(match_docs(clauses, found), ["query_id", "doc_id"])
 
 
-def search_keyword(queries: DataFrame, docs: DataFrame, top_k: int = 10, doc_type: str | None = None) -> DataFrame:
-    """Queries (query_id, normalized) -> (query_id, rank, doc_id, tier, score).
+def search_keyword(queries: DataFrame, docs: DataFrame, top_k: int = 10, doc_type: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Queries (query_id, normalized) -> (query_id, rank, doc_id, tier, score); index as read_index gives it, or made here.
 
     Order: tier (0 identifier, 1 title, 2 alias, 3 else), owner of an identifier-shaped query, score, doc_id.
     """
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be from 1 to 50")
-    postings, lengths = build_index(docs)
+    postings, lengths = index or build_index(docs)
     scored = bm25(parse_query(queries, "normalized"), postings, lengths)
     names = docs.select("doc_id", "doc_type", "title", "aliases", "identifiers")
     names = names if doc_type is None else names.where(F.col("doc_type") == doc_type)
@@ -144,22 +167,26 @@ def snippet(content: Column, terms: Column, size: int = 24) -> Column:
     return F.concat(F.when(at > 0, " … ").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > at + size, " … ").otherwise(""))
 
 
-def search_dense(queries: DataFrame, chunks: DataFrame, top_k: int = 10, doc_type: str | None = None, block: int = 4096) -> DataFrame:
+def search_dense(queries: DataFrame, chunks: DataFrame, top_k: int = 10, doc_type: str | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Queries (query_id, vector) x chunks (chunk_id, parent_doc_id, doc_type, vector) -> (query_id, rank, doc_id, score,
     chunk_id): the best min(max(5 k, 20), 200) chunks by cosine, then the best chunk of each parent.
 
-    Queries go out in blocks of `block`; a batch keeps only its best chunks of each query, so that is all that is shuffled.
+    Queries are sent to the tasks, sent_bytes of them for each pass over the chunks. A batch keeps only its best chunks of
+    each query, so that is all that is shuffled.
     """
     most = min(max(5 * top_k, 20), 200)
     rows = (chunks if doc_type is None else chunks.where(F.col("doc_type") == doc_type)).select("chunk_id", "parent_doc_id", "vector")
     sc = chunks.sparkSession.sparkContext
     kinds = dict(queries.dtypes) | {"parent": dict(chunks.dtypes)["parent_doc_id"], "chunk": dict(chunks.dtypes)["chunk_id"]}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk']}, doc_id {kinds['parent']}, score double"
-    n = max(1, -(-queries.count() // block))
+    size = queries.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
+    n = max(1, -(-size // sent_bytes))
     parts = []
     for k in range(n):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).select("query_id", "vector").toPandas()
-        matrix = np.array(own["vector"].tolist(), np.float64).reshape(len(own), -1)
+        if own.empty and (parts or k + 1 < n):
+            continue
+        matrix = np.array(own["vector"].tolist(), np.float64).reshape(len(own), -1 if len(own) else 0)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True) if len(own) else 1
         sent = sc.broadcast((own["query_id"].tolist(), matrix / np.where(norm == 0, 1, norm)))
 
@@ -171,14 +198,16 @@ def search_dense(queries: DataFrame, chunks: DataFrame, top_k: int = 10, doc_typ
                     continue
                 v = np.array(batch["vector"].tolist(), np.float64)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = q @ (v / np.where(size == 0, 1, size)).T
-                keep = min(most, scores.shape[1])
-                if keep < scores.shape[1]:  # all that tie with the last one stay
-                    last = np.partition(scores, -keep, axis=1)[:, -keep]
-                    i, j = np.nonzero(scores >= last[:, None])
-                else:
-                    i, j = (x.ravel() for x in np.indices(scores.shape))
-                yield pd.DataFrame({"query_id": [ids[x] for x in i], "chunk_id": batch["chunk_id"].to_numpy()[j], "doc_id": batch["parent_doc_id"].to_numpy()[j], "score": scores[i, j]})
+                v = (v / np.where(size == 0, 1, size)).T
+                for at in range(0, len(ids), COMPARED):
+                    scores = q[at : at + COMPARED] @ v
+                    keep = min(most, scores.shape[1])
+                    if keep < scores.shape[1]:  # all that tie with the last one stay
+                        last = np.partition(scores, -keep, axis=1)[:, -keep]
+                        i, j = np.nonzero(scores >= last[:, None])
+                    else:
+                        i, j = (x.ravel() for x in np.indices(scores.shape))
+                    yield pd.DataFrame({"query_id": [ids[at + x] for x in i], "chunk_id": batch["chunk_id"].to_numpy()[j], "doc_id": batch["parent_doc_id"].to_numpy()[j], "score": scores[i, j]})
 
         parts.append(rows.mapInPandas(run, schema))
     hits = parts[0]
@@ -236,10 +265,10 @@ def mmr(candidates: DataFrame, queries: DataFrame, top_k: int = 10, lam: float =
     return rows.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, rank int, doc_id {kinds['doc_id']}")
 
 
-def search_hybrid(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 10, doc_type: str | None = None, lam: float = 0.7) -> DataFrame:
+def search_hybrid(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 10, doc_type: str | None = None, lam: float = 0.7, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """R5 and R7 with max(20, 4 k) candidates, fused (R8), cut, diversified (R9), with titles. Empty sides count as empty."""
     n = min(50, max(20, 4 * top_k))
-    fused = rrf(search_keyword(queries, docs, n, doc_type), search_dense(queries, chunks, n, doc_type)).where(F.col("rank") <= n)
+    fused = rrf(search_keyword(queries, docs, n, doc_type, index), search_dense(queries, chunks, n, doc_type)).where(F.col("rank") <= n)
     vectors = chunks.groupBy(F.col("parent_doc_id").alias("doc_id")).agg(F.min_by("vector", "chunk_id").alias("vector"))
     return mmr(fused.join(vectors, "doc_id", "left"), queries, top_k, lam).join(docs.select("doc_id", "title"), "doc_id", "left")
 

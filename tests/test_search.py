@@ -44,16 +44,21 @@ def test_tiers_and_ties(spark):
 
 
 def test_index_folder(spark, tmp_path):
-    postings, _ = R.build_index(docs(spark))
-    R.write_index(postings, str(tmp_path / "ix"), 8)
-    assert spark.read.parquet(str(tmp_path / "ix")).count() == postings.count()
+    d = docs(spark)
+    R.write_index(d, str(tmp_path / "ix"), 8)
+    index = R.read_index(spark, str(tmp_path / "ix"))
+    postings, lengths = R.build_index(d)
+    assert index[0].count() == postings.count() and sorted(index[1].collect()) == sorted(lengths.collect())
+    q = spark.createDataFrame([(1, "needle"), (2, "sql injection"), (3, "nowhere")], "query_id int, normalized string")
+    one, two = (R.search_keyword(q, d, 5, index=i).orderBy("query_id", "rank").collect() for i in (None, index))
+    assert one == two and len(one) > 3
 
 
 def test_dense_parents(spark):
     chunks = spark.createDataFrame([("c1", "A", "t", [1.0, 0.0]), ("c2", "A", "t", [0.9, 0.1]), ("c3", "A", "t", [0.8, 0.2]), ("c4", "B", "t", [0.5, 0.5]), ("c5", "C", "u", [1.0, 0.0]), ("c6", "Z", "t", None)], "chunk_id string, parent_doc_id string, doc_type string, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, vector array<float>")
-    for block in (1, 100):
-        got = [(r.query_id, r.doc_id, r.chunk_id) for r in R.search_dense(q, chunks, 2, "t", block).orderBy("query_id", "rank").collect()]
+    for size in (1, 1 << 20):
+        got = [(r.query_id, r.doc_id, r.chunk_id) for r in R.search_dense(q, chunks, 2, "t", size).orderBy("query_id", "rank").collect()]
         assert got == [(1, "A", "c1"), (1, "B", "c4"), (2, "B", "c4"), (2, "A", "c3")]
 
 
