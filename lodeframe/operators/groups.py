@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions import guard as G
 from lodeframe.functions import scalars as X
+from lodeframe.operators import correlate as C
+from lodeframe.operators import search as R
 from lodeframe.storage import numbered
 
 #: Levels as they are looked for in free text, in this order.
@@ -23,10 +27,18 @@ def context_queries(members: DataFrame) -> DataFrame:
     return cwes.union(titles)
 
 
-def kb_context(hits: DataFrame, top_k: int = 5) -> DataFrame:
-    """A1: hits (group_id, doc_id, score) of a group's queries -> the best score of each document, the top_k lowest."""
+def kb_context(members: DataFrame, docs: DataFrame, top_k: int = 5, each: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """A1: (group_id, rank, doc_id, score): all queries of all groups in one keyword search over docs (see
+    operators.search), `each` documents a query; of each document the best score, of each group the top_k lowest.
+
+    Groups that ask the same are one query.
+    """
+    asked = context_queries(members).where(F.trim("query") != "").distinct()
+    queries = asked.select("query").distinct().withColumn("query_id", F.col("query")).withColumn("normalized", R.normalize_query(F.col("query")))
+    hits = asked.join(R.search_keyword(queries, docs, each, index=index), F.col("query") == F.col("query_id"))
     best = hits.groupBy("group_id", "doc_id").agg(F.min("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy("score", "doc_id"))).where(F.col("rank") <= top_k)
+    order = Window.partitionBy("group_id").orderBy(F.round("score", 9), "doc_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("group_id", "rank", "doc_id", "score")
 
 
 def analysis_payload(members: DataFrame, context: DataFrame, max_members: int = 500) -> DataFrame:
@@ -90,10 +102,15 @@ def entry_checks() -> dict[str, Column]:
     }
 
 
-def analysis_summary(entries: DataFrame) -> DataFrame:
-    """Counts by status and by correlation type, as rows (what, value, n)."""
+def analysis_summary(entries: DataFrame, findings: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (what, value, n): totals of findings, groups and entries, coverage (as C11), counts by status and type."""
     by = lambda name: entries.groupBy(F.lit(name).alias("what"), F.col(name).alias("value")).agg(F.count("*").alias("n"))
-    return by("status").union(by("correlation_type"))
+    total = lambda name, df: df.agg(F.lit("total").alias("what"), F.lit(name).alias("value"), F.count("*").alias("n"))
+    covered = C.coverage(findings, entries)
+    parts = ("input_count", "covered_count", "missing_count")
+    cover = covered.select(F.lit("coverage").alias("what"), F.explode(F.array(*[F.struct(F.lit(c).alias("value"), F.col(c).alias("n")) for c in parts])).alias("x")).select("what", "x.value", "x.n")
+    totals = [total("findings", findings), total("groups", groups.select("group_id").distinct()), total("entries", entries)]
+    return reduce(DataFrame.unionAll, [*totals, cover, by("status"), by("correlation_type")])
 
 
 def severity_matrix(entries: DataFrame, members: DataFrame) -> DataFrame:
@@ -116,8 +133,8 @@ def page_groups(entries: DataFrame, level: str | None, page: int, size: int) ->
     has = F.lit(True) if level is None else F.bool_or(F.col("severity") == level)
     groups = entries.groupBy("group_id").agg(F.min("row_idx").alias("first"), has.alias("has")).where("has")
     page = max(1, min(page, -(-groups.count() // size)))
-    # the rows up to the page's end only: the sort keeps that many from each task
-    return groups.orderBy("first").limit(page * size).orderBy("first").offset((page - 1) * size).select("group_id", "first")
+    # groups are numbered in sorted ranges, so a page far behind costs no more than the first
+    return numbered(groups, [], "first", "group_id").where(F.col("at").between((page - 1) * size + 1, page * size)).orderBy("at").select("group_id", "first")
 
 
 def flag_repeat_calls(calls: DataFrame, limit: int = 2) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import scalars as X
 from lodeframe.operators.normalize import plain_text
+from lodeframe.sources.files import content_hash
 
 #: Document types; the CWE table's fields with their labels (those in MINI are in the colon language).
 DOC_TYPES = ("owasp_category", "cwe", "scanner_document", "scanner_rule", "vulnerability_example", "cheatsheet", "asvs_requirement", "document")
@@ -253,9 +254,11 @@ def register(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def kb_manifest(docs: DataFrame) -> DataFrame:
-    """Documents by type, all types listed."""
+    """Documents by type, all types listed, then a row `total` with the hash of the set of documents."""
     types = docs.sparkSession.createDataFrame([(t,) for t in DOC_TYPES], "doc_type string")
-    return types.join(docs.groupBy("doc_type").agg(F.count("*").alias("n")), "doc_type", "left").select("doc_type", F.coalesce("n", F.lit(0)).alias("n"))
+    each = types.join(docs.groupBy("doc_type").agg(F.count("*").alias("n")), "doc_type", "left").select("doc_type", F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast("string").alias("sha256"))
+    whole = content_hash(docs, "doc_id").select(F.lit("total").alias("doc_type"), F.col("document_count").alias("n"), F.col("documents_sha256").alias("sha256"))
+    return each.unionAll(whole)
 
 
 def _pieces(text: str, most: int, overlap: int) -> list[str]:

@@ -187,13 +187,19 @@ def n31_findings(spark, d):
     return findings.groupBy("severity", F.array_join("cwe_ids", ",").alias("cwe")).agg(F.count("*").alias("n"), F.count_distinct("location.endpoint").alias("endpoints"))
 
 
-@query("""SELECT count(*) AS findings, count(*) AS valid, CAST(0 AS BIGINT) AS unresolved FROM lineitem WHERE l_suppkey % 5 <> 0""")
+@query("""SELECT count(*) AS findings, count(*) FILTER (l_orderkey % 50 NOT IN (7, 8, 9)) AS valid, count(*) FILTER (l_orderkey % 50 = 7) AS severity, count(*) FILTER (l_orderkey % 50 = 8) AS fingerprint, count(*) FILTER (l_orderkey % 50 = 9) AS location, count(*) FILTER (l_orderkey % 50 = 3) AS unresolved FROM lineitem WHERE l_suppkey % 5 <> 0""")
 def n22_n24_valid_and_proven(spark, d):
     reports = zap_reports(spark, d)
-    findings, _ = N.normalize_all(reports)
-    good, _ = N.validate(findings, N.finding_checks())
-    lost = N.check_provenance(findings.select(F.col("raw_sources")[0]["report_path"].alias("report_path"), F.col("raw_sources")[0]["json_pointer"].alias("pointer")), reports)
-    return findings.agg(F.count("*").alias("findings")).crossJoin(good.agg(F.count("*").alias("valid"))).crossJoin(lost.agg(F.count("*").alias("unresolved")))
+    at = lambda n: F.col("location.endpoint") == f"/p/{n}"
+    findings = checkpointed(N.normalize_all(reports)[0])
+    spoilt = findings.withColumns({"severity": F.when(at(7), "odd").otherwise(F.col("severity")), "fingerprint": F.when(at(8), F.upper("fingerprint")).otherwise(F.col("fingerprint")), "location": F.when(at(9), F.col("location").withField("uri", F.lit(None).cast("string"))).otherwise(F.col("location"))})
+    good, bad = N.validate(spoilt, N.finding_checks())
+    source = F.col("raw_sources")[0]
+    pointer = F.when(at(3), F.concat(source["json_pointer"], F.lit("0/x"))).otherwise(source["json_pointer"])
+    lost = N.check_provenance(findings.select(source["report_path"].alias("report_path"), pointer.alias("pointer")), reports)
+    each = findings.select(F.lit("findings").alias("k")).unionAll(good.select(F.lit("valid"))).unionAll(bad.select("error")).unionAll(lost.select(F.lit("unresolved")))
+    n = lambda k: F.count_if(F.col("k") == k).alias(k)
+    return each.agg(*map(n, ("findings", "valid", "severity", "fingerprint", "location", "unresolved")))
 
 
 def semgrep_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -219,13 +225,18 @@ def n1_n20_semgrep(spark, d):
 def sarif_reports(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").withColumn("rep", F.floor(F.col("o_orderkey") / 1000))
     k = F.col("o_orderkey")
+    node = lambda n: F.concat(F.lit('{"location": {"physicalLocation": {"artifactLocation": {"uri": "lib/n'), n, F.lit('.ts"}, "region": {"startLine": '), k % 9 + n, F.lit('}}, "message": {"text": "step"}}}'))
+    thread = F.concat(F.lit(', "codeFlows": [{"threadFlows": [{"locations": ['), F.array_join(F.transform(F.sequence(F.lit(1), k % 4 + 1), node), ", "), F.lit("]}]}]"))
     res = F.concat(
         F.lit('{"ruleId": "r'), k % 6, F.lit('", "ruleIndex": '), F.when(k % 4 == 0, 0).otherwise(k % 6), F.lit(', "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {'),
-        F.when(k % 2 == 0, F.concat(F.lit('"uri": "src/'), k % 20, F.lit('.ts"'))).otherwise(F.concat(F.lit('"index": '), k % 2)), F.lit('}, "region": {"startLine": '), k % 50 + 1, F.lit("}}}]}"),
+        F.when(k % 2 == 0, F.concat(F.lit('"uri": "src/'), k % 20, F.lit('.ts"'))).otherwise(F.concat(F.lit('"index": '), k % 2)), F.lit('}, "region": {"startLine": '), k % 50 + 1, F.lit("}}}]"), F.when(k % 5 == 0, thread).otherwise(F.lit("")), F.lit("}"),
     )
     rules = ", ".join(f'{{"id": "r{i}", "shortDescription": {{"text": "Rule {i}"}}, "properties": {{"security-severity": "{i * 2}.0", "precision": "high", "tags": ["external/cwe/cwe-0{i + 1}"]}}}}' for i in range(5))
-    head = '{"version": "2.1.0", "runs": [{"tool": {"driver": {"rules": [' + rules + ']}}, "artifacts": [{"location": {"uri": "lib/a.ts"}}, {"location": {"uri": "lib/b.ts"}}], "invocations": [{"toolExecutionNotifications": [{"descriptor": {"id": "js/extraction-error"}, "locations": []}, {"descriptor": {"id": "js/parse-error"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "z.ts"}}}]}]}], "results": ['
-    docs = o.groupBy("rep").agg(F.concat(F.lit(head), F.array_join(F.collect_list(res), ","), F.lit("]}]}")).alias("doc"))
+    head = '{"version": "2.1.0", "runs": [{"tool": {"driver": {"rules": [' + rules + ']}}, "artifacts": [{"location": {"uri": "lib/a.ts"}}, {"location": {"uri": "lib/b.ts"}}], "invocations": [{"toolExecutionNotifications": ['
+    parse = F.transform(F.sequence(F.lit(1), F.col("rep") % 4 + 1), lambda n: F.concat(F.lit('{"descriptor": {"id": "js/Parse-error"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "z'), n % 3, F.lit('.ts"}}}]}')))
+    lost = F.array_repeat(F.lit('{"descriptor": {"id": "js/extraction-error"}, "locations": []}'), (F.col("rep") % 3).cast("int"))
+    docs = o.groupBy("rep").agg(F.array_join(F.collect_list(res), ",").alias("res"))
+    docs = docs.select("rep", F.concat(F.lit(head), F.array_join(F.concat(parse, lost), ", "), F.lit(']}], "results": ['), "res", F.lit("]}]}")).alias("doc"))
     return at_rest(docs.select(F.concat(F.lit("codeql/"), "rep").alias("report_path"), F.lit("codeql").alias("tool"), "doc"))
 
 
@@ -234,7 +245,16 @@ def n3_n4_n5_sarif(spark, d):
     return N.sarif_results(sarif_reports(spark, d)).groupBy("rule_id", "title", F.col("path_raw").alias("path")).agg(F.count("*").alias("n"), F.count_if("missing_rule").alias("missing"))
 
 
-@query("""SELECT 'codeql/' || CAST(o_orderkey // 1000 AS STRING) AS report_path, CAST(1 AS BIGINT) AS extraction_errors, CAST(1 AS BIGINT) AS parse_errors, CAST(1 AS BIGINT) AS files FROM orders GROUP BY 1""")
+@query("""SELECT o_orderkey % 9 AS start, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderkey % 4 > 0) AS flows, CAST(sum(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 > 0 THEN o_orderkey % 4 - 1 ELSE 0 END) AS BIGINT) AS steps,
+  min(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 > 0 THEN 'lib/n1.ts:' || CAST(o_orderkey % 9 + 1 AS STRING) || '>lib/n' || CAST(o_orderkey % 4 + 1 AS STRING) || '.ts' END) AS first FROM orders GROUP BY 1""")
+def n20_thread_flows(spark, d):
+    rows = N.flatten_sarif(sarif_reports(spark, d)).select(F.col("start_line").alias("s"), F.col("flow")[0].alias("f"), "report_path", "pointer", "path_raw")
+    # a result's order key is not in it; what it is by 9 is: of its flow's first line, or for others not at all
+    flows = rows.where("f is not null").select((F.col("f.source.line") - 1).cast("long").alias("start"), F.size("f.steps").cast("long").alias("n"), F.concat("f.source.path", F.lit(":"), "f.source.line", F.lit(">"), "f.sink.path").alias("way"))
+    return flows.groupBy("start").agg(F.count("*").alias("flows"), F.sum("n").alias("steps"), F.min("way").alias("first"))
+
+
+@query("""SELECT 'codeql/' || CAST(o_orderkey // 1000 AS STRING) AS report_path, o_orderkey // 1000 % 3 AS extraction_errors, o_orderkey // 1000 % 4 + 1 AS parse_errors, least(o_orderkey // 1000 % 4 + 1, 3) AS files FROM orders GROUP BY ALL""")
 def n27_sarif_diagnostics(spark, d):
     return N.sarif_diagnostics(sarif_reports(spark, d))
 
@@ -266,12 +286,18 @@ def n30_finding_id(spark, d):
     return raw(spark, d).select("row_idx", N.finding_id(F.concat(F.lit("rep"), F.col("row_idx") % 9), F.concat(F.lit("/results/"), "row_idx")).alias("finding_id"))
 
 
-@query(f"""{_RAW}, m AS (SELECT row_idx, ['$A', '$Z'] AS names FROM raw) SELECT row_idx, '$A,$Z' AS names, CAST(2 AS BIGINT) AS related FROM m""")
+@query(f"""{_RAW} SELECT row_idx, '$A' || CAST(row_idx % 7 AS STRING) || '=;$Z=' || rule_id AS names, CASE row_idx % 3 WHEN 0 THEN '' WHEN 1 THEN 'about ' || rule_id || '@' || 'src/r' || CAST(row_idx % 500 AS STRING) || '.ts:' || CAST(start_line AS STRING)
+  ELSE 'about ' || rule_id || '@' || 'src/r' || CAST(row_idx % 500 AS STRING) || '.ts:' || CAST(start_line AS STRING) || ';@lib/x.ts:3' END AS related FROM raw""")
 def n23_matched_and_related(spark, d):
-    metavars = F.from_json(F.lit('{"$Z": {"abstract_content": "z"}, "$A": {}}'), "map<string,struct<abstract_content:string>>")
+    i, r = F.col("row_idx"), raw(spark, d)
+    metavars = F.from_json(F.concat(F.lit('{"$Z": {"abstract_content": "'), "rule_id", F.lit('"}, "$A'), i % 7, F.lit('": {}}')), "map<string,struct<abstract_content:string>>")
     kind = "struct<id:int,message:struct<text:string>,physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
-    related = F.from_json(F.lit('[{"id": 1, "message": {"text": "m"}}, {"physicalLocation": {"artifactLocation": {"uri": "./a"}, "region": {"startLine": 3}}}]'), f"array<{kind}>")
-    return raw(spark, d).select("row_idx", F.array_join(F.transform(N.matched_contents(metavars), lambda x: x["name"]), ",").alias("names"), F.size(N.related_context(related)).cast("long").alias("related"))
+    first = F.concat(F.lit('{"id": 1, "message": {"text": "about '), "rule_id", F.lit('"}, "physicalLocation": {"artifactLocation": {"uri": "'), "path_raw", F.lit('"}, "region": {"startLine": '), "start_line", F.lit("}}}"))
+    second = F.lit(', {"physicalLocation": {"artifactLocation": {"uri": "./lib/x.ts"}, "region": {"startLine": 3}}}')
+    related = F.from_json(F.concat(F.lit("["), F.when(i % 3 > 0, first).otherwise(""), F.when(i % 3 == 2, second).otherwise(""), F.lit("]")), f"array<{kind}>")
+    names = F.transform(N.matched_contents(metavars), lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x["content"], F.lit(""))))
+    about = F.transform(N.related_context(related), lambda x: F.concat(F.coalesce(x["message"], F.lit("")), F.lit("@"), x["path"], F.lit(":"), x["line"]))
+    return r.select("row_idx", F.array_join(names, ";").alias("names"), F.array_join(about, ";").alias("related"))
 
 
 _WORDS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda w: len(w) > 1), lambda w: CASE WHEN w IN ('sql', 'sqli', 'database', 'query') THEN ['sql', 'sqli', 'database', 'query'] WHEN w IN ('redirect', 'url', 'open-redirect') THEN ['redirect', 'url', 'open-redirect'] WHEN w IN ('xss', 'scripting') THEN ['xss', 'scripting'] WHEN w IN ('path', 'traversal', 'directory') THEN ['path', 'traversal', 'directory'] ELSE [w] END)))"
@@ -330,6 +356,25 @@ def c9_correlation_type(spark, d):
     return kinds.groupBy("correlation_type").agg(F.count("*").alias("n_groups"), F.sum("m").alias("n_members"))
 
 
+def all_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of all lines and orders, normalised from two kinds of reports, numbered by their ids."""
+    findings, _ = N.normalize_all(zap_reports(spark, d).unionByName(semgrep_reports(spark, d)))
+    return checkpointed(C.flat(C.indexed(findings, "finding_id")))
+
+
+@query()
+def c5_c12_groups_of_all_findings(spark, d):
+    groups, members = C.build_groups(all_findings(spark, d))
+    return groups.select("group_id", "founder", "primary_cwe", "correlation_type", "size")
+
+
+@query()
+def a2_payloads_of_all_findings(spark, d):
+    groups, members = C.build_groups(all_findings(spark, d))
+    context = members.select("group_id", F.explode("cwe_ids").alias("doc_id")).distinct().withColumn("rank", F.lit(1))
+    return A.analysis_payload(members, context).select("group_id", "part", F.length("payload").alias("chars"))
+
+
 @query(f"{_SMALL} SELECT count(DISTINCT fingerprint) AS input_count, count(DISTINCT fingerprint) FILTER (CAST(substr(fingerprint, 3) AS INT) % 3 <> 0) AS covered_count, count(DISTINCT fingerprint) FILTER (CAST(substr(fingerprint, 3) AS INT) % 3 = 0) AS missing_count, false AS is_complete FROM small")
 def c11_coverage(spark, d):
     rows = small_findings(spark, d)
@@ -345,6 +390,16 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return r.select("row_idx", "finding_id", "fingerprint", F.concat(F.lit("grp_"), i % 70).alias("group_id"), "tool", "scan_type", "title", level.alias("severity"), conf.alias("confidence"), F.when(i % 9 == 0, "error").otherwise("success").alias("status"), F.when(i % 2 == 0, "multi_sast").otherwise("sast_only").alias("correlation_type"), F.when(i % 50 == 0, "key [REDACTED_EMAIL]").otherwise("plain").alias("note"))
 
 
+@query()
+def a1_kb_context(spark, d):
+    """Groups of small findings, with titles that hold words of the documents, ask all documents."""
+    from lodeframe.plans.texts import corpus
+
+    words = load(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.substring_index("text", " ", 1).alias("word"))
+    m = small_findings(spark, d).join(words, "row_idx").withColumns({"group_id": F.concat(F.lit("grp_"), F.col("row_idx") % 70), "cluster_idx": F.col("row_idx"), "title": F.col("word")})
+    return A.kb_context(m, corpus(spark, d)).select("group_id", F.col("rank").cast("long").alias("rank"), "doc_id")
+
+
 @query(f"{_SMALL}, m AS (SELECT 'grp_' || CAST(row_idx % 70 AS STRING) AS group_id, row_idx, cwe, title FROM small) SELECT DISTINCT group_id, cwe AS query FROM m UNION SELECT group_id, arg_min(title, row_idx) FROM m GROUP BY group_id")
 def a1_context_queries(spark, d):
     m = small_findings(spark, d).withColumns({"group_id": F.concat(F.lit("grp_"), F.col("row_idx") % 70), "cluster_idx": F.col("row_idx")})
@@ -375,9 +430,12 @@ def a4_a5_fallback_entries(spark, d):
     return good.groupBy("fingerprint", "analysis_id").agg(F.count("*").alias("n"))
 
 
-@query(f"{_SMALL} SELECT 'status' AS what, CASE WHEN row_idx % 9 = 0 THEN 'error' ELSE 'success' END AS value, count(*) AS n FROM small GROUP BY 2 UNION ALL SELECT 'correlation_type', CASE WHEN row_idx % 2 = 0 THEN 'multi_sast' ELSE 'sast_only' END, count(*) FROM small GROUP BY 2")
+@query(f"""{_SMALL}, e AS (SELECT * FROM small WHERE row_idx % 6 <> 5) SELECT 'status' AS what, CASE WHEN row_idx % 9 = 0 THEN 'error' ELSE 'success' END AS value, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'correlation_type', CASE WHEN row_idx % 2 = 0 THEN 'multi_sast' ELSE 'sast_only' END, count(*) FROM e GROUP BY 2
+  UNION ALL SELECT 'total', 'findings', count(*) FROM small UNION ALL SELECT 'total', 'groups', count(DISTINCT row_idx % 70) FROM small UNION ALL SELECT 'total', 'entries', count(*) FROM e
+  UNION ALL SELECT 'coverage', 'input_count', count(DISTINCT fingerprint) FROM small UNION ALL SELECT 'coverage', 'covered_count', count(DISTINCT fingerprint) FROM e UNION ALL SELECT 'coverage', 'missing_count', (SELECT count(DISTINCT fingerprint) FROM small) - count(DISTINCT fingerprint) FROM e""")
 def a6_summary(spark, d):
-    return A.analysis_summary(entries(spark, d))
+    e = entries(spark, d)
+    return A.analysis_summary(e.where("row_idx % 6 <> 5"), e, e)
 
 
 @query(f"{_SMALL} SELECT 'grp_' || CAST(row_idx % 70 AS STRING) AS group_id, min(row_idx) AS first_seen, arg_min(title, row_idx) AS title, ['critical', 'high', 'medium', 'low'][min(row_idx) % 4 + 1] AS severity, ['confirmed', 'false_positive', 'low'][min(row_idx) % 3 + 1] AS confidence, count(*) AS members FROM small GROUP BY 1")
