@@ -72,12 +72,20 @@ def divided(df: DataFrame, members: DataFrame, keys: list[Column], rows: int) ->
     return joined.where(held).select(*df.columns), joined.where(~held).select(*df.columns)
 
 
+def _same(keys: list[Column], names: list[str]) -> Column:
+    """Only the first key can be null: each null-safe comparison computes its key twice."""
+    first, *rest = (k == F.col(n) if i else k.eqNullSafe(F.col(n)) for i, (k, n) in enumerate(zip(keys, names, strict=True)))
+    return reduce(and_, rest, first)
+
+
 def without(df: DataFrame, members: DataFrame, keys: list[Column], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of df that are not in members, null being equal to null. Of rows (members' count) within the limit members
-    go to all tasks; beyond it only those rows of df are shuffled that a bitmap of members lets through."""
+    """The rows of df that are not in members, by keys of which the first may be null and is equal to null then.
+
+    Of rows (members' count) within the limit members go to all tasks; beyond it only those rows of df are shuffled that a
+    bitmap of members lets through.
+    """
     names = [fresh(df, f"gone{i}") for i in range(len(keys))]
-    gone = members.toDF(*names)
-    same = reduce(and_, (k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    gone, same = members.toDF(*names), _same(keys, names)
     if rows <= limit:
         return df.join(F.broadcast(gone), same, "left_anti")
     maybe, clear = divided(df, members, keys, rows)
@@ -87,8 +95,7 @@ def without(df: DataFrame, members: DataFrame, keys: list[Column], rows: int, li
 def among(df: DataFrame, members: DataFrame, keys: list[Column], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of df that are in members; moved as in without()."""
     names = [fresh(df, f"kept{i}") for i in range(len(keys))]
-    kept = members.toDF(*names)
-    same = reduce(and_, (k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)))
+    kept, same = members.toDF(*names), _same(keys, names)
     if rows <= limit:
         return df.join(F.broadcast(kept), same, "left_semi")
     return divided(df, members, keys, rows)[0].join(kept, same, "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Chunks that a Python worker may hold, the longest of them, texts handled at a time, chunks tokenised as one text, chunks
 #: of each call that are compared with the tokenizer's own ids, and words whose ids are gathered at a time.
-CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED, COMPARED, GATHERED = 400_000, 256, 1000, 4000, 8, 1 << 18
+CACHE_CHUNKS, CHUNK_CHARS, TEXTS, JOINED, COMPARED, GATHERED = 200_000, 256, 500, 4000, 8, 1 << 17
 #: A fixed value: how byte-level BPE of this public kind cuts texts.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBE = " It's 1,234 words; we'll tokenize them_all... été Ärger 日本語 😀 ### &&& |a|b|\nnext LINE\tTAB x=y+z (1999) ~~ \u00ad"

@@ -10,8 +10,8 @@ from lodeframe.llm import _shared, exact_dedup
 def test_rows_with_and_without_members(spark, limit):
     """Broadcast or let through by a bitmap: the same rows, nulls equal, names that clash."""
     rng = random.Random(3)
-    rows = [(rng.choice([None, *range(300)]), rng.choice([None, "a", "b"]), k) for k in range(1000)]
-    members = {(rng.choice([None, *range(300)]), rng.choice([None, "a", "b"])) for _ in range(150)}
+    rows = [(rng.choice([None, *range(300)]), rng.choice(["", "a", "b"]), k) for k in range(1000)]
+    members = {(rng.choice([None, *range(300)]), rng.choice(["", "a", "b"])) for _ in range(150)}
     df = spark.createDataFrame(rows, "gone0 int, bitmap string, bucket int").repartition(3)
     gone = spark.createDataFrame(sorted(members, key=str), "a long, b string")
     keys = [F.col("gone0"), F.col("bitmap")]
