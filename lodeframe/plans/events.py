@@ -108,12 +108,13 @@ def g15_token_usage(spark, d):
 
 
 def cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents as cases, with entries whose level follows from their number."""
+    """Labelled documents as cases, every seventh an injection, with entries whose level follows from their number."""
     i = F.col("doc_id")
-    c = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), i.alias("case_id"), F.when(F.col("quality") == 1, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("truth"), (F.col("doc_id") % 7 / 4).alias("seconds"))
+    name = F.concat(F.when(i % 7 == 3, "injection-").otherwise("case-"), i)
+    c = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), name.alias("case_id"), F.when(F.col("quality") == 1, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE").alias("truth"), (F.col("doc_id") % 7 / 4).alias("seconds"))
     level = F.when(i % 5 == 0, "low").when(i % 5 == 1, "high").otherwise("confirmed")
-    e = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), i.alias("case_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("row_idx"), level.alias("confidence"), F.lit("CWE-89").alias("cwe"), F.when(i % 6 == 0, "x sk_live_ y").otherwise("plain").alias("text")).where("case_id % 10 <> 9 or row_idx = 2")
-    return c, e
+    e = load(spark, d, "labels").select(F.concat(F.lit("m"), i % 3).alias("mode"), name.alias("case_id"), i.alias("i"), F.explode(F.array(F.lit(2), F.lit(1))).alias("row_idx"), level.alias("confidence"), F.when(i % 2 == 0, "CWE-89").otherwise("CWE-79").alias("cwe"), F.when(i % 6 == 0, "x sk_live_ y").otherwise("plain").alias("text"))
+    return c, e.where("i % 10 <> 9 or row_idx = 2").drop("i")
 
 
 _EVAL = """WITH c AS (SELECT 'm' || CAST(doc_id % 3 AS STRING) AS mode, quality = 1 AS t, doc_id % 5 NOT IN (0, 1) AS hit, doc_id % 5 = 0 AS low FROM labels),
@@ -125,7 +126,7 @@ def e1_confusion(spark, d):
     return E.confusion(*cases(spark, d))
 
 
-@query("SELECT 'm' || CAST(doc_id % 3 AS STRING) AS mode, count(*) FILTER (doc_id % 6 = 0) AS leaks, CAST(0 AS BIGINT) AS evasions FROM labels GROUP BY 1")
+@query("SELECT 'm' || CAST(doc_id % 3 AS STRING) AS mode, count(*) FILTER (doc_id % 6 = 0) AS leaks, count(*) FILTER (doc_id % 7 = 3 AND doc_id % 2 = 0 AND doc_id % 5 NOT IN (0, 1)) AS evasions FROM labels GROUP BY 1")
 def e2_safety(spark, d):
     return E.safety_counts(*cases(spark, d))
 
@@ -199,9 +200,39 @@ def s3_log_round_trip(spark, d):
     return S.read_log_jsonl(spark, at, "endpoint string, method string, status_code int", "method").groupBy("endpoint").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min(sha256(text)) AS least FROM documents GROUP BY 1")
 def s7_s8_canonical_round_trip(spark, d):
     at = f"{checkpoint_folder(spark)}/canon-{uuid.uuid4().hex}"
     docs = load(spark, d, "documents").select("doc_id", "lang", "text")
     S.write_canonical(docs, "doc_id", at)
-    return S.read_canonical(spark, at, "doc_id long, lang string, text string", "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    back = S.read_canonical(spark, at, "doc_id long, lang string, text string", "doc_id")
+    return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.min(F.sha2("text", 256)).alias("least"))
+
+
+@query("""SELECT lang, CAST(doc_id % 4 AS BIGINT) AS part, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines, CAST(sum(length(replace(replace(text, chr(13), ' '), chr(10), ''))) AS BIGINT) AS chars FROM documents GROUP BY 1, 2""")
+def s4_text_tree(spark, d):
+    """Documents as files of a tree, some folders of which hold files of another kind and empty ones."""
+    at = f"{checkpoint_folder(spark)}/tree-{uuid.uuid4().hex}"
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = load(spark, d, "documents").select("lang", (F.col("doc_id") % 4).alias("part"), F.replace("text", F.lit("\r"), F.lit(" ")).alias("value"))
+    docs.repartition(width, "lang", "part").write.partitionBy("lang", "part").text(f"{at}/docs")
+    docs.where("part = 0").select("value").write.option("compression", "none").json(f"{at}/docs/lang=en/other")
+    spark.range(2).select(F.lit(" ").alias("value")).write.text(f"{at}/docs/blank")
+    tree = S.read_text_tree(spark, at, "*.txt")
+    body = F.regexp_replace("text", "\n$", "")  # a writer ends the last line too
+    rows = tree.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.replace(body, F.lit("\n"), F.lit("")).alias("t"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    return rows.groupBy("lang", "part").agg(F.sum("lines").cast("long").alias("lines"), F.sum(F.length("t")).cast("long").alias("chars"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 11 = 3 THEN 'x' || CAST(doc_id AS STRING) WHEN doc_id % 11 = 5 THEN '0' ELSE CAST(doc_id // 2 + 1 AS STRING) END AS id, length(text) AS n FROM documents), u AS (SELECT id FROM r GROUP BY id HAVING count(*) > 1)
+SELECT 'rows' AS what, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM r UNION ALL SELECT 'missing column', 1, 0 UNION ALL SELECT 'id', count(*), 0 FROM r WHERE starts_with(id, 'x') OR id = '0' UNION ALL SELECT 'duplicate id', count(*), 0 FROM u""")
+def s5_csv_checked(spark, d):
+    """Documents as a CSV with quoted texts; some ids are unfit, some come twice, a column is missing."""
+    at = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    number = F.when(i % 11 == 3, F.concat(F.lit("x"), i)).when(i % 11 == 5, "0").otherwise(F.floor(i / 2 + 1).cast("string"))
+    rows = load(spark, d, "documents").select(number.alias("ID"), F.concat(F.lit("'"), F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("'")).alias("Name"))
+    rows.write.option("header", "true").option("quoteAll", "true").option("escape", '"').csv(at)
+    good, errors = S.read_csv_checked(spark, at, ["ID", "Status"], "ID")
+    found = errors.groupBy(F.col("error").alias("what")).agg(F.count("*").alias("n")).withColumn("chars", F.lit(0).cast("long"))
+    return good.agg(F.lit("rows").alias("what"), F.count("*").alias("n"), F.sum(F.length("Name") - 2).cast("long").alias("chars")).unionByName(found)

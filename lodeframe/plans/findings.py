@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from lodeframe.operators import evaluate as E
 from lodeframe.operators import groups as A
 from lodeframe.operators import normalize as N
 from lodeframe.plans.adapters import RAW_FINDINGS, SMALL_FINDINGS, load, shaped
-from lodeframe.storage import checkpointed
+from lodeframe.sources import files as S
+from lodeframe.storage import checkpoint_folder, checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -467,3 +470,48 @@ def e4_ground_truth(spark, d):
     i = F.col("row_idx")
     truth = f.select(i.alias("ground_truth_id"), F.when(i % 4 == 0, "ALL").otherwise(F.concat(F.lit("/p/"), i % 19)).alias("endpoint"), F.lit("GET").alias("method"), F.concat(F.lit("CWE-"), i % 80).alias("primary_cwe_id"))
     return E.ground_truth_recall(truth, f.where("endpoint is not null").withColumn("method", F.lit("GET")))
+
+
+def laid_out(spark: SparkSession, reports: DataFrame, at: str) -> str:
+    """Reports (run, tool, name, body) as files <at>/raw/<run>/<tool>/<name>. Writers choose their own names, so the files,
+    one a folder, are moved to theirs afterwards; there are as many as reports, not as rows."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reports.repartition(width, "run", "tool", "name").write.partitionBy("run", "tool", "name").text(f"{at}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in reports.select("run", "tool", "name").distinct().toLocalIterator():
+        folder = f"{at}/raw/{r.run}/{r.tool}"
+        fs.mkdirs(path(folder))
+        (part,) = (s.getPath() for s in fs.listStatus(path(f"{at}/parts/run={r.run}/tool={r.tool}/name={r.name}")))
+        fs.rename(part, path(f"{folder}/{r.name}"))
+    return f"{at}/raw"
+
+
+@query("""WITH z AS (SELECT DISTINCT l_orderkey // 500 AS rep FROM lineitem) SELECT 'zap/zap.json' AS report_path, 'zap' AS tool, count(*) AS reports, count(*) FILTER (rep % 5 <> 1) AS documents, count(*) FILTER (rep % 3 = 0) AS sidecars FROM z WHERE rep % 7 <> 2
+  UNION ALL SELECT 'zap', 'zap', count(*), 0, count(*) FILTER (rep % 3 = 0) FROM z WHERE rep % 7 = 2""")
+def s1_scan_reports(spark, d):
+    """Reports and sidecars as files of many runs: some documents are lists, some sidecars lack their target or time, some
+    reports are not there."""
+    rows = zap_reports(spark, d).select(F.regexp_extract("report_path", "([0-9]+)$", 1).cast("long").alias("run"), "tool", "doc")
+    body = F.when(F.col("run") % 5 == 1, F.concat(F.lit("["), "doc", F.lit("]"))).otherwise(F.col("doc"))
+    said = F.to_json(F.struct(F.concat(F.lit("r"), "run").alias("run_id"), F.when(F.col("run") % 3 == 1, "").otherwise("2025-01-01T00:00:00Z").alias("scanned_at"), F.struct(F.when(F.col("run") % 3 == 2, "").otherwise("shop").alias("name")).alias("target")))
+    both = rows.where("run % 7 <> 2").select("run", "tool", F.lit("zap.json").alias("name"), body.alias("body")).unionAll(rows.select("run", "tool", F.lit("scan-metadata.json"), said))
+    found = S.read_scan_reports(spark, laid_out(spark, checkpointed(both), f"{checkpoint_folder(spark)}/reports-{uuid.uuid4().hex}"))
+    return found.groupBy("report_path", "tool").agg(F.count("*").alias("reports"), F.count("doc").alias("documents"), F.count("meta").alias("sidecars"))
+
+
+@query("""SELECT 'good' AS what, 'zap' AS tool, count(*) AS n FROM lineitem WHERE l_suppkey % 5 <> 0 UNION ALL SELECT 'good', 'semgrep', count(*) FROM orders UNION ALL SELECT 'parquet', 'semgrep', count(*) FROM orders
+  UNION ALL SELECT 'bad', '', count(*) + count(*) FILTER (o_orderkey % 4 = 0) + count(*) FILTER (o_orderkey % 8 = 0) FROM orders WHERE o_orderkey % 2 = 0""")
+def s2_s6_findings_round_trip(spark, d):
+    """All findings written as lines and as Parquet; among the lines some that are no findings."""
+    at = f"{checkpoint_folder(spark)}/findings-{uuid.uuid4().hex}"
+    findings = checkpointed(N.normalize_all(zap_reports(spark, d).unionByName(semgrep_reports(spark, d)))[0])
+    lines = S.write_findings(findings, at, "one")
+    k = F.col("o_orderkey")
+    spoilt = load(spark, d, "orders").where(k % 2 == 0).select(F.explode(F.array_compact(F.array(F.concat(F.lit('{"fingerprint": "'), k, F.lit('"}')), F.when(k % 4 == 0, F.concat(F.lit("{oops "), k)), F.when(k % 8 == 0, F.concat(F.lit("["), k, F.lit("]")))))).alias("value"))
+    spoilt.unionAll(load(spark, d, "orders").select(F.lit("  "))).write.mode("append").text(lines)
+    good, bad = S.read_findings_jsonl(spark, lines, "quarantine")
+    S.write_findings_parquet(findings, f"{at}/parquet")
+    stored = spark.read.parquet(f"{at}/parquet").where("tool_name = 'semgrep'")
+    count = lambda what, tool, df: df.groupBy(F.lit(what).alias("what"), tool.alias("tool")).agg(F.count("*").alias("n"))
+    return count("good", F.col("tool.name"), good).unionAll(count("bad", F.lit(""), bad)).unionAll(count("parquet", F.col("tool_name"), stored))

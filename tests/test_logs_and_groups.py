@@ -54,8 +54,13 @@ def test_entries(spark):
     assert [[x.a for x in r.e] for r in got] == [["1", "2"], ["3"], ["4"]]
     p = A.analysis_payload(m, m.select("group_id", F.lit(1).alias("rank"), F.lit("d").alias("doc_id")).distinct(), 2).orderBy("part").collect()
     assert len(p) == 2 and '"context":["d"]' in p[0].payload
-    hits = spark.createDataFrame([("g", "d1", -1.0), ("g", "d1", -3.0), ("g", "d2", -2.0)], "group_id string, doc_id string, score double")
-    assert [(r.doc_id, r.score) for r in A.kb_context(hits, 1).collect()] == [("d1", -3.0)]
+    docs = spark.createDataFrame([("d1", "cwe", "CWE-5: Odd", ["CWE-5"], "odd odd"), ("d2", "cwe", "Other", ["CWE-6"], "much about odd"), ("d3", "document", "Nothing", [], "none")], "doc_id string, doc_type string, title string, identifiers array<string>, content string")
+    docs = docs.withColumns({"aliases": F.array().cast("array<string>"), "tags": F.array().cast("array<string>"), "summary": F.lit("")})
+    asks = spark.createDataFrame([("g", 0, 0, "Odd", ["CWE-5"]), ("g", 1, 1, "Late", []), ("h", 2, 2, " ", ["CWE-6"]), ("i", 3, 3, "absent", [])], "group_id string, cluster_idx int, row_idx int, title string, cwe_ids array<string>")
+    got = A.kb_context(asks, docs, 2).collect()
+    assert {(r.group_id, r.doc_id) for r in got} == {("g", "d1"), ("g", "d2"), ("h", "d2")} and all(r.score < 0 for r in got)
+    both = [c for c in A.kb_context(asks, docs, 1).collect() if c.group_id == "g"]
+    assert len(both) == 1 and both[0].score == min(r.score for r in got if r.group_id == "g")
     calls = spark.createDataFrame([("g", i, "t", "x") for i in range(4)], "group_id string, step int, tool string, args string")
     assert [r.blocked for r in A.flag_repeat_calls(calls).orderBy("step").collect()] == [False, False, True, True]
 
