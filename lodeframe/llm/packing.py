@@ -162,8 +162,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset, and ids if asked for.
 
     tokenizer is the path of its file, which every executor must have. longest is a power of two. A piece is a sequence
-    of its own, so offset is 0. Null and empty texts give the end id alone. Ids, ties and repeated rows do not matter:
-    each row is packed for itself. Other columns are not read. An empty table gives no rows.
+    of its own, so offset is 0. Null and empty texts give the end id alone. Texts of any length are packed whole. Ids, ties
+    and repeated rows do not matter: each row is packed for itself. Other columns are not read. An empty table gives no rows.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
@@ -190,6 +190,12 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1,
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
+def write_buckets(packed: DataFrame, folder: str) -> None:
+    """Parquet, parted by bucket: a reader of one folder gets sequences of one length, which batch without padding. There is
+    no shuffle; a task adds to each bucket what it has packed."""
+    packed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
 def unpack(packed: DataFrame) -> DataFrame:
     """The round trip of pack(with_ids=True): each document's ids in order, without cutting marks; one row per document."""
     parts = F.array_sort(F.collect_list(F.struct("start", "ids")))

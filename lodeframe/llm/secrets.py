@@ -109,7 +109,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     """One row per row of docs: doc_id, n_<kind> of each base kind, base_sha256 (of the base spans), spans (all).
 
     A span is kind:start:end in code points, end exclusive; spans are ordered by start, then by the rules' order, and
-    joined with commas. Null text counts as empty: no spans. Repeated rows are scanned each. Other columns are not read.
+    joined with commas. Null text counts as empty: no spans. Texts of any length are scanned whole, in one pass. Repeated
+    rows are scanned each. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     rules = base + added
     sent = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # bounded by the rules

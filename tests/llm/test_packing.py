@@ -50,3 +50,12 @@ def test_empty_table_nulls_and_clashing_columns(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, PATH, longest=1000)
+
+
+def test_buckets_hold_one_length(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((1, 3, 40, 700, 5000))], "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, PATH, with_ids=True)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    lengths = {r.bucket: sorted(r.lengths) for r in back.selectExpr("bucket", "size(ids) AS n").groupBy("bucket").agg({"n": "collect_set"}).withColumnRenamed("collect_set(n)", "lengths").collect()}
+    assert all(v == [1 << k] for k, v in lengths.items()) and back.count() == packed.count() and 11 in lengths
