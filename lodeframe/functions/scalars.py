@@ -69,20 +69,27 @@ def _numbered(values: Column, pattern: str, prefix: str) -> Column:
     return F.transform(ranked, lambda x: F.concat(F.lit(f"{prefix}-"), x["n"]))
 
 
+#: How numbers of the three taxonomies stand in texts, which part of a path is a checkout's, what is a URL.
+CWE_NUMBER = r"(?i)(?:cwe(?:[-_/]cwe)?[-_/]?)?0*([0-9]+)"
+WASC_NUMBER = r"(?i)(?:wasc[-_/]?)?0*([0-9]+)"
+OWASP_CATEGORY = r"(?i)(?:owasp[-_/]?)?a(0?[1-9]|10)\s*[:_-]\s*([0-9]{4})"
+CHECKOUT = r"(?s)^(?:.*?/)?target-app/[^/]+/"
+URL = r"(?i)https?://[^\s<>'\"\)]+"
+
+
 def cwe_ids(values: Column) -> Column:
     """The first number of each text, distinct, in order of the numbers. Texts that start with a minus have none."""
-    return _numbered(values, r"(?i)(?:cwe(?:[-_/]cwe)?[-_/]?)?0*([0-9]+)", "CWE")
+    return _numbered(values, CWE_NUMBER, "CWE")
 
 
 def wasc_ids(values: Column) -> Column:
-    return _numbered(values, r"(?i)(?:wasc[-_/]?)?0*([0-9]+)", "WASC")
+    return _numbered(values, WASC_NUMBER, "WASC")
 
 
 def owasp_categories(values: Column) -> Column:
     """OWASP-Ann:yyyy, distinct, by year and number."""
-    pattern = r"(?i)(?:owasp[-_/]?)?a(0?[1-9]|10)\s*[:_-]\s*([0-9]{4})"
-    texts = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda t: t.rlike(pattern))
-    pairs = F.transform(texts, lambda t: F.struct(F.regexp_extract(t, pattern, 2).alias("year"), F.lpad(F.regexp_extract(t, pattern, 1), 2, "0").alias("n")))
+    texts = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda t: t.rlike(OWASP_CATEGORY))
+    pairs = F.transform(texts, lambda t: F.struct(F.regexp_extract(t, OWASP_CATEGORY, 2).alias("year"), F.lpad(F.regexp_extract(t, OWASP_CATEGORY, 1), 2, "0").alias("n")))
     return F.transform(F.array_sort(F.array_distinct(pairs)), lambda p: F.concat(F.lit("OWASP-A"), p["n"], F.lit(":"), p["year"]))
 
 
@@ -98,7 +105,7 @@ def code_path(c: Column) -> Column:
     """
     value = F.replace(strip(c), F.lit("\\"), F.lit("/"))
     value = F.when(value.startswith("file:"), unquote(F.regexp_extract(value, r"^file:(?://[^/?#]*)?([^?#]*)", 1))).otherwise(value)
-    value = F.regexp_replace(F.regexp_replace(value, "/+", "/"), r"(?s)^(?:.*?/)?target-app/[^/]+/", "")
+    value = F.regexp_replace(F.regexp_replace(value, "/+", "/"), CHECKOUT, "")
     path = F.array_join(F.filter(F.split(value, "/"), lambda p: (p != "") & (p != ".")), "/")
     return F.nullif(F.regexp_replace(path, r"(?s)^(?:.*/)?\.\.(?:/.*)?$", ""), F.lit(""))
 
@@ -151,7 +158,7 @@ def endpoint(c: Column) -> Column:
 
 def urls(c: Column) -> Column:
     """http and https URLs in an unescaped text, without trailing points and commas, distinct, sorted."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)https?://[^\s<>'\"\)]+"), F.lit(0)), lambda u: F.regexp_replace(u, "[.,;:]+$", ""))
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,;:]+$", ""))
     return F.array_sort(F.array_distinct(F.filter(found, lambda u: u.rlike(r"(?i)^https?://[^/?#]"))))
 
 

@@ -48,7 +48,7 @@ def masked_sql(text: str) -> str:
     return text
 
 
-_FORMS = ("Bearer abc.def-1", "password: hunter2x", "api_key=zzz999", "4111-1111-1111-1111", "postgres://u:pw@h:5432/db", "0912-345-678", "a.b+c@ex.co.uk", "plain words")
+_FORMS = ("Bearer abc.def-1", "password: hunter2x", "api_key=zzz999", "4012-8888-8888-1881", "redis://u:pw@h:6379/0", "0387.201.447", "a.b+c@ex.org.nz", "plain words")
 _FORM = "CASE ({0}) % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FORMS)) + " END"
 
 
