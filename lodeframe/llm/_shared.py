@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast (some 20 MB at most); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
-#: Files of a checkpoint for each core.
-FILES_A_CORE = 4
+#: Files of a checkpoint for each core, and shuffle partitions that may be one file beyond that.
+FILES_A_CORE, MERGED = 4, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +33,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder, in FILES_A_CORE files for each core at most: many small parts cost more
-    to write and to list than they give. Partitions are worked on one after the other, so tasks need no more memory. Where
-    executors come and go, cores can't be counted and every partition is a file.
+    """df, written to the shared checkpoint folder. Small parts cost more to write and to list than they give, so there are
+    at most FILES_A_CORE files for each core, or one for each MERGED shuffle partitions where those are many: what a task
+    reads stays bounded. Its partitions are worked on one after the other, so it needs no more memory. Where executors come
+    and go, cores can't be counted and every partition is a file.
     """
     checkpoint_folder(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(FILES_A_CORE * sc.defaultParallelism)
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(FILES_A_CORE * sc.defaultParallelism, width // MERGED))
     return df.checkpoint()
 
 
