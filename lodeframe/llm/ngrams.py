@@ -152,7 +152,7 @@ def _score(total: int, backoff: float, unseen: float):
             two[inner] = totals[place[len(w) :]] - _own(place[len(w) :], doc[inner])
             others = np.maximum(total - size, 1)[doc]
             found = two > 0
-            with np.errstate(divide="ignore"):
+            with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(found, np.log(two) - np.log(np.roll(one, 1)), np.log(np.maximum(one, unseen)) - np.log(others) + np.where(inner, math.log(backoff), 0.0))
             ends = np.cumsum(size)
             sums = lambda x: np.diff(np.append(0.0, np.cumsum(x))[np.append(0, ends)])  # noqa: B023, E731
