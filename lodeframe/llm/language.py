@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: The bounded sample: whole documents per label, by a hash of their ids. Their words are cut into stretches of HALF.
 DOCS_PER_LABEL, HALF = 80, 30
+#: Texts that are looked at for each that is taken; where these are too few, more are.
+MARGIN = 2
 #: Hashed features, words of the lexicon per label, words that a task keeps scores of, words labelled at a time.
 BUCKETS, LEXICON, CACHE_WORDS, GROUP_WORDS = 1 << 15, 400, 400_000, 400_000
 #: Steps of Adam, their size, the weight of the squared parameters, and sequences a step (the next ones in a fixed order).
@@ -204,19 +206,27 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = DOCS_PER_LABEL) -> Field | None:
-    """Trains on the whole texts of at most per_label documents of each label, those with the smallest hashes of their ids."""
-    known = docs.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("by"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # the classes; no text is read
-    # hashes are even, so this share of them holds about twice as many rows as are taken, whatever the table's size
-    share = {label: min(1.0, 2 * per_label / n) for label, n in counts.items()}
-    near = [(F.col("label") == label) & (F.col("by") <= int(-(2**63) + x * (2**64 - 1)) if x < 1 else F.lit(True)) for label, x in share.items()]
-    if not near:
-        return None
-    rows = known.where(reduce(or_, near)).where(F.length("text") > 0).select("label", "text", "by").collect()
+    """Trains on the whole texts of at most per_label documents of each label, those with the smallest hashes of id and text.
+
+    Texts without a letter teach nothing and take no place. Rows that repeat id and text count once.
+    """
+    known = docs.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("by"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").agg(F.approx_count_distinct("by")).collect()}  # the classes
     sample: list[tuple[str, str]] = []
-    for label in sorted(counts):
-        own = sorted((r.by, r.text) for r in rows if r.label == label)
-        sample += [(label, text) for _, text in own[:per_label]]
+    share = {label: min(1.0, MARGIN * per_label / n) for label, n in counts.items()}
+    while share:
+        # hashes are even, so this share of them holds some MARGIN times as many texts as are taken, whatever the table's size
+        near = [(F.col("label") == label) & (F.col("by") <= int(-(2**63) + x * (2**64 - 1)) if x < 1 else F.lit(True)) for label, x in share.items()]
+        rows = known.where(reduce(or_, near)).dropDuplicates(["label", "by"]).collect()
+        short = {}
+        for label, x in share.items():
+            own = sorted((r.by, r.text) for r in rows if r.label == label)
+            if len(own) < per_label and x < 1:
+                short[label] = min(1.0, 4 * x)
+            else:
+                sample += [(label, text) for _, text in own[:per_label]]
+        share = short
     return train(sorted(sample, key=lambda r: (hash_of(r[1]), r)))
 
 

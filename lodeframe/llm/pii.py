@@ -132,24 +132,38 @@ def _neighbour(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"[\s,;:()\[\]\"'.]"), 1).otherwise(2)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once, not for every item of what then walks over."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running(values: Column, joined) -> Column:
+    """values up to and with each place, joined: by steps of 1, 2, 4, ..., each over the whole array. An array is never made
+    longer item by item, which would copy it each time."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(values))
+    return F.aggregate(steps, values, lambda s, d: F.transform(s, lambda x, i: F.when(i >= d, joined(x, F.coalesce(F.get(s, i - d), x))).otherwise(x)))
+
+
 def _spans(g: int, matches: Column, pieces: Column) -> Column:
-    """Matches with what stands between them -> candidates with positions, in one walk over them."""
+    """Matches with what stands between them -> candidates with positions."""
     kind = GENERATORS[g].kind
     n = F.size(matches)
-    rows = F.arrays_zip(matches.alias("value"), F.slice(pieces, F.lit(1), n).alias("left"), F.slice(pieces, F.lit(2), n).alias("right"))
+    ends = _running(F.transform(matches, lambda m, i: (F.length(m) + F.length(F.get(pieces, i))).cast("bigint")), add)
+    rows = F.arrays_zip(matches.alias("value"), F.slice(pieces, F.lit(1), n).alias("left"), F.slice(pieces, F.lit(2), n).alias("right"), ends.alias("end"))
 
     def label(valid: Column, left: Column) -> Column:
         """1, 0, or -1 without evidence."""
         sure = left.rlike(PREFIX) if kind == "tel" else F.lit(False)
         return F.when(sure, 1).when(~valid, 0).when(left.rlike(AGAINST), 0).when(left.rlike(CUES[kind]), 1).otherwise(-1)
 
-    def span(start: Column, x: Column) -> Column:
+    def span(x: Column) -> Column:
         value, left = x["value"], F.right(x["left"], F.lit(CONTEXT))
         length = F.length(value)
+        start = x["end"] - length
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
         ok, valid = _checked(kind, value), _plausible(kind, value)
         fields = {
-            "g": F.lit(g), "start": start, "end": start + length, "ok": ok, "y": ok.cast("int") if g < len(BASE) else label(valid, left), "generator": F.lit(g),
+            "g": F.lit(g), "start": start, "end": x["end"], "ok": ok, "y": ok.cast("int") if g < len(BASE) else label(valid, left), "generator": F.lit(g),
             "digits": _level(digits, (1, 8, 10, 12, 16)), "length": _level(length, (10, 14, 18, 24)),
             "marks": _level(length - F.length(F.regexp_replace(value, r"[^A-Za-z0-9]", "")), (1, 2, 4)),
             "before": _neighbour(F.right(left, F.lit(1))), "after": _neighbour(F.left(x["right"], F.lit(1))),
@@ -158,12 +172,7 @@ def _spans(g: int, matches: Column, pieces: Column) -> Column:
         }
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["left"])
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(state["out"], F.array(span(start, x))).cast(f"array<{_SPAN}>").alias("out"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(rows, zero, step, lambda s: s["out"])
+    return F.transform(rows, span).cast(f"array<{_SPAN}>")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,10 +280,13 @@ def fit(found: DataFrame) -> Forest:
 
 
 def _apart(base: Column, more: Column) -> Column:
-    """Those of more that overlap none of base and none of those before them, by two walks in order of their starts."""
+    """Those of more that overlap none of base and none of those before them.
+
+    In order of starts, what hangs together by overlaps is a stretch; these are short, as no kind's matches overlap each
+    other. In each, two walks choose.
+    """
     none = F.array().cast(f"array<{_SPAN}>")
     order = F.array_sort(F.concat(base, more), lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double"))).when(a["ok"] != b["ok"], F.when(a["ok"], -1).otherwise(1)).otherwise(F.signum((b["end"] - a["end"]).cast("double"))).cast("int"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("end"), none.alias("out"))
 
     def forward(s: Column, x: Column) -> Column:
         stays = x["ok"] | (x["start"] >= s["end"])
@@ -284,9 +296,21 @@ def _apart(base: Column, more: Column) -> Column:
         stays = ~x["ok"] & (x["end"] <= s["end"])
         return F.struct(F.when(x["ok"], x["start"]).otherwise(s["end"]).alias("end"), F.when(stays, F.concat(s["out"], F.array(x))).otherwise(s["out"]).cast(f"array<{_SPAN}>").alias("out"))
 
-    first = F.aggregate(order, zero, forward, lambda s: F.reverse(s["out"]))
-    last = F.struct(F.lit(2**62).cast("bigint").alias("end"), none.alias("out"))
-    return F.when(F.size(more) == 0, none).otherwise(F.aggregate(first, last, back, lambda s: F.array_sort(s["out"])))
+    def walked(stretch: Column) -> Column:
+        zero, last = (F.struct(F.lit(end).cast("bigint").alias("end"), none.alias("out")) for end in (0, 2**62))
+        first = F.aggregate(stretch, zero, forward, lambda s: F.reverse(s["out"]))
+        return F.aggregate(first, last, back, lambda s: F.array_sort(s["out"]))
+
+    def stretches(spans: Column, begins: Column) -> Column:
+        each = F.transform(begins, lambda at, k: F.slice(spans, at + 1, F.coalesce(F.get(begins, k + 1), F.size(spans)) - at))
+        # of one span there is nothing to choose
+        return F.flatten(F.transform(each, lambda x: F.when(F.size(x) == 1, F.filter(x, lambda y: ~y["ok"])).otherwise(walked(x)).cast(f"array<{_SPAN}>")))
+
+    def chosen(spans: Column) -> Column:
+        begins = lambda reach: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+        return _let(_running(F.transform(spans, lambda x: x["end"]), F.greatest), lambda reach: _let(begins(reach), lambda at: stretches(spans, at)))
+
+    return F.when(F.size(more) == 0, none).otherwise(_let(order, chosen))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

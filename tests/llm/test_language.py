@@ -100,3 +100,21 @@ def test_query_equals_a_plain_computation(spark):
         mass, _ = L.posteriors(scores, plain.transition, np.array([len(tokens)]))
         share = mass[[bool(L.tidy(w)) for w in tokens]].sum(0)
         assert r.lang_pred == plain.labels[share.argmax()] and abs(r.score - share.max() / share.sum()) < 1e-6
+
+
+def test_labels_whose_texts_are_few_among_empty_rows_are_learned(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, "aa", 30)) if i % 200 == 0 else ("", None, "12 !")[i % 3], "aa") for i in range(4000)]
+    rows += [(5000 + i, " ".join(words(rng, "bb", 30)), "bb") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert L.fit(docs).labels == ["aa", "bb"]
+
+
+def test_rows_that_repeat_count_once(spark):
+    """One id with many texts is as many texts; one text that comes again is one."""
+    rng = random.Random(10)
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    own = [(one, " ".join(words(rng, "aa", 20)), "aa") for _ in range(300)]
+    docs = spark.createDataFrame(own + own[:1] * 3000 + [(two, " ".join(words(rng, "bb", 20)), "bb")] * 50, "doc_id long, text string, lang string").repartition(4)
+    field = L.fit(docs)
+    assert field.labels == ["aa", "bb"] and sum(len(w) > 0 for w in field.lexicon) > 20

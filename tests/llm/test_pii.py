@@ -121,3 +121,43 @@ def test_empty_table_nulls_and_clashing_columns(spark):
     docs = spark.createDataFrame([(None, "a@b.cd", 1), (2, None, 2), (2, None, 2)], "doc_id int, text string, found int")
     assert sorted((r.doc_id or 0, r.n_email, r.spans) for r in pii.detect(docs).collect()) == [(0, 1, "email:0:6"), (2, 0, ""), (2, 0, "")]
     assert pii.detect(docs.limit(0)).count() == 0
+
+
+def test_many_candidates_in_one_text(spark):
+    """50,000 in one text: positions are those of plain regular expressions, and time does not grow with their square."""
+    n = 25_000
+    text = " ".join(f"user{i}@mail.example.org call 499-555-{i % 10_000:04d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.detect(docs).first()
+    spans = [s.split(":") for s in row.spans.split(",")]
+    mails = [(m.start(), m.end()) for m in re.finditer(r"user[0-9]+@mail\.example\.org", text)]
+    assert row.n_email == n and [(int(a), int(b)) for k, a, b in spans if k == "email"] == mails
+    phones = {(m.start(), m.end()) for m in re.finditer(r"[0-9]{3}-[0-9]{3}-[0-9]{4}", text)}
+    assert {(int(a), int(b)) for k, a, b in spans if k == "tel"} <= phones
+
+
+def test_spans_that_overlap_are_chosen_from_the_left(spark):
+    """The walk over stretches against one over all spans, for random spans of four kinds."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(60):
+        spans = []
+        for g in (0, 4, 5, 6):
+            at = 0
+            while at < 120:
+                at += rng.randrange(1, 25)
+                long = rng.randrange(1, 14)
+                spans.append((g, at, at + long, g == 0, 0, g, 0, 0, 0, 0, 0, 0, 0))
+                at += long
+        rows.append((d, spans))
+    df = spark.createDataFrame(rows, f"d int, spans array<{pii._SPAN}>")
+    base, more = F.filter("spans", lambda x: x["ok"]), F.filter("spans", lambda x: ~x["ok"])
+    got = {r.d: [(x.g, x.start, x.end) for x in r.out] for r in df.select("d", pii._apart(base, more).alias("out")).collect()}
+    for d, spans in rows:
+        fixed, end, kept = [(s[1], s[2]) for s in spans if s[3]], 0, []
+        for g, a, b, ok, *_ in sorted(spans, key=lambda s: (s[1], not s[3], -s[2])):
+            if ok or a >= end:
+                end = max(end, b)
+                if not ok and all(b <= x or y <= a for x, y in fixed):
+                    kept.append((g, a, b))
+        assert sorted(got[d]) == sorted(kept)
