@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 
 from lodeframe import schemas as S
 from lodeframe.functions import scalars as X
-from lodeframe.storage import checkpointed
+from lodeframe.sources.json_parts import Cutter
+from lodeframe.storage import checkpointed, small
 
 VERSION = "1.0.0"
+#: How raw sources name the three formats, and a rule's place.
+FORMATS = {"semgrep": "semgrep-json", "codeql": "codeql-sarif", "zap": "zap-json"}
+RULE_FORMAT = "codeql-sarif-rule"
+#: What is cut out of each format's documents, by paths to arrays.
+PARTS = {
+    "semgrep": {"result": [("results",)]},
+    "zap": {"alert": [("site", "*", "alerts"), ("site", "alerts")], "instance": [("site", "*", "alerts", "*", "instances"), ("site", "alerts", "*", "instances")]},
+    "codeql": {"result": [("runs", "*", "results")], "rule": [("runs", "*", "tool", "driver", "rules")], "artifact": [("runs", "*", "artifacts")]},
+}
+#: Alerts, which hold texts, that may be sent to all tasks.
+BROADCAST_ALERTS = 20_000
 
 
 def _texts(raw: Column) -> Column:
@@ -37,7 +49,7 @@ RAW = {
     "categories": "array<string>", "cwe_raw": "array<string>", "owasp_raw": "array<string>", "wasc_raw": "array<string>", "reference_text": "array<string>",
     "kind": "string", "path_raw": "string", "artifact_index": "int", "run": "int", "rule_index": "int", "start_line": "int", "start_column": "int",
     "end_line": "int", "end_column": "int", "uri": "string", "method": "string", "parameter": "string", "snippet": "string", "matched": "string",
-    "note": "string", "attack": "string", "native_fp": "string", "line_hash": "string", "column_fp": "string",
+    "note": "string", "attack": "string", "native_fp": "string", "line_hash": "string", "column_fp": "string", "rule_pointer": "string",
     "matched_contents": "array<struct<name:string,content:string>>", "related": "array<struct<id:int,message:string,path:string,line:int>>",
     "flow": f"array<{S.FLOW}>",
 }
@@ -92,7 +104,11 @@ def _thread_flows(flows: Column) -> Column:
 
 def flatten_semgrep(reports: DataFrame) -> DataFrame:
     """One row per result; a result needs a rule, a path and a start line of 1 or more to be fit."""
-    r = reports.where("tool = 'semgrep'").withColumn("d", F.from_json("doc", S.SEMGREP)).select("report_path", "tool", F.posexplode("d.results").alias("i", "r"))
+    return _semgrep_rows(reports.where("tool = 'semgrep'").withColumn("d", F.from_json("doc", S.SEMGREP)).select("report_path", "tool", F.posexplode("d.results").alias("i", "r")))
+
+
+def _semgrep_rows(r: DataFrame) -> DataFrame:
+    """Of (report_path, tool, i, r): results and their places."""
     x, m = F.col("r.extra"), F.col("r.extra.metadata")
     classes = X.sorted_unique(_texts(m["vulnerability_class"]))
     return _rows(r, {
@@ -118,12 +134,16 @@ def zap_alerts(reports: DataFrame) -> DataFrame:
 def flatten_zap(reports: DataFrame) -> DataFrame:
     """One row per instance; plugin and URI are required; other information falls back to the alert's."""
     alerts = zap_alerts(reports).withColumns({"description": plain_text(F.col("alert.desc")), "solution": plain_text(F.col("alert.solution"))})
-    r = alerts.select("*", F.posexplode("alert.instances").alias("i", "n"))
+    return _zap_rows(alerts.select("*", F.posexplode("alert.instances").alias("i", "n")))
+
+
+def _zap_rows(r: DataFrame) -> DataFrame:
+    """Of (report_path, tool, listed, s, a, alert, description, solution, i, n): instances with their alerts, and places."""
     a, n = F.col("alert"), F.col("n")
     site = F.when(F.col("listed"), F.concat(F.lit("/site/"), "s")).otherwise(F.lit("/site"))
     plugin = X.text_or_null(a["pluginid"])
     return _rows(r, {
-        "pointer": F.concat(site, F.lit("/alerts/"), "a", F.lit("/instances/"), "i"), "position": (F.col("s") * 10**6 + F.col("a")) * 10**6 + F.col("i"), "rule_id": plugin,
+        "pointer": F.concat(site, F.lit("/alerts/"), "a", F.lit("/instances/"), "i"), "position": (F.col("s").cast("bigint") * 10**6 + F.col("a")) * 10**6 + F.col("i"), "rule_id": plugin,
         "rule_reference": X.text_or_null(a["alertRef"]), "rule_name": F.coalesce(X.text_or_null(a["name"]), X.text_or_null(a["alert"])), "fit": plugin.isNotNull() & X.text_or_null(n["uri"]).isNotNull(),
         "native_severity": a["riskcode"], "native_confidence": a["confidence"], "title": X.text_or_null(a["name"]), "description": F.col("description"), "solution": F.col("solution"),
         "cwe_raw": F.array(a["cweid"]), "wasc_raw": F.array(a["wascid"]), "reference_text": F.array(a["reference"]), "kind": F.lit("http"), "uri": X.text_or_null(n["uri"]),
@@ -139,12 +159,16 @@ def sarif_runs(reports: DataFrame) -> DataFrame:
 
 def flatten_sarif(reports: DataFrame) -> DataFrame:
     """One row per result of each run; the first location counts. N4 and N5 add rules and artifacts."""
-    r = sarif_runs(reports).select("report_path", "tool", "run", F.posexplode("r.results").alias("i", "x"))
+    return _sarif_rows(sarif_runs(reports).select("report_path", "tool", "run", F.posexplode("r.results").alias("i", "x")))
+
+
+def _sarif_rows(r: DataFrame) -> DataFrame:
+    """Of (report_path, tool, run, i, x): results and their places."""
     at = F.try_element_at(F.col("x.locations"), F.lit(1))["physicalLocation"]
     region = at["region"]
     prints = F.coalesce(F.col("x.partialFingerprints"), F.create_map().cast("map<string,string>"))
     return _rows(r, {
-        "pointer": F.concat(F.lit("/runs/"), "run", F.lit("/results/"), "i"), "position": F.col("run") * 10**6 + F.col("i"), "run": F.col("run"), "rule_id": X.text_or_null(F.col("x.ruleId")),
+        "pointer": F.concat(F.lit("/runs/"), "run", F.lit("/results/"), "i"), "position": F.col("run").cast("bigint") * 10**6 + F.col("i"), "run": F.col("run"), "rule_id": X.text_or_null(F.col("x.ruleId")),
         "rule_index": F.col("x.ruleIndex"), "fit": X.text_or_null(F.col("x.ruleId")).isNotNull() & (F.coalesce(region["startLine"], F.lit(0)) >= 1), "description": F.col("x.message.text"),
         "kind": F.lit("code"), "path_raw": X.text_or_null(at["artifactLocation"]["uri"]), "artifact_index": at["artifactLocation"]["index"], "start_line": region["startLine"],
         "start_column": region["startColumn"], "end_line": F.coalesce(region["endLine"], region["startLine"]), "end_column": region["endColumn"],
@@ -158,11 +182,14 @@ def attach_rule_descriptor(results: DataFrame, rules: DataFrame) -> DataFrame:
     """Results (report_path, run, rule_index, rule_id) with columns rule of rules (report_path, run, index, id, rule).
 
     The rule at the index counts if it has the result's id; else the last one with that id; rule is null without any.
+    rule_place is the index of the rule that counts.
     """
     by_place = rules.select("report_path", "run", F.col("index").alias("rule_index"), F.col("id").alias("at_id"), F.col("rule").alias("at_rule"))
-    by_id = rules.groupBy("report_path", "run", F.col("id").alias("rule_id")).agg(F.max_by("rule", "index").alias("id_rule"))
+    by_id = rules.groupBy("report_path", "run", F.col("id").alias("rule_id")).agg(F.max_by("rule", "index").alias("id_rule"), F.max("index").alias("id_place"))
     out = results.join(by_place, ["report_path", "run", "rule_index"], "left").join(by_id, ["report_path", "run", "rule_id"], "left")
-    return out.withColumn("rule", F.when(F.col("at_id") == F.col("rule_id"), F.col("at_rule")).otherwise(F.col("id_rule"))).drop("at_id", "at_rule", "id_rule")
+    here = F.col("at_id") == F.col("rule_id")
+    own = {"rule": F.when(here, F.col("at_rule")).otherwise(F.col("id_rule")), "rule_place": F.when(here, F.col("rule_index")).otherwise(F.col("id_place"))}
+    return out.withColumns(own).drop("at_id", "at_rule", "id_rule", "id_place")
 
 
 def resolve_artifact_uri(results: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -175,12 +202,17 @@ def sarif_results(reports: DataFrame) -> DataFrame:
     runs = sarif_runs(reports)
     rules = runs.select("report_path", "run", F.posexplode("r.tool.driver.rules").alias("index", "rule")).withColumn("id", F.col("rule.id"))
     artifacts = runs.select("report_path", "run", F.posexplode("r.artifacts").alias("artifact_index", "a")).select("report_path", "run", "artifact_index", F.col("a.location.uri").alias("artifact_uri"))
-    rows = resolve_artifact_uri(attach_rule_descriptor(flatten_sarif(reports), rules), artifacts)
+    return _looked_up(flatten_sarif(reports), rules, artifacts)
+
+
+def _looked_up(results: DataFrame, rules: DataFrame, artifacts: DataFrame) -> DataFrame:
+    rows = resolve_artifact_uri(attach_rule_descriptor(results, rules), artifacts)
     p = F.col("rule.properties")
     filled = {
         "rule_name": p["name"], "title": X.text_or_null(F.col("rule.shortDescription.text")), "native_severity": p["security-severity"], "native_confidence": p["precision"],
         "cwe_raw": F.filter(p["tags"], lambda t: t.rlike("(?i)cwe")), "categories": p["tags"], "description": F.coalesce(X.text_or_null(F.col("description")), X.text_or_null(F.col("rule.fullDescription.text"))),
         "fit": F.col("fit") & X.code_path(F.col("path_raw")).isNotNull(),
+        "rule_pointer": F.when(F.col("rule_place").isNotNull(), F.concat(F.lit("/runs/"), "run", F.lit("/tool/driver/rules/"), "rule_place")),
     }
     return rows.withColumns(filled).withColumn("missing_rule", F.col("rule").isNull()).select("report_path", "tool", *RAW, "missing_rule")
 
@@ -302,15 +334,60 @@ def finding_checks() -> dict[str, Column]:
     }
 
 
-def pointer_keys(reports: DataFrame) -> DataFrame:
-    """(report_path, pointer) of every result that is in the raw reports."""
-    one = lambda df: df.select("report_path", "pointer")
-    return one(flatten_semgrep(reports)).unionAll(one(flatten_zap(reports))).unionAll(one(flatten_sarif(reports)))
+def document_parts(reports: DataFrame) -> DataFrame:
+    """(report_path, tool, kind, pointer, text) of reports held as whole texts (doc), cut as sources.json_parts cuts files.
+
+    A document whose containers are not closed has no parts.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, tool, doc in zip(batch["report_path"], batch["tool"], batch["doc"], strict=True):
+                if not isinstance(doc, str) or tool not in PARTS:
+                    continue
+                cutter = Cutter({p: kind for kind, paths in PARTS[tool].items() for p in paths}, path, 0, False, [])
+                rows = cutter.add(doc.encode()) + cutter.rest(False)
+                if not cutter.level and not cutter.inside:
+                    yield pd.DataFrame([(path, tool, kind, pointer, text) for _, _, kind, pointer, text, _ in rows], columns=["report_path", "tool", "kind", "pointer", "text"])
+
+    return reports.select("report_path", "tool", "doc").mapInPandas(run, "report_path string, tool string, kind string, pointer string, text string")
 
 
-def check_provenance(findings: DataFrame, reports: DataFrame) -> DataFrame:
-    """Findings (report_path, pointer) whose pointer does not resolve in their report."""
-    return findings.join(pointer_keys(reports), ["report_path", "pointer"], "left_anti")
+def resolved(document: Column, tokens: Column) -> Column:
+    """The value that JSON pointer tokens (escaped) lead to in a VARIANT, as a VARIANT; null where they lead nowhere. An index
+    has no leading zeros; a JSON null is a value."""
+    plain = F.transform(tokens, lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+    def step(at: Column, token: Column) -> Column:
+        index = F.when(token.rlike("^(?:0|[1-9][0-9]{0,8})$"), token.cast("int") + 1)
+        return F.coalesce(F.try_element_at(at.try_cast("array<variant>"), index), F.try_element_at(at.try_cast("map<string,variant>"), token))
+
+    return F.aggregate(plain, document, step)
+
+
+def check_provenance(findings: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of findings (report_path, pointer) whose pointer leads nowhere in the raw report.
+
+    parts are what the reports' own text holds (json_parts or document_parts). A pointer is followed to the longest part that
+    it goes through, which is a join of texts; the rest of it is resolved in that part's VARIANT. No document is held whole.
+    """
+    keys = findings.select("report_path", "pointer").where("pointer = '' OR startswith(pointer, '/')").distinct()
+    tokens = F.split("pointer", "/", -1)  # the first is empty
+    begins = F.explode(F.sequence(F.lit(1), F.size(tokens)))
+    ways = keys.withColumn("n", begins).withColumn("part", F.array_join(F.slice(tokens, F.lit(1), F.col("n")), "/"))
+    own = parts.select("report_path", F.col("pointer").alias("part"))
+    longest = checkpointed(ways.join(own, ["report_path", "part"], "left_semi").groupBy("report_path", "pointer").agg(F.max("n").alias("n")))
+    whole = longest.where(F.col("n") == F.size(tokens)).select("report_path", "pointer")
+    rest = longest.where(F.col("n") < F.size(tokens)).withColumn("part", F.array_join(F.slice(tokens, F.lit(1), F.col("n")), "/"))
+    texts = rest.join(parts.select("report_path", F.col("pointer").alias("part"), "text"), ["report_path", "part"])
+    found = resolved(F.try_parse_json("text"), F.slice(tokens, F.col("n") + 1, F.size(tokens) - F.col("n")))
+    inside = texts.where(found.isNotNull()).select("report_path", "pointer")
+    return findings.join(whole.unionAll(inside).distinct(), ["report_path", "pointer"], "left_anti")
+
+
+def source_pointers(findings: DataFrame) -> DataFrame:
+    """(report_path, pointer) of all raw sources of findings, rules included, once each."""
+    return findings.select(F.explode("raw_sources").alias("s")).select(F.col("s.report_path").alias("report_path"), F.col("s.json_pointer").alias("pointer")).distinct()
 
 
 def finding_id(report_path: Column, pointer: Column) -> Column:
@@ -330,6 +407,7 @@ def assemble_findings(rows: DataFrame, normalized_at: str = "1970-01-01T00:00:00
     excerpt = F.when(F.col("kind") == "http", F.when(F.col("parameter").isNotNull(), F.concat(excerpt, F.lit(" (param: "), "parameter", F.lit(")"))).otherwise(excerpt))
     refs = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("reference_text", F.array().cast("array<string>")), lambda t: X.urls(F.coalesce(t, F.lit("")))))))
     c, st = F.col, F.struct
+    kinds = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
     out = r.select(
         F.lit("1.0").alias("schema_version"), finding_id(c("report_path"), c("pointer")).alias("finding_id"), "fingerprint", "group_key",
         st(tool.alias("name"), c("meta.cli_version").alias("version"), F.when(c("kind") == "http", "DAST").otherwise("SAST").alias("scan_type")).alias("tool"),
@@ -344,7 +422,7 @@ def assemble_findings(rows: DataFrame, normalized_at: str = "1970-01-01T00:00:00
            c("note").alias("context_note"), c("attack").alias("attack_payload"), "quality", F.when(c("quality") != "none", F.concat_ws(":", "report_path", "pointer")).alias("provenance"),
            F.lit(False).alias("redacted"), F.lit(False).alias("truncated")).alias("evidence"),
         c("flow").alias("data_flow"), st(F.lit(VERSION).alias("normalizer_version"), F.lit(normalized_at).alias("normalized_at")).alias("normalization"),
-        F.array(st(tool.alias("format"), "report_path", c("pointer").alias("json_pointer"))).alias("raw_sources"),
+        F.array_compact(F.array(st(kinds[tool].alias("format"), "report_path", c("pointer").alias("json_pointer")), F.when(c("rule_pointer").isNotNull(), st(F.lit(RULE_FORMAT).alias("format"), "report_path", c("rule_pointer").alias("json_pointer"))))).alias("raw_sources"),
     )
     return out
 
@@ -360,20 +438,60 @@ def normalize_all(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     origin are counted and dropped. A report without a document or sidecar is skipped.
     """
     ready = reports.where("doc is not null and meta is not null")
-    parts = [flatten(ready).select("report_path", "tool", *RAW) for flatten in TOOLS.values()]
+    rows = reduce(DataFrame.unionByName, [flatten(ready).select("report_path", "tool", *RAW) for flatten in TOOLS.values()])
+    return _normalized(rows, reports.select("report_path", "tool", F.col("doc").isNotNull().alias("read"), "meta"))
+
+
+def _place(name: str) -> Column:
+    return F.regexp_extract("pointer", f"/{name}/([0-9]+)", 1).try_cast("int")
+
+
+def flatten_parts(parts: DataFrame) -> DataFrame:
+    """N1 to N5 for parts (report_path, tool, kind, pointer, text): the same rows as of whole documents, however large those are."""
+    of = lambda tool, kind: parts.where((F.col("tool") == tool) & (F.col("kind") == kind))
+    read = lambda tool, kind, schema, name: of(tool, kind).select("report_path", "tool", "pointer", F.from_json("text", schema).alias(name))
+    semgrep = _semgrep_rows(read("semgrep", "result", S.SEMGREP_RESULT, "r").select("report_path", "tool", _place("results").alias("i"), "r"))
+    # an alert's texts are cleaned once, then joined to its instances
+    alerts = read("zap", "alert", S.ZAP_ALERT, "alert").withColumns({"description": plain_text(F.col("alert.desc")), "solution": plain_text(F.col("alert.solution"))})
+    alerts = checkpointed(alerts.withColumnRenamed("pointer", "alert_pointer").drop("tool"))
+    n = read("zap", "instance", S.ZAP_INSTANCE, "n").withColumn("alert_pointer", F.regexp_replace("pointer", "/instances/[0-9]+$", ""))
+    n = n.withColumns({"listed": F.col("pointer").rlike("^/site/[0-9]"), "s": F.coalesce(_place("site"), F.lit(0)), "a": _place("alerts"), "i": _place("instances")})
+    zap = _zap_rows(n.join(small(alerts, alerts.count(), BROADCAST_ALERTS), ["report_path", "alert_pointer"]))
+    known = of("codeql", "").where(F.from_json("text", "version string")["version"] == "2.1.0").select("report_path")
+    run = lambda kind, schema, name: read("codeql", kind, schema, name).join(known, "report_path", "left_semi").withColumn("run", _place("runs"))
+    results = _sarif_rows(run("result", S.SARIF_RESULT, "x").withColumn("i", _place("results")))
+    rules = run("rule", S.SARIF_RULE, "rule").withColumn("index", _place("rules")).select("report_path", "run", "index", "rule", F.col("rule.id").alias("id"))
+    artifacts = run("artifact", S.SARIF_ARTIFACT, "a").select("report_path", "run", _place("artifacts").alias("artifact_index"), F.col("a.location.uri").alias("artifact_uri"))
+    sarif = _looked_up(results, rules, artifacts)
+    return reduce(DataFrame.unionByName, [x.select("report_path", "tool", *RAW) for x in (semgrep, sarif, zap)])
+
+
+def normalize_parts(parts: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """normalize_all() for reports of any size: parts as in flatten_parts, reports (report_path, tool, fit, meta).
+
+    A report whose containers are not closed, or with a part that is not JSON, counts as not read: it is skipped.
+    """
+    bad = parts.where(F.try_parse_json("text").isNull() | ((F.col("kind") == "") & ~F.ltrim("text").startswith("{"))).select("report_path").distinct().withColumn("bad", F.lit(True))
+    known = checkpointed(reports.join(bad, "report_path", "left").select("report_path", "tool", (F.col("fit") & F.col("bad").isNull()).alias("read"), "meta"))
+    ready = parts.join(small(known, known.count()).where("read and meta is not null").select("report_path"), "report_path", "left_semi")
+    return _normalized(flatten_parts(ready), known)
+
+
+def _normalized(rows: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is the same for reports of any size; reports (report_path, tool, read, meta)."""
     # a target's origin is read once a report, an instance's once a row
-    targets = checkpointed(ready.select("report_path", "meta", X.http_origin(F.col("meta.target.base_url")).alias("origin")))
-    rows = reduce(DataFrame.unionByName, parts).join(targets, "report_path")
+    targets = checkpointed(reports.where("read and meta is not null").select("report_path", "meta", X.http_origin(F.col("meta.target.base_url")).alias("origin")))
+    rows = rows.join(small(targets, targets.count()), "report_path")
     rows = rows.withColumn("fit", F.col("fit") & ((F.col("tool") != "zap") | F.col("origin").isNotNull()))
     rows = rows.withColumn("in_scope", (F.col("tool") != "zap") | F.coalesce(X.http_origin(F.col("uri")) == F.col("origin"), F.lit(False))).drop("origin")
-    # documents are parsed once; a report is one row until then, so its results are dealt out before the rest is done
+    # documents are parsed once; a report may be one row until then, so its results are dealt out before the rest is done
     width = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = checkpointed(rows.repartition(width, "report_path", "pointer"))
     failed = rows.where("not fit").select("report_path").distinct()
     kept = rows.join(failed, "report_path", "left_anti")
     findings = assemble_findings(kept.where("in_scope"))
     counts = rows.groupBy("report_path").agg(F.count("*").alias("raw_count"), F.count_if("in_scope").alias("in_scope_count"), F.count_if(F.expr("not fit")).alias("unfit_count"))
-    status = F.when(F.col("doc").isNull() | F.col("meta").isNull(), "skipped").when(F.col("unfit_count") > 0, "failed").when(F.col("raw_count") > F.col("in_scope_count"), "partial").otherwise("success")
+    status = F.when(~F.col("read") | F.col("meta").isNull(), "skipped").when(F.col("unfit_count") > 0, "failed").when(F.col("raw_count") > F.col("in_scope_count"), "partial").otherwise("success")
     summary = reports.join(counts, "report_path", "left").select("report_path", "tool", status.alias("status"), F.coalesce("raw_count", F.lit(0)).alias("raw_count"), F.when(status.isin("failed", "skipped"), 0).otherwise(F.coalesce("in_scope_count", F.lit(0))).alias("written_count"))
     return findings, summary
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def n22_n24_valid_and_proven(spark, d):
     good, bad = N.validate(spoilt, N.finding_checks())
     source = F.col("raw_sources")[0]
     pointer = F.when(at(3), F.concat(source["json_pointer"], F.lit("0/x"))).otherwise(source["json_pointer"])
-    lost = N.check_provenance(findings.select(source["report_path"].alias("report_path"), pointer.alias("pointer")), reports)
+    lost = N.check_provenance(findings.select(source["report_path"].alias("report_path"), pointer.alias("pointer")), checkpointed(N.document_parts(reports)))
     each = findings.select(F.lit("findings").alias("k")).unionAll(good.select(F.lit("valid"))).unionAll(bad.select("error")).unionAll(lost.select(F.lit("unresolved")))
     n = lambda k: F.count_if(F.col("k") == k).alias(k)
     return each.agg(*map(n, ("findings", "valid", "severity", "fingerprint", "location", "unresolved")))
@@ -500,6 +501,52 @@ def s1_scan_reports(spark, d):
     return found.groupBy("report_path", "tool").agg(F.count("*").alias("reports"), F.count("doc").alias("documents"), F.count("meta").alias("sidecars"))
 
 
+@query("""WITH z AS (SELECT 'zap' AS tool, CAST(l_orderkey // 500 AS STRING) AS run, l_suppkey % 5 <> 0 AS kept, false AS rule FROM lineitem UNION ALL SELECT 'semgrep', CAST(o_orderkey // 1000 AS STRING), true, false FROM orders UNION ALL SELECT 'codeql', CAST(o_orderkey // 1000 AS STRING), true, o_orderkey % 6 < 5 FROM orders)
+  SELECT tool, run, CASE WHEN count(*) > count(*) FILTER (kept) THEN 'partial' ELSE 'success' END AS status, count(*) AS raw_count, count(*) FILTER (kept) AS written_count, count(*) FILTER (kept) + count(*) FILTER (rule) AS sources, 0::BIGINT AS unresolved FROM z GROUP BY tool, run""")
+def s1_n24_n25_reports_in_parts(spark, d):
+    """Reports as files, read in byte ranges, cut into their results there, normalised; every raw source of a finding is then
+    looked up in the files' own text."""
+    at = f"{checkpoint_folder(spark)}/parts-{uuid.uuid4().hex}"
+    made = {"zap": zap_reports, "semgrep": semgrep_reports, "codeql": sarif_reports}
+    all_parts, all_reports = [], []
+    for tool, make in made.items():
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        make(spark, d).select(F.regexp_extract("report_path", "([0-9]+)$", 1).alias("run"), "doc").repartition(width, "run").write.partitionBy("run").text(f"{at}/{tool}")
+        parts, reports = S.read_report_parts(spark, f"{at}/{tool}", tool, N.PARTS[tool], "*.txt")
+        all_parts.append(parts)
+        all_reports.append(reports)
+    parts, reports = checkpointed(reduce(DataFrame.unionAll, all_parts)), reduce(DataFrame.unionAll, all_reports)
+    meta = F.from_json(F.lit('{"run_id": "r", "scanned_at": "2026-08-05T00:00:00Z", "target": {"name": "shop", "base_url": "http://t:3000"}}'), N.S.SCAN_META)
+    findings, summary = N.normalize_parts(parts, reports.withColumn("meta", meta))
+    findings = checkpointed(findings)
+    sources = findings.select(F.explode("raw_sources.report_path").alias("report_path")).groupBy("report_path").agg(F.count("*").alias("sources"))
+    lost = N.check_provenance(N.source_pointers(findings), parts).groupBy("report_path").agg(F.count("*").alias("lost"))
+    every = summary.join(sources, "report_path", "left").join(lost, "report_path", "left")
+    return every.select("tool", F.regexp_extract("report_path", "run=([0-9]+)", 1).alias("run"), "status", "raw_count", "written_count", "sources", F.coalesce("lost", F.lit(0)).cast("long").alias("unresolved"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, count(*) OVER (PARTITION BY o_orderkey // 4000) AS n FROM orders)
+  SELECT k % 7 AS kind, count(*) AS pointers, count(*) FILTER (CASE k % 7 WHEN 0 THEN k % 2000 < n WHEN 1 THEN k % 2000 < n AND k % 4 < 2 WHEN 4 THEN k % 2000 < n WHEN 6 THEN true ELSE false END) AS resolved FROM o GROUP BY 1""")
+def n24_json_pointers(spark, d):
+    """Pointers of many kinds into reports: indexes out of range or with leading zeros, escaped and empty keys, values that
+    are null, ways through texts, pointers to what is no element."""
+    k = F.col("o_orderkey")
+    o = load(spark, d, "orders").select("o_orderkey", F.floor(k / 4000).alias("rep"))
+    one = '{"check_id": "r", "extra": {"a/b": {"m~n": ["}", {"x": 1}]}, "": null}}'
+    docs = o.groupBy("rep").agg(F.concat(F.lit('{"version": "1", "results": ['), F.array_join(F.array_repeat(F.lit(one), F.count("*").cast("int")), ", "), F.lit("]}")).alias("doc"))
+    parts = checkpointed(N.document_parts(at_rest(docs.select(F.concat(F.lit("s/"), "rep").alias("report_path"), F.lit("semgrep").alias("tool"), "doc"))))
+    i = (k % 2000).cast("string")
+    way = lambda *x: F.concat(F.lit("/results/"), *x)
+    pointer = (
+        F.when(k % 7 == 0, way(i)).when(k % 7 == 1, way(i, F.lit("/extra/a~1b/m~0n/"), k % 4)).when(k % 7 == 2, way(i, F.lit("/extra/a/b"))).when(k % 7 == 3, way(F.lit("0"), i))
+        .when(k % 7 == 4, way(i, F.lit("/extra/"))).when(k % 7 == 5, way(i, F.lit("/check_id/x"))).otherwise("/version")
+    )
+    asked = o.select(F.concat(F.lit("s/"), "rep").alias("report_path"), pointer.alias("pointer"), (k % 7).alias("kind"))
+    lost = N.check_provenance(asked, parts)
+    each = asked.select("kind", F.lit(1).alias("x")).unionAll(lost.select("kind", F.lit(0)))
+    return each.groupBy("kind").agg(F.count_if(F.col("x") == 1).alias("pointers"), (F.count_if(F.col("x") == 1) - F.count_if(F.col("x") == 0)).alias("resolved"))
+
+
 @query("""SELECT 'good' AS what, 'zap' AS tool, count(*) AS n FROM lineitem WHERE l_suppkey % 5 <> 0 UNION ALL SELECT 'good', 'semgrep', count(*) FROM orders UNION ALL SELECT 'parquet', 'semgrep', count(*) FROM orders
   UNION ALL SELECT 'bad', '', count(*) + count(*) FILTER (o_orderkey % 4 = 0) + count(*) FILTER (o_orderkey % 8 = 0) FROM orders WHERE o_orderkey % 2 = 0""")
 def s2_s6_findings_round_trip(spark, d):

@@ -131,3 +131,51 @@ def test_csv_and_canonical_set(spark, tmp_path):
     docs.limit(3).select("k", "t").write.mode("overwrite").json(str(tmp_path / "c1" / "documents"))
     with pytest.raises(ValueError):
         files.read_canonical(spark, str(tmp_path / "c1"), "k long, t string", "k")
+
+
+def _reports(spark):
+    """Reports of all three tools, with a site and with sites, an alert without instances, results that are no objects."""
+    result = {"check_id": "r1", "path": "src/a.ts", "start": {"line": 3}, "extra": {"severity": "ERROR", "metadata": {"cwe": ["CWE-79"]}}}
+    semgrep = {"version": "1", "results": [result, result | {"path": "src/}b{.ts", "extra": {"message": 'say "}" \\'}}, None], "errors": []}
+    alert = {"pluginid": "7", "name": "A & B", "desc": "<p>x &amp; y</p>", "instances": [{"uri": "http://t/1", "method": "get"}, {"uri": "http://t/2", "evidence": "[}]"}]}
+    zap = [{"site": [{"alerts": [alert, {"pluginid": "8"}]}, {"alerts": []}, {"alerts": [alert]}]}, {"site": {"alerts": [alert | {"pluginid": "9"}]}}]
+    at = lambda line: [{"physicalLocation": {"artifactLocation": {"index": 0}, "region": {"startLine": line}}}]
+    rules = [{"id": "q", "shortDescription": {"text": "Q"}}, {"id": "p"}, {"id": "p", "shortDescription": {"text": "P"}}]
+    run = {"tool": {"driver": {"rules": rules}}, "artifacts": [{"location": {"uri": "lib/a.ts"}}], "results": [{"ruleId": "q", "ruleIndex": 0, "locations": at(2)}, {"ruleId": "p", "ruleIndex": 0, "locations": at(5)}, {"ruleId": "z", "locations": at(7)}]}
+    docs = [("semgrep", "s", semgrep), ("zap", "z0", zap[0]), ("zap", "z1", zap[1]), ("codeql", "c", {"version": "2.1.0", "runs": [run, run]}), ("codeql", "old", {"version": "2.0.0", "runs": [run]})]
+    return spark.createDataFrame([(p, t, json.dumps(d)) for t, p, d in docs], "report_path string, tool string, doc string")
+
+
+def test_parts_give_the_rows_of_whole_documents(spark):
+    reports = _reports(spark)
+    text = lambda df: sorted(str(r) for r in df.select("report_path", "tool", *N.RAW).collect())
+    whole = [x for flatten in N.TOOLS.values() for x in text(flatten(reports))]
+    parts = text(N.flatten_parts(N.document_parts(reports)))
+    assert parts == sorted(whole) and len(parts) == 3 + 4 + 2 + 6
+
+
+def test_reports_in_parts_are_normalised_as_whole_ones(spark):
+    meta = F.from_json(F.lit('{"run_id": "r", "scanned_at": "2026-01-01T00:00:00Z", "target": {"name": "shop", "base_url": "http://t"}}'), N.S.SCAN_META)
+    reports = _reports(spark).withColumn("meta", meta)
+    more = spark.createDataFrame([("broken", "zap", '{"site": ['), ("odd", "semgrep", '{"results": [{"a" 1}]}')], "report_path string, tool string, doc string").withColumn("meta", meta)
+    cut = N.document_parts(reports.unionByName(more))
+    known = reports.unionByName(more).select("report_path", "tool", (F.col("report_path") != "broken").alias("fit"), "meta")
+    a, b = N.normalize_all(reports), N.normalize_parts(cut, known)
+    assert sorted(map(str, a[0].collect())) == sorted(map(str, b[0].collect()))
+    status = {r.report_path: r.status for r in b[1].collect()}
+    assert {r.report_path: r.status for r in a[1].collect()} | {"broken": "skipped", "odd": "skipped"} == status
+    assert status["s"] == "failed" and status["z0"] == "success"
+    sources = N.source_pointers(b[0])
+    assert N.check_provenance(sources, cut).count() == 0
+    rules = sorted(r.pointer for r in sources.where("report_path = 'c' AND pointer LIKE '%rules%'").collect())
+    assert rules == [f"/runs/{k}/tool/driver/rules/{i}" for k in (0, 1) for i in (0, 2)]
+
+
+def test_pointers_are_resolved_in_the_raw_text(spark):
+    doc = {"version": "1", "results": [{"a/b": {"m~n": [1, None]}, "": {"x": 0}, "it's \"q\"": 1, "n": 5}, "text", None], "paths": {"0": ["p"], "scanned": []}}
+    parts = N.document_parts(spark.createDataFrame([("r", "semgrep", json.dumps(doc))], "report_path string, tool string, doc string"))
+    good = ["", "/version", "/results", "/results/0", "/results/2", "/results/0/a~1b/m~0n/1", "/results/0//x", "/results/0/it's \"q\"", "/paths/0/0", "/paths/scanned"]
+    bad = [None, "results", "/", "/results/3", "/results/00", "/results/-", "/results/0/a/b", "/results/0/a~1b/m~0n/2", "/results/0/a~1b/m~0n/01", "/results/0/n/0", "/results/1/0", "/results/2/x", "/paths/scanned/0", "/results/1e0", "/other"]
+    asked = spark.createDataFrame([("r", p) for p in good + bad] + [("absent", "/results/0")], "report_path string, pointer string")
+    lost = {(r.report_path, r.pointer) for r in N.check_provenance(asked, parts).collect()}
+    assert lost == {("r", p) for p in bad} | {("absent", "/results/0")}
