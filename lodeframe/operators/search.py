@@ -142,6 +142,11 @@ def search_keyword(queries: DataFrame, docs: DataFrame, top_k: int = 10, doc_typ
     """
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be from 1 to 50")
+    return _keyword(queries, docs, top_k, doc_type, index)
+
+
+def _keyword(queries: DataFrame, docs: DataFrame, top_k: int, doc_type: str | None, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """The same for any top_k: candidates of a hybrid search may be more than a user may ask for."""
     postings, lengths = index or build_index(docs)
     scored = bm25(parse_query(queries, "normalized"), postings, lengths)
     names = docs.select("doc_id", "doc_type", "title", "aliases", "identifiers")
@@ -232,7 +237,7 @@ def rrf(sparse: DataFrame, dense: DataFrame, k: int = 60, w_sparse: float = 1.0,
 def diversify(scores: np.ndarray, vectors: list[np.ndarray | None], query: np.ndarray | None, top_k: int, lam: float) -> list[int]:
     """Greedy maximal marginal relevance; the first wins ties; documents without a vector are like none."""
     low, span = scores.min(), scores.max() - scores.min()
-    rel = (scores - low) / span if span > 0 else np.ones(len(scores))
+    rel = (scores - low) / (span if span > 0 else 1.0)
     unit = [v / n if v is not None and (n := np.linalg.norm(v)) > 0 else None for v in vectors]
     q = query / n if query is not None and (n := np.linalg.norm(query)) > 0 else None
     cos = np.array([float(v @ q) if v is not None and q is not None else np.nan for v in unit])
@@ -266,11 +271,23 @@ def mmr(candidates: DataFrame, queries: DataFrame, top_k: int = 10, lam: float =
 
 
 def search_hybrid(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_k: int = 10, doc_type: str | None = None, lam: float = 0.7, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """R5 and R7 with max(20, 4 k) candidates, fused (R8), cut, diversified (R9), with titles. Empty sides count as empty."""
-    n = min(50, max(20, 4 * top_k))
-    fused = rrf(search_keyword(queries, docs, n, doc_type, index), search_dense(queries, chunks, n, doc_type)).where(F.col("rank") <= n)
-    vectors = chunks.groupBy(F.col("parent_doc_id").alias("doc_id")).agg(F.min_by("vector", "chunk_id").alias("vector"))
-    return mmr(fused.join(vectors, "doc_id", "left"), queries, top_k, lam).join(docs.select("doc_id", "title"), "doc_id", "left")
+    """(query_id, rank, doc_id, score, matched_section, snippet, and the document's columns).
+
+    max(20, 4 k) candidates of R5 and of R7 each are fused (R8), cut to as many and diversified (R9). Only what the dense side
+    found has a vector, that of its best chunk, whose section and content are shown; other documents show their summary.
+    Queries without a vector, or without words, have one side only. chunks may have section and content.
+    """
+    n = max(20, 4 * top_k)
+    dense = checkpointed(search_dense(queries.where(F.col("vector").isNotNull()), chunks, n, doc_type))
+    fused = checkpointed(rrf(_keyword(queries, docs, n, doc_type, index), dense).where(F.col("rank") <= n))
+    own = lambda c, name: (F.col(c) if c in chunks.columns else F.lit(None).cast("string")).alias(name)
+    hit = chunks.select("chunk_id", "vector", own("section", "matched_section"), own("content", "chunk_text"))
+    hits = checkpointed(hit.join(small(dense.select("query_id", "doc_id", "chunk_id"), dense.count()), "chunk_id").drop("chunk_id"))
+    chosen = mmr(fused.join(hits.select("query_id", "doc_id", "vector"), ["query_id", "doc_id"], "left"), queries, top_k, lam)
+    told = chosen.join(fused.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).join(hits.drop("vector"), ["query_id", "doc_id"], "left")
+    whole = told.join(docs, "doc_id")
+    snippet_of = F.when(F.coalesce("chunk_text", F.lit("")) != "", F.col("chunk_text")).otherwise(F.col("summary"))
+    return whole.withColumns({"snippet": snippet_of, "matched_section": F.coalesce("matched_section", F.lit(""))}).select("query_id", "rank", "doc_id", "score", "matched_section", "snippet", *[c for c in docs.columns if c != "doc_id"])
 
 
 def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -201,7 +201,23 @@ def r8_rrf(spark, d):
     return R.rrf(dense.withColumn("rank", 6 - F.col("rank")), dense).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+def _mmr_sql(k: int, lam: float) -> str:
+    """CTEs m1 to mk over c (query_id, rank, doc_id, v, rel, first): one more document a query in each."""
+    out = ["m1 AS MATERIALIZED (SELECT query_id, doc_id, v, 1 AS at FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first DESC, rank) = 1)"]
+    for i in range(2, k + 1):
+        last = f"m{i - 1}"
+        like = "coalesce(max(CASE WHEN c.v IS NOT NULL AND m.v IS NOT NULL THEN array_cosine_similarity(c.v, m.v) END), 0)"
+        out.append(f"""m{i} AS MATERIALIZED (SELECT * FROM {last} UNION ALL SELECT query_id, doc_id, v, {i} FROM (
+            SELECT c.query_id, c.doc_id, c.v, c.rank, {lam} * c.rel - {1 - lam:.2f} * {like} AS x FROM c JOIN {last} m USING (query_id)
+            WHERE NOT EXISTS (SELECT 1 FROM {last} z WHERE z.query_id = c.query_id AND z.doc_id = c.doc_id) GROUP BY c.query_id, c.doc_id, c.v, c.rank, c.rel
+            QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY x DESC, c.rank) = 1))""")
+    return ", ".join(out)
+
+
+@query(f"""{_DENSE.replace("n <= 25", "n <= 100")}, w AS (SELECT doc_id, arg_min(v, chunk_id) AS v FROM (SELECT DISTINCT chunk_id, doc_id, v FROM h JOIN e ON vec_id = chunk_id) GROUP BY doc_id),
+  j AS (SELECT r.*, w.v, array_cosine_similarity(qv, w.v) AS cs, (score - min(score) OVER o) / nullif(max(score) OVER o - min(score) OVER o, 0) AS norm FROM r JOIN w USING (doc_id) JOIN q USING (query_id) WHERE rank <= 20 WINDOW o AS (PARTITION BY query_id)),
+  c AS (SELECT *, cs AS rel, coalesce(norm, 0) + cs AS first FROM j), {_mmr_sql(5, 0.7)}
+  SELECT m5.query_id, m5.at AS rank, m5.doc_id FROM m5""")
 def r9_mmr(spark, d):
     q, chunks = vector_tables(spark, d)
     dense = R.search_dense(q, chunks, 20)
@@ -209,19 +225,35 @@ def r9_mmr(spark, d):
     return R.mmr(dense.join(vectors, "doc_id"), q, 5)
 
 
-@query()
-def r10_search_hybrid(spark, d):
-    """Each benchmark item as a query of words and of the vector of its text, over all documents and their chunks."""
-    c = corpus(spark, d)
-    chunks = K.embed(c.select(F.concat("doc_id", F.lit("#1")).alias("chunk_id"), F.col("doc_id").alias("parent_doc_id"), "doc_type", "content"), "content").drop("content")
-    q = queries_of(spark, d).withColumn("normalized", R.normalize_query(F.col("query")))
-    return R.search_hybrid(K.embed(q, "normalized"), c, chunks, 5)
-
-
 _R5 = f"""{_CORPUS}, {_QUERIES}, r5 AS (SELECT query_id, rank, doc_id FROM (SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, ow, score, doc_id) AS rank FROM (
   SELECT s.*, CASE WHEN query_id % 3 = 0 AND n % 60 = query_id % 60 THEN 0 ELSE 3 END AS tier, CASE WHEN query_id % 3 = 0 AND lang = 'en' THEN 0 ELSE 1 END AS ow FROM s JOIN c USING (doc_id))) WHERE rank <= 3)"""
 
 
+@query(_R5.replace("rank <= 3", "rank <= 20") + f""", e AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN e ON vec_id = item_id),
+ch AS (SELECT vec_id AS chunk_id, CAST(CASE WHEN vec_id % 3 = 0 THEN vec_id // 3 ELSE vec_id END AS STRING) AS doc_id, v FROM e),
+t AS (SELECT query_id, chunk_id, doc_id, v, qv, round(array_cosine_similarity(qv, v), 9) AS score FROM qv, ch QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 100),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) = 1),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 20),
+f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(o * 100 + rank) AS first FROM (SELECT query_id, doc_id, rank, 0 AS o FROM r5 UNION ALL SELECT query_id, doc_id, rank, 1 FROM dn) GROUP BY 1, 2),
+fr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS rank FROM f QUALIFY rank <= 20),
+j AS (SELECT fr.*, dn.v, array_cosine_similarity(dn.qv, dn.v) AS cs, dn.chunk_id, coalesce((fr.score - min(fr.score) OVER o) / nullif(max(fr.score) OVER o - min(fr.score) OVER o, 0), 0) AS norm FROM fr LEFT JOIN dn USING (query_id, doc_id) WINDOW o AS (PARTITION BY fr.query_id)),
+c2 AS (SELECT *, coalesce(cs, norm) AS rel, norm + coalesce(cs, 0) AS first FROM j), {_mmr_sql(5, 0.7).replace("FROM c ", "FROM c2 c ")}
+SELECT m.query_id, m.at AS rank, m.doc_id, round(c2.score, 9) AS score, CASE WHEN chunk_id IS NULL THEN '' ELSE 'part ' || CAST(chunk_id % 4 AS STRING) END AS matched_section,
+  CASE WHEN chunk_id IS NULL OR chunk_id % 5 = 0 THEN array_to_string(c.ws[4:11], ' ') ELSE 'vector ' || CAST(chunk_id AS STRING) END AS snippet FROM m5 m JOIN c2 USING (query_id, doc_id) JOIN c ON c.doc_id = m.doc_id""")
+def r10_search_hybrid(spark, d):
+    """Each benchmark item as a query of words and of the vector of its number, over all documents; vectors are chunks of
+    documents, some of which have two, some none. Some chunks have no text."""
+    v = F.col("vec_id")
+    e = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    chunks = e.select(
+        v.alias("chunk_id"), F.when(v % 3 == 0, F.floor(v / 3)).otherwise(v).cast("string").alias("parent_doc_id"), F.lit("document").alias("doc_type"), "vector",
+        F.concat(F.lit("part "), v % 4).alias("section"), F.when(v % 5 == 0, "").otherwise(F.concat(F.lit("vector "), "vec_id")).alias("content"),
+    )
+    q = queries_of(spark, d).withColumn("normalized", R.normalize_query(F.col("query"))).join(e.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    found = R.search_hybrid(q, corpus(spark, d), chunks, 5)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"), "matched_section", "snippet")
+
+
 @query(_R5 + r""", h AS (SELECT query_id, rank, doc_id, c.ws, CASE WHEN query_id % 3 = 0 THEN ['cwe', CAST(query_id % 60 AS STRING)] WHEN query_id % 3 = 1 THEN [w[3], 'or', w[5]] ELSE [w[2], 'alias' || CAST(query_id % 40 AS STRING)] END AS ts FROM r5 JOIN c USING (doc_id) JOIN q ON q.item_id = query_id),
 m AS (SELECT *, list_transform(ws, lambda x: CASE WHEN list_has_any(regexp_extract_all(lower(x), '[\p{L}\p{N}]+'), ts) THEN 1 ELSE 0 END) AS ms FROM h),
 g AS (SELECT *, coalesce(list_sort(list_transform(list_filter(range(1, len(ws) + 1), lambda i: ms[i] = 1), lambda i: [-list_sum(ms[i:i + 23]), i]))[1][2], 1)::BIGINT AS b FROM m)

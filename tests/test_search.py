@@ -89,3 +89,20 @@ def test_snippet_and_checks(spark):
     q = spark.createDataFrame([("x", 10, None, "keyword"), (" ", 10, None, "keyword"), ("x", 0, None, "keyword"), ("x", 51, None, "dense"), ("x", 5, "nope", "dense"), ("x", 5, "cwe", "odd")], "query string, top_k int, doc_type string, mode string")
     good, bad = R.validate_queries(q)
     assert good.count() == 1 and sorted(r.error for r in bad.collect()) == ["doc_type", "mode", "query", "top_k", "top_k"]
+
+
+def test_hybrid_shows_what_each_side_found(spark):
+    """Vectors are those of the best chunk, and only of what the dense side found; candidates are not cut at 50."""
+    d = spark.createDataFrame([(f"D{i:03d}", "document", f"title {i}", [], [], [], f"sum {i}", "needle " * (1 + i % 3)) for i in range(120)], "doc_id string, doc_type string, title string, aliases array<string>, identifiers array<string>, tags array<string>, summary string, content string")
+    chunks = spark.createDataFrame([(f"c{i}", f"D{i // 2:03d}", "document", f"s{i}", f"text {i}" if i % 4 else "", [float(i == 7), 1.0]) for i in range(8)], "chunk_id string, parent_doc_id string, doc_type string, section string, content string, vector array<double>")
+    q = spark.createDataFrame([(1, "needle", "needle", [1.0, 0.0]), (2, "needle", "needle", None), (3, "absent", "absent", [1.0, 0.0]), (4, "absent", "absent", None)], "query_id int, query string, normalized string, vector array<double>")
+    got = R.search_hybrid(q, d, chunks, 30).collect()
+    by = {k: {r.doc_id: r for r in got if r.query_id == k} for k in (1, 2, 3, 4)}
+    assert (len(by[1]), len(by[2]), len(by[3]), len(by[4])) == (30, 30, 4, 0)
+    assert by[3]["D003"].rank == 1 and by[3]["D003"].snippet == "text 7" and by[3]["D003"].matched_section == "s7"
+    assert all(r.snippet == f"sum {int(r.doc_id[1:])}" and r.matched_section == "" for r in by[2].values())
+    assert by[3]["D000"].snippet in ("sum 0", "text 1") and by[2][min(by[2])].title.startswith("title")
+    # 120 candidates of words: beyond the 50 that a user may ask for
+    assert len({r.doc_id for r in R.search_hybrid(q.where("query_id = 2"), d, chunks, 100).collect()}) == 100
+    with pytest.raises(ValueError):
+        R.search_keyword(q, d, 51)
