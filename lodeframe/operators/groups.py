@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lodeframe.functions import guard as G
 from lodeframe.functions import scalars as X
 from lodeframe.operators import correlate as C
 from lodeframe.operators import search as R
-from lodeframe.storage import numbered
+from lodeframe.storage import checkpointed, fresh, numbered
 
 #: Levels as they are looked for in free text, in this order.
 SEVERITY_LEVELS = ("critical", "high", "medium", "low", "info")
@@ -121,10 +122,10 @@ def severity_matrix(entries: DataFrame, members: DataFrame) -> DataFrame:
 
 def report_kpis(entries: DataFrame) -> DataFrame:
     """Entries, groups, confirmed, false positives, entries with masked parts, injections; one row."""
-    text = F.to_json(F.struct("*"))
-    return entries.select("*", text.alias("_t")).agg(
+    (text,) = fresh(entries, "text_of_row")
+    return entries.select("*", F.to_json(F.struct("*")).alias(text)).agg(
         F.count("*").alias("entries"), F.count_distinct("group_id").alias("groups"), F.count_if(F.expr("confidence = 'confirmed'")).alias("confirmed"), F.count_if(F.expr("confidence = 'false_positive'")).alias("false_positives"),
-        F.count_if(F.col("_t").contains("[REDACTED_")).alias("redacted"), F.count_if(G.injection_pattern(F.col("_t")).isNotNull()).alias("injections"),
+        F.count_if(F.col(text).contains("[REDACTED_")).alias("redacted"), F.count_if(G.injection_pattern(F.col(text)).isNotNull()).alias("injections"),
     )
 
 
@@ -140,7 +141,17 @@ def page_groups(entries: DataFrame, level: str | None, page: int, size: int) ->
 def flag_repeat_calls(calls: DataFrame, limit: int = 2) -> DataFrame:
     """A10: calls (group_id, step, tool, args) with blocked: the same call comes for more than the limit-th time.
 
-    Blocked calls add nothing to the history, which changes no rank of calls that are the same.
+    Blocked calls add nothing to the history, which changes no rank of calls that are the same. Only the first calls of each
+    kind are ranked, which Spark prunes before it moves them; all others are told by coming after the limit-th, so a call
+    that is repeated without end is never gathered in one task.
     """
-    w = Window.partitionBy("group_id", "tool", "args").orderBy("step")
-    return calls.withColumn("blocked", F.row_number().over(w) > limit)
+    row, last = fresh(calls, "row_of_call", "last_allowed")
+    keys = ["group_id", "tool", "args"]
+    rows = checkpointed(calls.withColumn(row, F.monotonically_increasing_id()))
+    named = [F.col(k).alias(f"{last}_{k}") for k in keys]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("step", row))
+    first = rows.select(*keys, "step", row).withColumn(last, rank).where(F.col(last) <= limit)
+    ends = first.groupBy(*keys).agg(F.max(F.struct("step", row)).alias(last)).select(*named, last)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"{last}_{k}")) for k in keys))
+    after = F.struct("step", row) > F.col(last) if limit > 0 else F.lit(True)
+    return rows.join(ends, same, "left").withColumn("blocked", F.coalesce(after, F.lit(True))).select(*[c for c in calls.columns if c != "blocked"], "blocked")

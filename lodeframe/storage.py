@@ -32,15 +32,27 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have; Spark's names are told without regard to case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def numbered(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
-    """rows with `at`, counted from 1 within each `by`, in an order that tells all rows apart.
+    """rows with `at` (instead of one that is there), counted from 1 within each `by`, in an order that tells all rows apart.
 
     Rows are sorted into ranges and counted there, then the sizes of a group's earlier ranges are added: a group of any
     size is spread over tasks. The sizes are one row for each range and group.
     """
-    parts = checkpointed(rows.repartitionByRange(*by, *order).withColumn("range_of_rows", F.spark_partition_id()))
-    sizes = parts.groupBy(*by, "range_of_rows").agg(F.count("*").alias("m"))
-    ahead = Window.partitionBy(*by).orderBy("range_of_rows").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*by, "range_of_rows", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "range_of_rows").orderBy(*order))
-    return parts.withColumn("inside", inside).join(before, [*by, "range_of_rows"]).withColumn("at", F.col("inside") + F.col("before")).drop("inside", "before", "range_of_rows")
+    place, inside, before = fresh(rows, "range_of_rows", "inside", "before")
+    parts = checkpointed(rows.repartitionByRange(*by, *order).withColumn(place, F.spark_partition_id()))
+    sizes = parts.groupBy(*by, place).agg(F.count("*").alias(inside))
+    ahead = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, place, F.coalesce(F.sum(inside).over(ahead), F.lit(0)).alias(before))
+    count = F.row_number().over(Window.partitionBy(*by, place).orderBy(*order))
+    return parts.withColumn(inside, count).join(offsets, [*by, place]).withColumn("at", F.col(inside) + F.col(before)).drop(inside, before, place)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lodeframe.storage import numbered
 from lodeframe import schemas as S
 from lodeframe.operators import evaluate as E
 from lodeframe.operators import groups as A
@@ -88,3 +89,21 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = table.where("endpoint <> 'end'").groupBy("endpoint", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("requests"))
     assert sorted(tuple(r) for r in rate.select("endpoint", "minute", "requests").collect()) == sorted(tuple(r) for r in batch.collect())
     assert drained(lambda s: J.stream_dedup(s), "dedup").where("endpoint <> 'end'").count() == 3
+
+
+def test_repeated_calls_of_a_hot_kind_and_clashing_names(spark):
+    rows = [("g", i, "probe", "{}", "x") for i in range(3000)] + [("g", 5, "probe", '{"a":1}', "x"), (None, 1, None, None, "x"), (None, 2, None, None, "x"), (None, 3, None, None, "x")]
+    df = spark.createDataFrame(rows, "group_id string, step int, tool string, args string, row_of_call string").repartition(5)
+    out = A.flag_repeat_calls(df)
+    assert out.columns == [*df.columns, "blocked"]
+    free = sorted((r.group_id or "", r.step, r.args or "") for r in out.where("not blocked").collect())
+    assert free == [("", 1, ""), ("", 2, ""), ("g", 0, "{}"), ("g", 1, "{}"), ("g", 5, '{"a":1}')] and out.count() == len(rows)
+    assert A.flag_repeat_calls(df, 0).where("not blocked").count() == 0
+    ties = spark.createDataFrame([("g", 1, "t", "{}")] * 5, "group_id string, step int, tool string, args string")
+    assert A.flag_repeat_calls(ties).where("not blocked").count() == 2
+
+
+def test_helper_columns_take_free_names(spark):
+    rows = spark.createDataFrame([(i, i % 2, "a", "b", "c") for i in range(50)], "k int, g int, inside string, Before string, range_of_rows string").repartition(4)
+    got = numbered(rows, ["g"], "k")
+    assert sorted(got.columns) == sorted([*rows.columns, "at"]) and all(r["at"] == r.k // 2 + 1 and (r.inside, r.Before, r.range_of_rows) == ("a", "b", "c") for r in got.collect())
