@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -39,11 +40,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     and go, cores can't be counted and every partition is a file.
     """
     checkpoint_folder(df.sparkSession)
+    return _fewer(df).checkpoint()
+
+
+def _fewer(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(FILES_A_CORE * sc.defaultParallelism, width // MERGED))
-    return df.checkpoint()
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(FILES_A_CORE * sc.defaultParallelism, width // MERGED))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a table in the shared folder, in as few files as a checkpoint.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product of its sides. In a
+    loop of joins that number gets millions of digits, which fill the driver's memory and take it seconds for each plan.
+    A table has the size of its files. It is to be removed() when nothing reads it any more.
+    """
+    _fewer(df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -126,10 +147,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of contraction: every node joins its smallest neighbour, edges are renamed to what their ends joined, loops go.
     Ends are compared by a hash of theirs, so chains shrink by a constant factor a round whatever their order. Each round
-    is a groupBy with map-side combining and joins; each is checkpointed. No row reaches the driver.
+    is a groupBy with map-side combining and joins; each is written to the shared folder, edges as a table of their own,
+    removed when the next is there. No row reaches the driver.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("by"), F.col(c).alias("node"))
-    edges = checkpointed(edges.where("u <> v").select("u", "v").distinct())
+    spark = edges.sparkSession
+    folder = f"{checkpoint_folder(spark)}/components-{uuid.uuid4().hex}"
+    edges = written(edges.where("u <> v").select("u", "v").distinct(), f"{folder}/0")
     maps: list[DataFrame] = []
     while edges.take(1):
         both = edges.union(edges.select("v", "u"))
@@ -138,9 +162,12 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(best)
         at_u = best.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         at_v = best.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        edges = checkpointed(edges.join(at_u, "u").join(at_v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        left = edges.join(at_u, "u").join(at_v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        edges = written(left, f"{folder}/{len(maps)}")
+        removed(spark, f"{folder}/{len(maps) - 1}")
+    removed(spark, folder)
     if not maps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return spark.createDataFrame([], edges.schema).toDF("node", "root")
 
     def then(first: DataFrame, second: DataFrame) -> DataFrame:
         """first, its roots followed through second."""

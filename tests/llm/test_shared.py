@@ -46,3 +46,21 @@ def test_no_folder_of_one_machine_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         _shared.checkpoint_folder(Session())
+
+
+def test_plans_of_components_dont_grow_with_rounds(spark):
+    """A chain takes many rounds; neither what they hand on nor the tables that they wrote are left behind."""
+    from pathlib import Path
+
+    from lodeframe.llm._shared import checkpoint_folder, checkpointed, components
+
+    ids = [(i * 7919) % 5003 for i in range(5003)]
+    roots, edges = None, spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    for _ in range(3):  # as rounds that find more and more pairs do
+        known = edges if roots is None else edges.unionAll(roots.toDF("u", "v"))
+        roots = checkpointed(components(known))
+        size = str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        assert len(size) < 600
+    assert roots.count() == 5003 and roots.select("root").distinct().count() == 1
+    assert components(edges.where("u < 0")).count() == 0
+    assert not list(Path(checkpoint_folder(spark).removeprefix("file:")).glob("components-*"))
