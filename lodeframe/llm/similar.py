@@ -1,18 +1,18 @@
-"""Near copies by the similarity of their five-word shingles: a byte fingerprint, its index, a count filter, verification.
+"""Near copies by the similarity of their five-word shingles: SimHash, its index of byte positions, verification, and an exact join.
+
+The method is that of op9 (simhash.py) on five-word shingles: SimHash fingerprints of 64 bits, lists by byte positions, a
+tally of shared bytes, pairs of at most three differing bits. What it proposes is verified by the shingles themselves, so
+nothing below the similarity is linked. Most of a family of close copies then hangs together, however large it is.
 
 At a similarity of 0.8 some 15 % of a SimHash's bits differ, whatever its width; no set of bit positions is then both
-shared by nearly all such pairs and selective. So the fingerprint here has one byte for each of 192 minima of rehashed
-shingles: two texts agree in a byte with a chance of their similarity. The index has a list for each value of six minima
-(32 bands); a pair at 0.8 shares none with a chance of 6 in 100,000, at 0.85 of 1 in 2 million. What a list proposes is
-verified by the shingles themselves, so nothing below the similarity is linked.
-
-Lists of many copies would make a square of pairs. First every member is verified with one other, the least of a list, by
-the most lists in common, twice; what hangs together then needs no more pairs. A list may still be open for a template that
-its texts share and that alone doesn't make them similar. So the rest are paired by their rarest shingles: of two texts at
-0.8 each has one of the other's first fifth (and one more) in any order of all shingles, here from rare to frequent, so a
-template comes last and proposes nothing. Any order is right; frequencies, which only make it fast, are from some texts.
-Texts of different groups with such a shingle in common are verified if their bytes allow the similarity, the closest first.
-Nothing is capped.
+shared by nearly all such pairs and selective. So an exact join follows, which loses no pair: of two texts at 0.8 each has
+one of the other's first fifth (and one more) of shingles, in any order of all shingles. The order is from rare to frequent,
+so a template comes last and proposes nothing. Any order is right; frequencies, which only make it fast, are from some texts.
+
+Texts of different groups with such a shingle in common are compared by bitmaps: a bit for each hash value, which tells
+whether an odd number of the text's shingles has it. Bits that differ are no more than shingles that differ, so a pair with
+too many of them is surely below the similarity. The closest of those left are verified first, and what they link needs no
+more. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,25 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_ROWS, checkpointed, components, divided, small
-from .simhash import first_rows
+from .simhash import first_rows, links, majority
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 6
-#: Agreeing bytes below the expected share that a pair may have (five standard deviations at 0.8).
-SLACK = 0.15
-#: Rounds of one pair a member before all that are left; members of a list that one task compares with as many.
-ROUNDS, BLOCK = 2, 1024
-#: Partners of a member, from the closest, that are verified together; what they link needs no later ones.
-PARTNERS = ((0, 4), (4, 64), (64, 1 << 62))
-#: Frequent shingles that the driver holds at most (4 MB), and the part of the members, one in so many, that they are counted in.
-FREQUENT, COUNTED = 1 << 18, 8
+#: Differing bits of two SimHashes that are linked, as op9 has it.
+BITS = 3
+#: Members of a list that one task compares with as many.
+BLOCK = 1024
+#: Rounds before all pairs that are left, in which the closest partner of a member is verified, then the closest MORE, and so on.
+ROUNDS, MORE = 2, 8
+#: Rows of lists that go to Python together, about; places of pairs that are compared at a time.
+DEALT_ROWS, PLACES = 8192, 1 << 18
+#: Frequent shingles that the driver holds at most (4 MB), and the part of the texts, one in so many, that they are counted in.
+FREQUENT, COUNTED = 1 << 18, 32
+#: Bits of a text's bitmap, at least and at most; between them one or two for each shingle.
+NARROW, WIDE = 512, 1 << 16
 #: Rows that may be broadcast in each of the rounds, which come in close succession: fewer than elsewhere, since the driver
 #: builds each table that is sent; beyond it adaptive execution isn't to send them either.
 SENT = 20_000
-#: Shingles that are rehashed at a time.
-CHUNK = 1024
-_RNG = np.random.default_rng(42)
-_A, _B, _C = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -60,31 +59,65 @@ def name(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 42)).view(np.int64))
 
 
-def minima(grams: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), CHUNK):
-        low = np.minimum(low, (grams[at : at + CHUNK, None] * _A + _B).min(0))
-    return low
+def parities(grams: np.ndarray) -> bytes:
+    """A bit for each of a power of two of hash values: whether an odd number of the set has it."""
+    width = min(WIDE, max(NARROW, 1 << (len(grams) - 1).bit_length()))
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come most often in one of COUNTED texts, sorted, and how often."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"grams": [shingles(t if isinstance(t, str) else None, words).view(np.int64) for t in batch["text"]]})
+
+    texts = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
+    some = texts.mapInPandas(run, "grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    some = checkpointed(some.where("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
+    total, least = 0, None
+    # levels are few; those that fit together are held, a sort for the first so many would hold as many for each task
+    for level, rows in sorted(some.groupBy("level").count().collect(), reverse=True):
+        total += rows
+        if total > FREQUENT:
+            break
+        least = level
+    often = some.where(F.lit(False) if least is None else F.col("level") >= least).select("gram", "n").toArrow()
+    names, counts = often["gram"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(names)
+    return names[order], counts[order]
+
+
+def rarest(grams: np.ndarray, similarity: float, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which a similar text must have one among its own."""
+    first = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1
+    if not len(names):
+        return grams[:first]
+    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    return grams[np.argsort(np.where(names[at] == grams, counts[at], 0), kind="stable")[:first]]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, told, fp, bytes, keys) per row: a hash that tells texts of one id, the name of its set, a byte of each minimum,
-    a key of each band."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, told, fp, size, simhash, parity, rare) per row: a hash that tells texts of one id, the name of its set, its
+    shingles' number, SimHash and bitmap, and the rarest of them."""
+    names, counts = frequent(docs, text_col, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps, marks, keys = [], [], []
+            rows = []
             for t in batch["text"]:
                 grams = shingles(t if isinstance(t, str) else None, words)
-                low = minima(grams)
-                fps.append(name(grams))
-                marks.append(((low * _C) >> np.uint64(56)).astype(np.uint8).tobytes())
-                rows = low.reshape(BANDS, ROWS)
-                keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "told": batch["told"], "fp": fps, "bytes": marks, "keys": keys})
+                bits = int(np.uint64(majority(grams)).view(np.int64))
+                rows.append((name(grams), len(grams), bits, parities(grams), rarest(grams, similarity, names, counts).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["fp", "size", "simhash", "parity", "rare"])
+            out.insert(0, "told", batch["told"].array)
+            out.insert(0, "doc_id", batch["doc_id"].array)
+            yield out
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("told"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, told long, fp long, bytes binary, keys array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInPandas(run, f"doc_id {kind}, told long, fp long, size long, simhash long, parity binary, rare array<long>")
 
 
 def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -108,52 +141,30 @@ def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, words
     return checkpointed(found.dropDuplicates(["fp"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of at least that."""
-    few = F.broadcast(pairs) if pairs.count() <= SENT else pairs.hint("merge")
-    a = sets.join(few, F.col("fp") == F.col("u")).select("u", "v", F.col("grams").alias("a"))
-    b = sets.join(few, F.col("fp") == F.col("v")).select("u", "v", F.col("grams").alias("b"))
-    least, most = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    both = a.join(b, ["u", "v"]).where(least >= similarity * most)
-    return checkpointed(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+def _near(classes: DataFrame) -> DataFrame:
+    """(u, v): classes (fp, simhash) that the SimHash index links, and those of one SimHash with the least of them."""
+    least = checkpointed(classes.groupBy("simhash").agg(F.min("fp").alias("fp")))
+    same = classes.join(least.select("simhash", F.col("fp").alias("to")), "simhash").where("fp > to").select(F.col("to").alias("u"), F.col("fp").alias("v"))
+    linked = links(least.select(F.col("simhash").alias("fp")), BITS)
+    for end in ("u", "v"):
+        at = least.select(F.col("simhash").alias(end), F.col("fp").alias(f"{end}_fp"))
+        linked = linked.join(at, end)
+    return same.unionAll(linked.select(F.least("u_fp", "v_fp"), F.greatest("u_fp", "v_fp"))).distinct()
 
 
-def _rarest(texts: DataFrame, similarity: float) -> DataFrame:
-    """(gram, fp, root, size) of texts (fp, root, grams): the shingles of which a similar text must have one among its own."""
-    some = texts.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    some = checkpointed(some.where("n > 1").withColumn("level", F.floor(8 * F.log2("n"))))
-    total, least = 0, None
-    # levels are few; those that fit together are held, a sort for the first so many would hold as many for each task
-    for level, rows in sorted(some.groupBy("level").count().collect(), reverse=True):
-        total += rows
-        if total > FREQUENT:
-            break
-        least = level
-    often = some.where(F.lit(False) if least is None else F.col("level") >= least).select("gram", "n").toArrow().sort_by("gram")
-    names, counts = often["gram"].to_numpy(), often["n"].to_numpy()
+def _shared(prints: DataFrame) -> DataFrame:
+    """(gram, fp, size) of the rarest shingles that more than one row has, and a few others.
+
+    Only counts of them are shuffled; a bitmap of those that come again keeps the rest where they are.
+    """
+    each = prints.select(F.explode("rare").alias("gram"), "fp", "size")
+    again = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    rows = prints.agg(F.sum(F.size("rare"))).first()[0] or 0
+    return divided(each, again, [F.col("gram")], rows // 8)[0].distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, sizes = [], []
-            for row in batch["grams"]:
-                grams = row.values.to_numpy()
-                count = np.zeros(len(grams), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
-                    count = np.where(names[at] == grams, counts[at], 0)
-                kept.append(grams[np.lexsort((grams, count))[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]])
-                sizes.append(len(grams))
-            times = [len(k) for k in kept]
-            columns = [np.repeat(batch[c].to_numpy(), times) for c in ("fp", "root")]
-            columns = [np.concatenate([np.empty(0, np.int64), *kept]), *columns, np.repeat(np.array(sizes, np.int64), times)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "fp", "root", "size"])
-
-    return texts.select("fp", "root", "grams").mapInArrow(run, "gram long, fp long, root long, size long")
-
-
-def _lists(rare: DataFrame, members: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Blocks (gram, lo, hi) of (fp, size, bytes, block) to be compared, and the most members that a gram has.
+
+def _lists(rare: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Blocks (gram, lo, hi) of (fp, size, parity, block) to be compared.
 
     Members of the largest group that a gram has are not compared with one another. Grams with the same members are one.
     """
@@ -162,34 +173,66 @@ def _lists(rare: DataFrame, members: DataFrame, block: int) -> tuple[DataFrame,
     lists = checkpointed(whole.where("n > most.n").groupBy("n", "a", "b").agg(F.min(F.struct("gram", "most")).alias("one")).select("n", "one.gram", "one.most"))
     few, many = F.ceil((F.col("n") - F.col("most.n")) / block).cast("int"), F.ceil(F.col("most.n") / block).cast("int")
     large, place = F.col("root") == F.col("most.root"), F.xxhash64("fp")
-    own = rare.join(F.broadcast(lists) if lists.count() <= SENT else lists.hint("merge"), "gram").join(members.select("fp", "bytes"), "fp")
+    own = rare.join(F.broadcast(lists) if lists.count() <= SENT else lists.hint("merge"), "gram").join(members.select("fp", "parity"), "fp")
     own = own.withColumn("block", F.when(large, few + F.pmod(place, many)).otherwise(F.pmod(place, few)).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(large, few).otherwise(few + many) - 1)))
-    dealt = dealt.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "size", "bytes", "block")
-    return checkpointed(dealt), lists.agg(F.max("n")).first()[0] or 0
-
-
-def _closest(similarity: float, first: int, last: int):
-    """Of a block: pairs of different groups that sizes and bytes allow, each member's from that place to the other."""
+    return checkpointed(dealt.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "size", "parity", "block"))
+
+
+def _allowed(marks: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j): whether bitmaps allow the similarity, and the share of their shingles that surely differ."""
+    widths, differ = np.array([len(m) for m in marks]), np.zeros(len(i), np.int64)
+    places, stacks = np.empty(len(marks), np.int64), {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        places[at], stacks[w] = np.arange(len(at)), np.stack([marks[k] for k in at])
+    for w in stacks:
+        for x in (w // 2, w, 2 * w):  # sizes that are allowed differ by less than half
+            p = np.flatnonzero((widths[i] == w) & (widths[j] == x))
+            for p in np.array_split(p, len(p) * w // PLACES + 1) if len(p) else ():
+                a, b = stacks[w][places[i[p]]], stacks[x][places[j[p]]]
+                a, b = (m if m.shape[1] <= min(w, x) else m[:, : min(w, x)] ^ m[:, min(w, x) :] for m in (a, b))
+                differ[p] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    both = size[i] + size[j]
+    return (1 + similarity) * differ <= (1 - similarity) * both + 1e-9, differ / both
+
+
+def _closest(similarity: float, most: int):
+    """Of blocks: (u, v) for pairs of different groups that sizes and bitmaps allow, of each member's so many as are closest;
+    (gram, lo, hi) of the blocks that have more."""
 
     def run(table: pa.Table) -> pa.Table:
-        fp, root, size, block = (table[c].to_numpy() for c in ("fp", "root", "size", "block"))
-        u, v = [], []
-        if (root != root[0]).any():
-            apart = table["lo"][0].as_py() != table["hi"][0].as_py()
-            marks = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8).reshape(len(fp), -1)
-            for i in range(len(fp)):
-                may = similarity * np.maximum(size, size[i]) <= np.minimum(size, size[i]) + 1e-9
-                may &= (block != block[i]) if apart else (fp != fp[i])
-                j = np.flatnonzero(may)
-                same = (marks[j] == marks[i]).mean(1)
-                j, same = j[same >= similarity - SLACK], same[same >= similarity - SLACK]
-                # places don't depend on groups, which change between the rounds
-                j = j[np.lexsort((fp[j], -same))[first:last]]
-                j = j[root[j] != root[i]]
-                u.append(np.minimum(fp[i], fp[j]))
-                v.append(np.maximum(fp[i], fp[j]))
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for c, x in (("u", u), ("v", v))})
+        fp, root, size, block, gram, lo, hi = (table[c].to_numpy() for c in ("fp", "root", "size", "block", "gram", "lo", "hi"))
+        order = np.lexsort((fp, hi, lo, gram))
+        fp, root, size, block, gram, lo, hi = (c[order] for c in (fp, root, size, block, gram, lo, hi))
+        marks = [np.frombuffer(p, np.uint64) for p in table["parity"].take(pa.array(order)).to_pylist()]
+        starts = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        many = np.diff(np.concatenate((starts, [len(fp)])))
+        first, times = np.repeat(starts, many), np.repeat(many, many)
+        u, v, left = [], [], []
+        at, ends = 0, np.cumsum(times)
+        while at < len(fp):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACES, "right")))
+            i = np.repeat(np.arange(at, to), times[at:to])
+            j = np.arange(len(i)) - np.repeat(ends[at:to] - times[at:to] - (ends[at - 1] if at else 0), times[at:to]) + first[i]
+            may = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+            may &= similarity * np.maximum(size[i], size[j]) <= np.minimum(size[i], size[j]) + 1e-9
+            i, j = i[may], j[may]
+            near, far = _allowed(marks, size, i, j, similarity)
+            i, j, far = i[near], j[near], far[near]
+            order = np.lexsort((fp[j], far, i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            left.append(np.unique(first[i[place >= most]]))
+            i, j = i[place < most], j[place < most]
+            u.append(np.minimum(fp[i], fp[j]))
+            v.append(np.maximum(fp[i], fp[j]))
+            at = to
+        u, v, left = np.concatenate(u), np.concatenate(v), np.unique(np.concatenate(left))
+        pairs = np.unique(np.stack([u, v], 1), axis=0)
+        none = pa.nulls(len(left), pa.int64()), pa.nulls(len(pairs), pa.int64())
+        ends = [pa.concat_arrays([pa.array(pairs[:, k]), none[0]]) for k in (0, 1)]
+        return pa.table([*ends, *[pa.concat_arrays([none[1], pa.array(c[left].astype(np.int64))]) for c in (gram, lo, hi)]], ["u", "v", "gram", "lo", "hi"])
 
     return run
 
@@ -210,48 +253,47 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(now.hint("merge"), "fp", "left").withColumn("root", F.coalesce("now", "fp")).drop("now")
 
 
-def similar_roots(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similarity: float, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """(node, root) of those classes (fp, first, bytes, keys) that hang together by pairs a list proposes and the shingles confirm."""
-    keyed = classes.select("fp", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lists = checkpointed(keyed.join(shared, "key"))
-    members = checkpointed(lists.select("fp").distinct().join(classes, "fp").select("fp", "first", "bytes"))
-    sets = _sets(docs, members.select("fp", "first"), id_col, text_col, words)
-    roots, tried = None, None
-    for k in range(rounds + 1):
-        rooted = _rooted(lists, roots)
-        # lists whose members all hang together have nothing left to find
-        open_keys = rooted.groupBy("key").agg(F.min(F.struct("root", "fp")).alias("least"), F.max("root").alias("most")).where("least.root < most")
-        rooted = checkpointed(rooted.join(open_keys, "key"))
-        lists = rooted.select("key", "fp")
-        if k < rounds:
-            pairs = rooted.where("root <> least.root").groupBy("fp", F.col("least.fp").alias("to")).agg(F.count("*").alias("shared"))
-            pairs = pairs.select(F.least("fp", "to").alias("u"), F.greatest("fp", "to").alias("v"), "fp", "to", "shared")
-            if tried is not None:
-                pairs = pairs.join(tried, ["u", "v"], "left_anti")
-            pairs = pairs.groupBy("fp").agg(F.max(F.struct("shared", "to")).getField("to").alias("to")).select(F.least("fp", "to").alias("u"), F.greatest("fp", "to").alias("v")).distinct()
-            pairs = checkpointed(pairs)
-            tried = pairs if tried is None else tried.unionAll(pairs)
-            roots = _joined(roots, _verified(pairs, sets, similarity))
-    rare = checkpointed(_rarest(sets.join(rooted.select("fp", "root").distinct(), "fp"), similarity))
-    dealt, longest = _lists(rare, members, block)
-    for first, last in PARTNERS:
-        if first < longest:
-            pairs = _rooted(dealt, roots).groupBy("gram", "lo", "hi").applyInArrow(_closest(similarity, first, last), "u long, v long")
-            roots = _joined(roots, _verified(checkpointed(pairs.distinct()), sets, similarity))
-    return roots if roots is not None else members.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+def similar_roots(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, similarity: float, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame | None:
+    """(node, root) of those classes (fp, first, simhash, parity) that hang together by proposed pairs that the shingles confirm."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those with a Jaccard similarity of at least that."""
+        pairs = checkpointed(pairs)
+        count = pairs.count()
+        ends = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select("v")).distinct()
+        ends = checkpointed(classes.select("fp", "first").join(ends.hint("merge") if count > SENT else F.broadcast(ends), "fp"))
+        sets = _sets(docs, ends, id_col, text_col, words)
+        few = F.broadcast(pairs) if count <= SENT else pairs.hint("merge")
+        a = sets.join(few, F.col("fp") == F.col("u")).select("u", "v", F.col("grams").alias("a"))
+        b = sets.join(few, F.col("fp") == F.col("v")).select("u", "v", F.col("grams").alias("b"))
+        common = F.size(F.array_intersect("a", "b"))
+        return checkpointed(a.join(b, ["u", "v"]).where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+    roots = _joined(None, verified(_near(classes)))
+    rare = checkpointed(_rooted(_shared(prints), roots))
+    dealt = _lists(rare, classes, block)
+    for most in [*(MORE**k for k in range(rounds)), 1 << 62]:
+        shares = F.lit(dealt.count() // DEALT_ROWS + docs.sparkSession.sparkContext.defaultParallelism)
+        share = F.pmod(F.xxhash64("gram", "lo", "hi"), shares)
+        found = _rooted(dealt, roots).groupBy(share.alias("share")).applyInArrow(_closest(similarity, most), "u long, v long, gram long, lo long, hi long")
+        found = checkpointed(found)
+        roots = _joined(roots, verified(found.where("u is not null").select("u", "v").distinct()))
+        left = found.where("u is null").select("gram", "lo", "hi")
+        if not left.take(1):
+            break
+        dealt = checkpointed(dealt.join(left.hint("merge"), ["gram", "lo", "hi"]))
+    return roots
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, how: dict) -> DataFrame:
     """(doc_id, told, first) per row of docs; first is the struct (null, doc_id, told) of the least row reachable."""
-    prints = checkpointed(fingerprints(docs, id_col, text_col, words))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, words, similarity))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "told"))
-    classes = checkpointed(prints.groupBy("fp").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("bytes", "keys")]))
-    roots = similar_roots(docs, classes.select("fp", F.col("least.doc_id").alias("first"), "bytes", "keys"), id_col, text_col, words, similarity, **how)
-    rooted = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp")
+    classes = checkpointed(prints.groupBy("fp").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("simhash", "parity")]))
+    roots = similar_roots(docs, prints, classes.select("fp", F.col("least.doc_id").alias("first"), "simhash", "parity"), id_col, text_col, words, similarity, **how)
+    rooted = _rooted(classes.select("fp", "least"), roots)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    linked = rooted.join(smallest, "root").select("fp", "first")
-    ids = checkpointed(classes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")))
+    ids = checkpointed(rooted.join(smallest, "root").select("fp", "first"))
     return prints.select("doc_id", "told", "fp").join(ids, "fp").select("doc_id", "told", "first")
 
 

@@ -1,7 +1,9 @@
 import random
 import time
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from lodeframe.llm import similar
@@ -95,3 +97,40 @@ def test_awkward_rows(spark):
     assert sorted(r.fp for r in kept.collect()) == [1, 3, 4, 5]
     groups = [(r.doc_id, r.component_id) for r in similar.similar_groups(docs).collect()]
     assert sorted(groups, key=str) == sorted([(None, None), (None, 3), (3, 3), (3, 3), (3, 3), (5, 5), (6, 5)], key=str)
+
+
+def test_simhash_index_comes_first(spark, monkeypatch):
+    """Fingerprints are SimHashes of five-word shingles; pairs that the index of byte positions links are verified first."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(30)]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(100 + d, t + " end") for d, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r for r in similar.fingerprints(docs, "doc_id", "text", 5).collect()}
+    for d, t in rows[:5]:
+        h = {xxhash.xxh64_intdigest(" ".join(g).encode()) for g in grams(t)}
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert prints[d].simhash % (1 << 64) == want
+    close = {d for d in range(30) if bin((prints[d].simhash ^ prints[100 + d].simhash) % (1 << 64)).count("1") <= 3}
+    assert len(close) > 20
+    proposed = []
+    links = similar.links
+    monkeypatch.setattr(similar, "links", lambda *a: proposed.append(links(*a)) or proposed[-1])
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()} == {d: d % 100 for d, _ in rows}
+    found = {frozenset((r.u, r.v)) for r in proposed[0].collect()}
+    assert {frozenset((prints[d].simhash, prints[100 + d].simhash)) for d in close} <= found | {frozenset((p.simhash,)) for p in prints.values()}
+
+
+def test_bitmaps_allow_all_similar_pairs():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 100, 511, 513, 900, 4000, 70_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        sets = [a, np.unique(np.concatenate((a[: len(a) - len(a) // 9], rng.integers(0, 1 << 63, len(a) // 9, np.uint64)))), a[: -(len(a) // 5) or None]]
+        sets.append(np.concatenate((a, np.unique(rng.integers(1 << 63, (1 << 64) - 1, len(a) // 4, np.uint64)))))
+        sets.append(np.unique(rng.integers(0, 1 << 63, n, np.uint64)))
+        marks = [np.frombuffer(similar.parities(s), np.uint64) for s in sets]
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(4)))
+        near, _ = similar._allowed(marks, np.array([len(s) for s in sets]), i, j, 0.8)
+        alike = [5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)]
+        assert near[alike].all() and sum(alike) >= 10
+        if 100 <= n <= 4000:
+            assert not similar._allowed(marks, np.array([len(s) for s in sets]), np.array([0]), np.array([4]), 0.8)[0][0]
