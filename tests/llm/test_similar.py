@@ -4,6 +4,7 @@ import time
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeframe.llm import similar
@@ -134,3 +135,28 @@ def test_bitmaps_allow_all_similar_pairs():
         assert near[alike].all() and sum(alike) >= 10
         if 100 <= n <= 4000:
             assert not similar._allowed(marks, np.array([len(s) for s in sets]), np.array([0]), np.array([4]), 0.8)[0][0]
+
+
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Hundreds of edits of one text that are near to one another, most of them below the similarity."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for d in range(600):
+        own = base[:]
+        for k in rng.sample(range(160), rng.choice([2, 4, 5, 6])):
+            own[k] = f"w{rng.randrange(10**9)}"
+        rows.append((d, " ".join(own)))
+    pairs, stored = [], similar.checkpointed
+
+    def counted(df):
+        out = stored(df)
+        if out.columns[:2] == ["u", "v"]:
+            pairs.append(out.where(F.col("u").isNotNull()).count())
+        return out
+
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == groups_of(rows)
+    assert 0 < sum(pairs) < 20 * len(rows)
