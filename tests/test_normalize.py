@@ -88,6 +88,28 @@ def test_source_context(spark):
     assert got["a.ts", 1].context_before == [] and got["a.ts", 14].context_after == [] and got["no.ts", 3].source_text is None
 
 
+def test_source_context_of_many_findings(spark):
+    """Windows over the ends of blocks, equal rows, rows that ask for nothing; what findings ask for is sent to no task whole."""
+    text = "\n".join(f"l{i}" for i in range(1, 301))
+    files_ = spark.createDataFrame([("a.ts", text)], "path string, text string")
+    asked = [("code", "a.ts", i, i + n) for i in range(1, 310) for n in (0, 2, 150)] + [("code", "a.ts", 64, 64)] * 3 + [("code", "a.ts", 9, 7), ("http", None, None, None), ("code", None, 3, 3), ("code", "a.ts", 0, 0)]
+    rows = spark.createDataFrame(asked, "kind string, path string, start_line int, end_line int")
+    out = N.attach_source_context(rows, N.source_lines(files_))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+    def expected(kind, path, start, end):
+        if kind != "code" or path is None or start < 1:
+            return (kind, path, start, end, None, None, None)
+        window = [x for x in range(max(1, start - 5), max(start, end) + 6) if x <= 300]
+        if not window:
+            return (kind, path, start, end, None, None, None)
+        return (kind, path, start, end, tuple(x for x in window if x < start), tuple(x for x in window if x > end), "\n".join(f"l{x}" for x in window if start <= x <= end))
+
+    lines = lambda xs: None if xs is None else tuple(x.line for x in xs)
+    got = [(r.kind, r.path, r.start_line, r.end_line, lines(r.context_before), lines(r.context_after), r.source_text) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(str(expected(*x)) for x in asked)
+
+
 def test_scope_policy(spark):
     includes = ["api/**", "jobs/*.py", "web/src/**"]
     excludes = ["**/*_test.py", "vendor/", "web/src/generated/"]
