@@ -376,7 +376,7 @@ def c5_c12_groups_of_all_findings(spark, d):
 def a2_payloads_of_all_findings(spark, d):
     groups, members = C.build_groups(all_findings(spark, d))
     context = members.select("group_id", F.explode("cwe_ids").alias("doc_id")).distinct().withColumn("rank", F.lit(1))
-    return A.analysis_payload(members, context).select("group_id", "part", F.length("payload").alias("chars"))
+    return A.analysis_payload(members, context, 500).select("group_id", "part", F.length("payload").alias("chars"))
 
 
 @query(f"{_SMALL} SELECT count(DISTINCT fingerprint) AS input_count, count(DISTINCT fingerprint) FILTER (CAST(substr(fingerprint, 3) AS INT) % 3 <> 0) AS covered_count, count(DISTINCT fingerprint) FILTER (CAST(substr(fingerprint, 3) AS INT) % 3 = 0) AS missing_count, false AS is_complete FROM small")

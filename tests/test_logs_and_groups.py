@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from lodeframe.storage import numbered
@@ -66,6 +68,15 @@ def test_entries(spark):
     assert [r.blocked for r in A.flag_repeat_calls(calls).orderBy("step").collect()] == [False, False, True, True]
 
 
+def test_payload_of_a_large_group(spark):
+    m = spark.range(1300).select(F.lit("g").alias("group_id"), F.col("id").alias("cluster_idx"), F.col("id").alias("row_idx"), F.concat(F.lit("id"), "id").alias("finding_id"))
+    context = m.select("group_id", F.lit(1).alias("rank"), F.lit("d").alias("doc_id")).distinct()
+    (whole,) = A.analysis_payload(m, context).collect()
+    assert whole.part == 0 and [x["finding_id"] for x in json.loads(whole.payload)["findings"]] == [f"id{i}" for i in range(1300)]
+    parts = A.analysis_payload(m, context, 500).orderBy("part").collect()
+    assert [len(json.loads(p.payload)["findings"]) for p in parts] == [500, 500, 300]
+
+
 def test_evaluation(spark):
     cases = spark.createDataFrame([("m", f"c{i}", "TRUE_POSITIVE" if i < 3 else "FALSE_POSITIVE", 1.0) for i in range(4)] + [("m", "injection", "TRUE_POSITIVE", 2.0)], "mode string, case_id string, truth string, seconds double")
     e = spark.createDataFrame([("m", "c0", 0, "confirmed", "", "x"), ("m", "c0", 1, "low", "", "sk_live_1"), ("m", "c1", 0, "low", "", ""), ("m", "c3", 0, "low", "", ""), ("m", "injection", 0, "confirmed", "CWE-89", "")], "mode string, case_id string, row_idx int, confidence string, cwe string, text string")
