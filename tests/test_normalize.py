@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodeframe import schemas as S
+from lodeframe.operators import correlate as C
 from lodeframe.operators import normalize as N
 from lodeframe.sources import files
 
@@ -79,6 +80,28 @@ def test_scope(spark):
         assert N.filter_scope(rows, F.lit(target).cast("string"))[0].count() == 0
 
 
+def test_first_findings(spark):
+    """Of findings that are equal in all but their place the first, numbered among all: groups and members are those of all."""
+    alert = lambda k: {"pluginid": str(k % 3), "riskcode": "1", "name": f"n{k % 3}", "cweid": str(k % 5), "instances": [{"uri": f"http://t:3000/p/{i % 2}" if i < 5 else "http://other/x", "method": "get", "param": "q"} for i in range(6)]}
+    doc = lambda r: json.dumps({"site": [{"alerts": [alert(k) for k in range(12)]}, {"alerts": [{} if r == 2 else alert(r)]}]})
+    meta = '{"run_id": "r", "scanned_at": "2026-01-01T00:00:00Z", "target": {"name": "s", "base_url": "http://t:3000"}}'
+    bad = json.dumps({"site": [{"alerts": [{"instances": [{"uri": "http://t:3000/"}]}]}]})
+    texts = [(f"zap/{r}", "zap", doc(r), meta) for r in range(4)] + [("zap/bad", "zap", bad, meta)]
+    reports = spark.createDataFrame(texts, "report_path string, tool string, doc string, meta string").withColumn("meta", F.from_json("meta", S.SCAN_META))
+    findings = N.normalize_all(reports)[0]
+    every = C.flat(C.indexed(findings, "finding_id"))
+    first = C.flat(N.first_findings(reports))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert every.count() == 255 and first.count() < 40 and not first.exceptAll(every).count()
+    for old, new in zip(C.build_groups(every), C.build_groups(first), strict=True):
+        assert rows(new.select(old.columns)) == rows(old)
+    # beyond what may be sent, ids are sorted; and there may be nothing at all
+    ids, some = findings.select("finding_id"), first.select("finding_id")
+    few, many = N.ranked_among(some, ids, "finding_id"), N.ranked_among(some, ids, "finding_id", 1)
+    assert rows(few.select("finding_id", "row_idx")) == rows(many.select("finding_id", "row_idx")) == rows(first.select("finding_id", "row_idx"))
+    assert N.first_findings(reports.where("false")).count() == 0
+
+
 def test_source_context(spark):
     files_ = spark.createDataFrame([("a.ts", "\n".join(f"l{i}" for i in range(1, 15)))], "path string, text string")
     rows = spark.createDataFrame([("code", "a.ts", 7, 8), ("code", "a.ts", 1, 1), ("code", "a.ts", 14, None), ("code", "no.ts", 3, 3)], "kind string, path string, start_line int, end_line int")
