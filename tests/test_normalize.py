@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from lodeframe import schemas as S
 from lodeframe.operators import correlate as C
 from lodeframe.operators import normalize as N
 from lodeframe.sources import files
+from lodeframe.storage import checkpoint_folder, stored
 
 META = {"run_id": "run_7", "scanned_at": "2025-02-03T04:05:06Z", "target": {"name": "books", "version": "3.2", "base_url": "http://books.test:8080"}}
 SEMGREP = {
@@ -241,3 +243,17 @@ def test_text_lines(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     whole = files.read_text_tree(spark, str(tmp_path), "*.txt").collect()
     assert got == sorted((r.path.rsplit("/", 1)[1], line) for r in whole for line in r.text.removesuffix("\n").split("\n"))
+
+
+def test_compressed_findings_and_tables(spark, tmp_path):
+    """Findings as compressed lines are read in the same way; what is stored takes a small part of what a checkpoint takes."""
+    rows = spark.range(0, 20000, 1, 2).select(F.sha2((F.col("id") % 50).cast("string"), 256).alias("fingerprint"), F.concat(F.lit("fnd"), "id").alias("finding_id"))
+    size = lambda at: sum(f.stat().st_size for f in Path(at).rglob("*") if f.is_file())
+    plain, packed = files.write_findings(rows, str(tmp_path), "a"), files.write_findings(rows, str(tmp_path), "b", "gzip")
+    kind = "fingerprint string, finding_id string"
+    assert files.read_findings_jsonl(spark, packed, schema=kind).exceptAll(files.read_findings_jsonl(spark, plain, schema=kind)).count() == 0
+    assert files.read_findings_jsonl(spark, packed, schema=kind).count() == 20000 and size(packed) * 4 < size(plain)
+    at = checkpoint_folder(spark).removeprefix("file:")
+    before = size(at)
+    table = stored(rows)
+    assert table.exceptAll(rows).count() == 0 and table.count() == 20000 and (size(at) - before) * 4 < size(plain)
