@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.operators.kb import DOC_TYPES
-from lodeframe.storage import BROADCAST_ROWS, checkpointed, small
+from lodeframe.storage import BROADCAST_ROWS, checkpointed, small, stored
 
 #: Columns with their weights; words that part clauses, and words that are left out of them.
 WEIGHTS = {"title": 6.0, "aliases": 5.0, "identifiers": 5.0, "tags": 3.0, "summary": 2.0, "content": 1.0}
@@ -69,7 +69,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = dict(docs.dtypes)
     text = lambda c: F.array_join(c, " \x1f ") if kinds[c].startswith("array") else F.col(c)
     cols = F.array(*[F.struct(F.lit(c).alias("col"), _tokens(text(c)).alias("tokens")) for c in WEIGHTS if c in kinds])
-    cut = checkpointed(docs.select("doc_id", cols.alias("cols")))
+    cut = stored(docs.select("doc_id", cols.alias("cols")))
     rows = cut.select("doc_id", F.explode("cols").alias("x"))
     postings = rows.select("doc_id", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
     return postings, cut.select("doc_id", F.aggregate("cols", F.lit(0), lambda n, x: n + F.size(x["tokens"])).alias("tokens"))
@@ -84,7 +84,7 @@ def write_index(docs: DataFrame, folder: str, buckets: int = 64) -> None:
     terms and may be several files."""
     postings, lengths = build_index(docs)
     spread = postings.withColumns({"bucket": _bucket(buckets), "buckets": F.lit(buckets)}).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term")
-    spread.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{folder}/postings")
+    spread.write.mode("overwrite").option("compression", "zstd").partitionBy("buckets", "bucket").parquet(f"{folder}/postings")
     lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
